@@ -10,7 +10,7 @@ e AS (
 ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (
   SELECT a AS image_id, a AS g FROM ways
-  UNION SELECT ways.b, reach.g FROM reach JOIN ways ON ways.a = reach.image_id AND reach.g < both.b),
+  UNION SELECT ways.b, reach.g FROM reach JOIN ways ON ways.a = reach.image_id AND reach.g < ways.b),
 grouped AS (SELECT image_id, min(g) AS group_id FROM reach GROUP BY image_id)
 """
 
@@ -27,6 +27,17 @@ f AS (SELECT *, (x2 * (((word >> 24) & 1023) | 1) + ((word >> 29) & 1023)) & 102
 g AS (SELECT *, xor(y3, y3 >> 5) AS x3 FROM f)
 """
 
+_SIGNED = """
+signed AS (
+  SELECT DISTINCT archive, image_id, coalesce(signature, CASE WHEN octet_length(small) = 72 THEN
+    (CASE WHEN b >= 9223372036854775808::HUGEINT THEN b - 18446744073709551616::HUGEINT ELSE b END)::BIGINT END) AS s
+  FROM (SELECT archive, image_id, signature, small, CASE WHEN small IS NOT NULL THEN list_reduce(list_transform(range(64), lambda i:
+    CASE WHEN substr(hex(small), 2 * (i // 8 * 9 + i % 8 + 1) + 1, 2) > substr(hex(small), 2 * (i // 8 * 9 + i % 8) + 1, 2)
+      THEN 1::HUGEINT ELSE 0::HUGEINT END), lambda x, y: x * 2 + y) END AS b FROM source_image)
+  WHERE archive IS NOT NULL AND image_id IS NOT NULL),
+ok AS (SELECT * FROM signed WHERE s IS NOT NULL)
+"""
+
 ORACLE = {
     "p1_found": _LINKS + "SELECT image_id, group_id FROM grouped",
     "p1_group_sizes": _LINKS
@@ -46,4 +57,16 @@ need AS (SELECT image_id, x::INT AS draw_no, r::INT AS rerun FROM f, range(1, 5)
 SELECT image_id, draw_no, rerun FROM need WHERE NOT EXISTS (
   SELECT 1 FROM d WHERE d.image_id = need.image_id AND d.draw_no = need.draw_no AND d.rerun = need.rerun)""",
     "p3_sample": _PLACE + "SELECT image_id, min(snapshot) AS snapshot, min(group_id) AS group_id FROM g WHERE x3 < 128 GROUP BY image_id",
+    "p5_found": "WITH "
+    + _SIGNED
+    + """SELECT DISTINCT x.image_id AS image_a, y.image_id AS image_b FROM ok x JOIN ok y USING (archive)
+         WHERE x.image_id < y.image_id AND bit_count(xor(x.s, y.s)) <= 4""",
+    "p5_groups": "WITH RECURSIVE "
+    + _SIGNED
+    + """, near AS (SELECT DISTINCT archive, x.s AS a, y.s AS b FROM ok x JOIN ok y USING (archive) WHERE bit_count(xor(x.s, y.s)) <= 4),
+    low AS (SELECT archive, s, min(image_id) AS g, count(*) AS copies FROM ok GROUP BY archive, s),
+    reach AS (SELECT archive, s, g FROM low UNION SELECT n.archive, n.b, r.g FROM reach r JOIN near n ON n.archive = r.archive AND n.a = r.s),
+    named AS (SELECT archive, s, min(g) AS group_id FROM reach GROUP BY archive, s),
+    degree AS (SELECT archive, a AS s, count(*) - 1 AS links FROM near GROUP BY archive, a)
+    SELECT archive, image_id, group_id, copies, links FROM ok JOIN named USING (archive, s) JOIN low USING (archive, s) JOIN degree USING (archive, s)""",
 }

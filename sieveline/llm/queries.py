@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import components, sampling, splits
+from sieveline.llm import components, mixing, neardup, packing, sampling, splits
 from sieveline.llm.oracle import ORACLE  # noqa: F401
+from sieveline.llm.tokens import count_tokens
+from sieveline.session import materialize
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -39,7 +41,7 @@ def p1_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = _read(spark, sf_dir, "split_part")
-    own = splits.materialize(splits.members(_read(spark, sf_dir, "manifest_group", "image_id", "group_id")), "own")
+    own = materialize(splits.members(_read(spark, sf_dir, "manifest_group", "image_id", "group_id")), "own")
     return own, splits.assign_parts(own, splits.part_shares(parts)), parts
 
 
@@ -78,4 +80,71 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.groupBy("image_id").agg(F.min("snapshot").alias("snapshot"), F.min("group_id").alias("group_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_group_sizes, p1_stale, p2_found, p2_assign, p2_shares, p3_found, p3_sample)}
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "source_image", "archive", "image_id", "signature", "small")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of images of one archive whose signatures differ in at most 4 bits."""
+    return neardup.near_image_pairs(_images(spark, sf_dir))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, copies and number of links of every image."""
+    return neardup.near_image_groups(_images(spark, sf_dir))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return docs.select("doc_id", "source", count_tokens(F.col("text")).alias("tokens"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that alone exceed a container: those that were cut into more than one piece."""
+    packed = packing.pack(_sizes(spark, sf_dir))
+    return packed.filter("piece = 1").select("doc_id").distinct()
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or piece."""
+    return packing.pack(_sizes(spark, sf_dir))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: containers and tokens by tenth of the capacity."""
+    fill = packing.pack(_sizes(spark, sf_dir)).groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    tenth = F.least(F.floor(F.col("tokens") * 10 / packing.CAPACITY), F.lit(9)).alias("tenth")
+    return fill.groupBy(tenth).agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = materialize(_sizes(spark, sf_dir), "sizes")
+    return sizes, mixing.repetition_rates(sizes, _read(spark, sf_dir, "mix_target"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their share even at the most repetitions allowed."""
+    _, rates = _rates(spark, sf_dir)
+    return rates.filter("not reachable").select("source")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture itself."""
+    sizes, rates = _rates(spark, sf_dir)
+    return mixing.mix(sizes, materialize(rates, "rates"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    sizes, rates = _rates(spark, sf_dir)
+    rates = materialize(rates, "rates")
+    return mixing.shares(mixing.mix(sizes, rates), rates)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_group_sizes, p1_stale, p2_found, p2_assign, p2_shares, p3_found, p3_sample,
+        p5_found, p5_groups, p6_found, p6_pack, p6_fill, p7_found, p7_mix, p7_shares,
+    )
+}
