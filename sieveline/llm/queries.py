@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import components, mixing, neardup, packing, sampling, splits
+from sieveline.llm import components, mixing, neardup, packing, sampling, splits, truncation
 from sieveline.llm.oracle import ORACLE  # noqa: F401
 from sieveline.llm.tokens import count_tokens
 from sieveline.session import materialize
@@ -141,10 +141,24 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(sizes, rates), rates)
 
 
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.find_cut(_read(spark, sf_dir, "documents", "doc_id", "lang", "source", "text"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut before its end."""
+    return _flags(spark, sf_dir).filter("cut").select("doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, cut texts and their share for each source."""
+    return truncation.cut_shares(_flags(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_group_sizes, p1_stale, p2_found, p2_assign, p2_shares, p3_found, p3_sample,
-        p5_found, p5_groups, p6_found, p6_pack, p6_fill, p7_found, p7_mix, p7_shares,
+        p5_found, p5_groups, p6_found, p6_pack, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_shares,
     )
 }
