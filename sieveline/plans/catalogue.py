@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.plans import compaction
+from sieveline.plans import compaction, corpus, evaluation
 
-FLAGSHIP = "p4_found"
-_MODULES = (compaction,)
+FLAGSHIP = "a7_auc"
+_MODULES = (compaction, evaluation, corpus)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
