@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.plans import compaction, corpus, evaluation
+from sieveline.plans import bookkeeping, compaction, corpus, evaluation, planner
 
 FLAGSHIP = "a7_auc"
-_MODULES = (compaction, evaluation, corpus)
+_MODULES = (compaction, evaluation, corpus, bookkeeping, planner)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
