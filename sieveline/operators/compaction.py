@@ -21,62 +21,54 @@ from sieveline.session import drop_path, new_path, rename_path
 TARGET_BYTES = 128 * 1024 * 1024
 
 
-def _json(text: Column) -> Column:
-    """Parsed JSON inside a one-element array, or null unless text is exactly one complete JSON value.
+def _parsed(text: Column) -> Column:
+    """JSON [value, 0] of a text that is one value; see _whole for what else may come out."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
 
-    The parser stops after the first value, so text is parsed inside an array and inside an object: extra
-    text behind the value spoils at least one of the two.
+
+def _whole(parsed: Column) -> Column:
+    """Whether the text was exactly one complete JSON value.
+
+    The parser stops after the first value, so a text with a bracket too many would pass; the 0 behind
+    the value tells, in one parse: it is only found where the array closed behind it.
     """
-    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    return F.when(in_object.isNotNull(), in_array)
+    return F.try_variant_get(parsed, "$[1]", "int") == 0
 
 
 def read_records(files: DataFrame, content: str = "content", modified: str = "modified_at") -> DataFrame:
     """One row for each complete record in the files' texts.
 
     A text is one JSON value (an object or a list of objects) or one object per line; lines that are not
-    complete JSON hold no record, nor do null, empty and unfinished texts. Records without a `result`
-    object are skipped; columns of `files` other than the two named ones are not read. A record whose run,
-    image or option is missing is kept with that column null.
+    complete JSON hold no record, nor do null, empty and unfinished texts. A value with neither run, image
+    nor option in its `result` is no record; one that lacks some of them is kept with that column null.
+    Columns of `files` other than the two named ones are not read.
     """
-    body = F.regexp_replace(F.col(content), "^[\\s\\x{FEFF}]+|\\s+$", "")
-    texts = files.select(body.alias("body"), F.col(modified).alias("modified_at")).filter("body <> ''")
-    whole = texts.withColumn("v", _json(F.col("body")))
-    # a text that is no single value is read line by line; a one-line text that failed stays without records
-    lines = (
-        whole.filter("v is null and body rlike '[\\r\\n]'")
-        .select(F.explode(F.split("body", "[\\r\\n]+")).alias("line"), "modified_at")
-        .select(_json(F.regexp_replace("line", "^[\\s\\x{FEFF}]+|\\s+$", "")).alias("v"), "modified_at")
-        .filter("v is not null")
-        .select(F.expr("try_variant_get(v, '$[0]', 'variant')").alias("r"), "modified_at")
+    trim = lambda c: F.regexp_replace(c, "^[\\s\\x{FEFF}]+|\\s+$", "")
+    first = lambda p: F.try_variant_get(p, "$[0]", "variant")
+    texts = files.select(trim(F.col(content)).alias("body"), F.col(modified).alias("modified_at")).filter("body <> ''")
+    texts = texts.withColumn("p", _parsed(F.col("body")))
+    # a text that is no single value is read line by line; the branches are only computed where they apply
+    lines = F.transform(F.filter(F.transform(F.split("body", "[\\r\\n]+"), lambda x: _parsed(trim(x))), _whole), first)
+    values = (
+        F.when(_whole(F.col("p")) & F.col("body").startswith("["), F.try_variant_get("p", "$[0]", "array<variant>"))
+        .when(_whole(F.col("p")), F.array(first(F.col("p"))))
+        .otherwise(lines)
     )
-    values = whole.filter("v is not null").select(F.expr("try_variant_get(v, '$[0]', 'variant')").alias("w"), "modified_at")
-    is_list = F.schema_of_variant("w").startswith("ARRAY")
-    objects = values.select(
-        F.explode(F.when(is_list, F.expr("try_variant_get(w, '$', 'array<variant>')")).otherwise(F.array("w"))).alias("r"),
+    rows = texts.select(F.explode(values).alias("r"), "modified_at")
+    get = lambda path, kind="string": F.try_variant_get("r", f"$.{path}", kind)
+    return rows.select(
+        get("result.run").alias("run_id"),
+        loose_id(get("result.image")).alias("image"),
+        get("result.option").alias("option"),
+        get("result.changed_pixels", "bigint").alias("changed_pixels"),
+        get("result.seconds", "double").alias("seconds"),
+        get("result.failure").alias("failure"),
+        get("auto.changed_pixels", "bigint").alias("auto_changed_pixels"),
+        get("auto.rate").alias("auto_rate"),
+        get("auto.stored_bytes", "bigint").alias("auto_stored_bytes"),
+        F.to_json("r").alias("record"),
         "modified_at",
-    )
-    get = lambda path, kind="string": F.expr(f"try_variant_get(r, '$.{path}', '{kind}')")
-    return (
-        objects.unionByName(lines)
-        .filter("r is not null")
-        .withColumn("result", F.expr("try_variant_get(r, '$.result', 'variant')"))
-        .filter(F.schema_of_variant("result").startswith("OBJECT"))
-        .select(
-            get("result.run").alias("run_id"),
-            loose_id(get("result.image")).alias("image"),
-            get("result.option").alias("option"),
-            get("result.changed_pixels", "bigint").alias("changed_pixels"),
-            get("result.seconds", "double").alias("seconds"),
-            get("result.failure").alias("failure"),
-            get("auto.changed_pixels", "bigint").alias("auto_changed_pixels"),
-            get("auto.rate").alias("auto_rate"),
-            get("auto.stored_bytes", "bigint").alias("auto_stored_bytes"),
-            F.to_json("r").alias("record"),
-            "modified_at",
-        )
-    )
+    ).filter("run_id is not null or image is not null or option is not null")
 
 
 def unique_records(records: DataFrame) -> DataFrame:
