@@ -7,6 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.joins import free_name
+
+
+def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns that may hold nulls, nulls equal to nulls; the keys come from the left."""
+    names = {k: free_name(f"_right_{k}", left, right) for k in keys}
+    right, cond = right.withColumnsRenamed(names), F.lit(True)
+    for k, r in names.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    return left.join(right, cond, how).drop(*names.values())
+
 
 def pending(tasks: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Tasks that no finished record answers; tasks with a null key are always pending."""
@@ -59,20 +70,16 @@ def stage_seconds(rows: DataFrame, by: Sequence[str], at: str, tie: str, bucket:
     A run is cut into buckets of time, so that a run of any length is spread over tasks: within a bucket the
     next start is the next row's, at its end the first one of the next bucket.
     """
-    rows = rows.withColumn("_at", F.col(at).cast("timestamp")).withColumn("_bucket", F.date_trunc(bucket, F.col("_at")))
-    keys = [*by, "_bucket"]
-    firsts = rows.filter("_at is not null").groupBy(*keys).agg(F.min("_at").alias("_first"))
+    when, cut, nxt = (free_name(n, rows) for n in ("_at", "_bucket", "_next"))
+    rows = rows.drop("seconds").withColumn(when, F.col(at).cast("timestamp")).withColumn(cut, F.date_trunc(bucket, F.col(when)))
+    keys = [*by, cut]
+    firsts = rows.filter(F.col(when).isNotNull()).groupBy(*keys).agg(F.min(when).alias("_first"))
     # one row per run and bucket
-    nexts = firsts.select(*keys, F.lead("_first").over(Window.partitionBy(*by).orderBy("_bucket")).alias("_next"))
-    nexts = nexts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_next")
-    cond = None
-    for i, k in enumerate(keys):
-        one = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        cond = one if cond is None else cond & one
-    out = rows.join(nexts, cond, "left")
-    follow = F.coalesce(F.lead("_at").over(Window.partitionBy(*keys).orderBy("_at", tie)), "_next")
-    out = out.withColumn("seconds", (F.unix_micros(follow) - F.unix_micros("_at")) / 1e6)
-    return out.drop("_at", "_bucket", "_next", *[f"_k{i}" for i in range(len(keys))])
+    nexts = firsts.select(*keys, F.lead("_first").over(Window.partitionBy(*by).orderBy(cut)).alias(nxt))
+    out = join_nullsafe(rows, nexts, keys, "left")
+    follow = F.coalesce(F.lead(when).over(Window.partitionBy(*keys).orderBy(when, tie)), F.col(nxt))
+    out = out.withColumn("seconds", (F.unix_micros(follow) - F.unix_micros(when)) / 1e6)
+    return out.drop(when, cut, nxt)
 
 
 def running_best(rows: DataFrame, by: Sequence[str], at: str, tie: str, value: str, bucket: str = "day") -> DataFrame:
@@ -81,21 +88,17 @@ def running_best(rows: DataFrame, by: Sequence[str], at: str, tie: str, value: s
     Groups are cut into buckets of time as in `stage_seconds`; a bucket starts from the best of those before.
     Rows of null time come first; null values never beat anything.
     """
-    rows = rows.withColumn("_bucket", F.date_trunc(bucket, F.col(at).cast("timestamp")))
-    keys = [*by, "_bucket"]
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut, start, inside = (free_name(n, rows) for n in ("_bucket", "_start", "_inside"))
+    rows = rows.withColumn(cut, F.date_trunc(bucket, F.col(at).cast("timestamp")))
+    keys = [*by, cut]
+    before = Window.partitionBy(*by).orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     # one row per group and bucket
-    best = rows.groupBy(*keys).agg(F.max(value).alias("_best")).select(*keys, F.max("_best").over(before).alias("_start"))
-    best = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
-    cond = None
-    for i, k in enumerate(keys):
-        one = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        cond = one if cond is None else cond & one
+    best = rows.groupBy(*keys).agg(F.max(value).alias("_best")).select(*keys, F.max("_best").over(before).alias(start))
     inner = Window.partitionBy(*keys).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_inside", F.max(value).over(inner)).join(best, cond)
-    out = out.withColumn("_before", F.greatest("_inside", "_start"))  # nulls are passed over
-    out = out.filter(F.col(value).isNotNull() & (F.col("_before").isNull() | (F.col(value) > F.col("_before"))))
-    return out.drop("_bucket", "_inside", "_start", "_before", *[f"_k{i}" for i in range(len(keys))])
+    out = join_nullsafe(rows.withColumn(inside, F.max(value).over(inner)), best, keys)
+    top = F.greatest(inside, start)  # nulls are passed over
+    out = out.filter(F.col(value).isNotNull() & (top.isNull() | (F.col(value) > top)))
+    return out.drop(cut, start, inside)
 
 
 def common_keys(rows: DataFrame, key: str, variant: str, variants: Sequence[str]) -> DataFrame:

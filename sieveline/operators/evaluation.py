@@ -93,8 +93,9 @@ def calibrate(pred: DataFrame, by: By = (), score: str = "score", label: str = "
 
 
 def oriented(pred: DataFrame, calibration: DataFrame, by: By = ()) -> DataFrame:
-    """Predictions with the calibration's direction applied to the score."""
-    return join_by(pred, calibration.select(*by, "direction", "threshold", "low_fpr_threshold"), by).withColumn("score", F.col("score") * F.col("direction"))
+    """Predictions with the calibration's direction applied to the score; its columns replace those of the same name."""
+    frozen = calibration.select(*by, "direction", "threshold", "low_fpr_threshold")
+    return join_by(pred.drop("direction", "threshold", "low_fpr_threshold"), frozen, by).withColumn("score", F.col("score") * F.col("direction"))
 
 
 def error_rates(turned: DataFrame, by: By = ()) -> DataFrame:

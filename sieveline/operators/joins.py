@@ -20,18 +20,28 @@ def heavy_keys(df: DataFrame, key: str, share: int = HEAVY_SHARE) -> DataFrame:
     return counts.join(F.broadcast(total), F.col("_n") * F.lit(share) >= F.col("_total")).select(key)
 
 
+def free_name(base: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, however a caller named theirs."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def skew_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", share: int = HEAVY_SHARE) -> DataFrame:
     """Join facts with dim, which has at most one row per key, without a hot reducer.
 
     The dim rows of heavy keys number at most `share`, so they are broadcast; all other keys hold less
     than 1/share of the rows each and are shuffled as usual. how: inner, left or left_semi.
-    Facts with a null key are kept by left and dropped by the others. dim is read twice, facts three times:
-    pass written tables or cheap scans.
+    Facts with a null key are kept by left and dropped by the others; a column of dim that facts have too
+    is left to facts. dim is read twice, facts three times: pass written tables or cheap scans.
     """
-    hot = heavy_keys(facts, key, share).withColumn("_hot", F.lit(True))
+    dim = dim.drop(*[c for c in dim.columns if c != key and c in facts.columns])
+    mark = free_name("_hot", facts, dim)
+    hot = heavy_keys(facts, key, share).withColumn(mark, F.lit(True))
     # at most `share` rows by the definition of heavy_keys
     marked = facts.join(F.broadcast(hot), key, "left")
     dim_hot = dim.join(F.broadcast(hot.select(key)), key, "left_semi")
-    a = marked.filter("_hot").drop("_hot").join(F.broadcast(dim_hot), key, how)
-    b = marked.filter("_hot is null").drop("_hot").join(dim, key, how)
+    a = marked.filter(F.col(mark)).drop(mark).join(F.broadcast(dim_hot), key, how)
+    b = marked.filter(F.col(mark).isNull()).drop(mark).join(dim, key, how)
     return a.unionByName(b)

@@ -67,8 +67,8 @@ def rs_fractions(px: DataFrame, by: Sequence[str], image: Sequence[str] = ("imag
 
 
 def rs_score(fractions: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Regularity score per group: the mean over masks and orientations of rises minus falls."""
-    return fractions.groupBy(*by).agg(F.avg(F.col("rises") - F.col("falls")).alias("score"))
+    """Regularity score per group: minus the mean over masks and orientations of rises minus falls."""
+    return fractions.groupBy(*by).agg(F.avg(F.col("falls") - F.col("rises")).alias("score"))
 
 
 #: Residual filters along a line: taps on a pixel and those after it (fixed values).

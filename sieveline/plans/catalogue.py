@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sieveline.plans import bookkeeping, compaction, corpus, evaluation, planner, rasters
+from sieveline.plans import bookkeeping, compaction, corpus, evaluation, kernels, planner, rasters
 
 FLAGSHIP = "a7_auc"
-_MODULES = (compaction, evaluation, corpus, bookkeeping, planner, rasters)
+_MODULES = (compaction, evaluation, corpus, bookkeeping, planner, rasters, kernels)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

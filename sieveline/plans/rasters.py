@@ -142,7 +142,7 @@ ORACLE = {
     "a18_adjacent_bins": _PX + """SELECT image_id, -sum((e - o) ** 2 / (e + o)) / sum(e + o) AS score FROM (
       SELECT image_id, value // 2 AS pair, count(*) FILTER (value % 2 = 0) AS e, count(*) FILTER (value % 2 = 1) AS o FROM px GROUP BY image_id, value // 2) GROUP BY image_id""",
     "a23_rs_fractions": _PX + _RS + "SELECT * FROM rs",
-    "a19_rs_score": _PX + _RS + "SELECT archive, avg(rises - falls) AS score FROM rs GROUP BY archive",
+    "a19_rs_score": _PX + _RS + "SELECT archive, avg(falls - rises) AS score FROM rs GROUP BY archive",
     "w7_residuals": _PX + """, d AS (SELECT value AS a, lead(value) OVER w AS b, lead(value, 2) OVER w AS c, lead(value, 3) OVER w AS e FROM px WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
       SELECT filter, r::INT AS r, count(*) AS n FROM (SELECT 'd1' AS filter, b - a AS r FROM d UNION ALL SELECT 'd2', a - 2 * b + c FROM d UNION ALL SELECT 'd3', -a + 3 * b - 3 * c + e FROM d)
       WHERE r IS NOT NULL GROUP BY filter, r""",
