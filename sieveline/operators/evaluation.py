@@ -165,13 +165,13 @@ def paired_difference(pred: DataFrame, unit: str, pair: str, first: str, second:
     """
     rows = materialize(pred.filter(F.col(pair).isin(first, second)), "pair")
     side = lambda v, name: F.max(F.when(F.col(pair) == v, F.col("auc"))).alias(name)
-    whole = auc(rows, [*by, pair]).groupBy(*by).agg(side(first, "a"), side(second, "b"))
-    whole = whole.select(*by, (F.col("a") - F.col("b")).alias("delta"))
-    reps = bootstrap_areas(rows, unit, repetitions, [*by, pair]).groupBy(*by, "rep").agg(side(first, "a"), side(second, "b"))
+    whole = auc(rows, [*by, pair]).groupBy(*by).agg(side(first, "_a"), side(second, "_b"))
+    whole = whole.select(*by, (F.col("_a") - F.col("_b")).alias("delta"))
+    reps = bootstrap_areas(rows, unit, repetitions, [*by, pair]).groupBy(*by, "rep").agg(side(first, "_a"), side(second, "_b"))
     best = lambda c: F.greatest(F.col(c), 1 - F.col(c))
-    reps = reps.filter("a is not null and b is not null").select(*by, (F.col("a") - F.col("b")).alias("d"), (best("a") - best("b")).alias("r"))
-    q = reps.groupBy(*by).agg(F.expr("percentile(d, array(0.025, 0.975))").alias("d"), F.expr("percentile(r, array(0.025, 0.975))").alias("r"))
-    q = q.select(*by, F.col("d")[0].alias("low"), F.col("d")[1].alias("high"), F.col("r")[0].alias("robust_low"), F.col("r")[1].alias("robust_high"))
+    reps = reps.filter("_a is not null and _b is not null").select(*by, (F.col("_a") - F.col("_b")).alias("_d"), (best("_a") - best("_b")).alias("_r"))
+    q = reps.groupBy(*by).agg(F.expr("percentile(_d, array(0.025, 0.975))").alias("_d"), F.expr("percentile(_r, array(0.025, 0.975))").alias("_r"))
+    q = q.select(*by, F.col("_d")[0].alias("low"), F.col("_d")[1].alias("high"), F.col("_r")[0].alias("robust_low"), F.col("_r")[1].alias("robust_high"))
     return join_by(whole, q, by)
 
 
