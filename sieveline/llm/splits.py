@@ -93,9 +93,10 @@ def _packer(bins: int):
 def equal_bins(items: DataFrame, bins: int = BINS, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """Pack items (unit, weight bigint) into bins of nearly equal weight: rows (unit, bin bigint, weight).
 
-    unit must be unique and not null. Null weights count as 0. No items give no rows.
+    unit must be unique and not null. Null weights count as 0. No items give no rows. A chunk takes at least
+    four times as many items as there are bins, so that every level has far fewer items than the one before.
     """
-    spark = items.sparkSession
+    chunk_items = max(chunk_items, 4 * bins)
     items = materialize(items.select("unit", F.coalesce(F.col("weight").cast("bigint"), F.lit(0)).alias("weight")), "items")
     n, levels = items.count(), []
     while True:
@@ -117,7 +118,7 @@ def equal_bins(items: DataFrame, bins: int = BINS, chunk_items: int = CHUNK_ITEM
     while levels:
         # each bin of a chunk holds an equal share of the chunk, so no key is hot
         found = levels.pop().join(found.select(F.col("unit").alias("up"), F.col("up").alias("top")), "up").select("unit", F.col("top").alias("up"), "weight")
-    return found.select("unit", F.col("up").alias("bin"), "weight") if found is not None else spark.createDataFrame([], "unit string, bin bigint, weight bigint")
+    return found.select("unit", F.col("up").alias("bin"), "weight")
 
 
 def allocate(sums: Mapping[int, int], shares: Mapping[str, float]) -> dict[int, str]:
