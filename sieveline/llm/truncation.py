@@ -156,7 +156,7 @@ def _before_dots(b: Batch) -> np.ndarray:
         if not back.any():
             break
         at = np.where(back, at - 1, at)
-    drawn = (c[at] == c[at - 1]) & (c[at] == c[np.maximum(at - 2, 0)]) & ~b.edge[at]
+    drawn = (c[at] == c[at - 1]) & (c[at] == c[np.maximum(at - 2, 0)]) & (c[at] != 48) & ~b.edge[at]
     return np.where(dots & ~drawn & ~b.edge[at], at, -1)
 
 

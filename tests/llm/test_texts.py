@@ -13,7 +13,7 @@ from sieveline.llm.tokens import count_tokens
 def test_token_counts(spark):
     rows = [("",), (None,), ("hello world",), ("<|endoftext|>",), ("ü" * 100,), ("word " * 60_000,), ("�\x00♪",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(count_tokens(F.col("t"))).collect()]
-    assert got[:2] == [0, 0] and got[2] == 2 and got[3] > 1 and got[5] >= 60_000
+    assert got[:2] == [0, 0] and 2 <= got[2] <= 3 and got[3] > 1 and got[5] >= 60_000
     assert all(n <= len((t or "").encode()) for n, (t,) in zip(got, rows))
 
 
@@ -23,9 +23,10 @@ def test_packing_one_shard():
     bins = packing.pack_shard(sizes)
     fill = np.bincount(bins, sizes)
     assert fill.max() <= 4096 and fill.min() > 0
-    assert fill.sum() / (len(fill) * 4096) > 0.9
-    small = np.bincount(packing.pack_shard(rng.integers(50, 900, 5000)), rng.integers(0, 1, 5000))
-    assert len(small) > 0
+    assert fill.sum() / (len(fill) * 4096) > 0.84  # sizes up to the capacity leave gaps that nothing fits
+    sizes = rng.integers(50, 900, 5000)
+    fill = np.bincount(packing.pack_shard(sizes), sizes)
+    assert fill.max() <= 4096 and fill.sum() / (len(fill) * 4096) > 0.97
     exact = packing.pack_shard(np.array([4096, 2048, 2048, 1, 4095]))
     assert len(set(exact.tolist())) == 3
 
