@@ -163,7 +163,7 @@ def u5_all_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.union(_records(spark, sf_dir).select("rate")).filter("rate is not null").distinct()
 
 
-def p14_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_p14_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File tag of each option and the parts of a variant's name."""
     rows = _records(spark, sf_dir).filter("option is not null and strategy is not null").select("option", "strategy").distinct()
     name = F.concat_ws("_", "strategy", F.replace("option", F.lit("."), F.lit("p")))
@@ -171,7 +171,7 @@ def p14_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("strategy", F.regexp_extract("variant", "(.*)_([^_]*)$", 1)).withColumn("rate_tag", F.substring_index("variant", "_", -1))
 
 
-def p16_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_p16_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of each part without a record of 0.05, neither success nor failure: what a complete run must not have."""
     done = read(spark, sf_dir, "sample_record", "image", "option").filter("option = '0.05'").select(F.col("image").alias("image_id"))
     missing = image_parts(spark, sf_dir).join(done, "image_id", "left_anti")
@@ -189,7 +189,7 @@ QUERIES = {
     for f in (
         a1_counts, a2_success_means, a3_grouped_median, a4_distinct_sets, j5_pairs, a5_paired_saving, a6_stage_means, w4_running_best, w5_stage_seconds,
         w8_alternating, j1_covers_and_stegos, j2_group_lookup, j3_common, j4_key_differences, j8_pending, j9_accepted, j11_task_grid, j12_identity,
-        o1_numeric_sort, o3_sorted_report, o4_limited_jobs, o5_worst_case, o6_shuffled_tasks, u3_common_accepted, u5_all_rates, p14_tags, p16_completeness,
+        o1_numeric_sort, o3_sorted_report, o4_limited_jobs, o5_worst_case, o6_shuffled_tasks, u3_common_accepted, u5_all_rates, q_p14_tags, q_p16_completeness,
         s17_completed,
     )
 }
@@ -238,8 +238,8 @@ ORACLE = {
     "o6_shuffled_tasks": f"SELECT image_id, option, repeat, sha256('20260926:' || image_id || ':' || option || ':' || repeat::VARCHAR) AS turn_key FROM ({_GRID}) ORDER BY turn_key LIMIT 60",
     "u3_common_accepted": _S + "SELECT image_id FROM samples WHERE option = '0.05' INTERSECT SELECT image_id FROM samples WHERE option = 'auto'",
     "u5_all_rates": "SELECT unnest(candidate_rates) AS rate FROM manifest UNION SELECT rate FROM sample_record WHERE rate IS NOT NULL",
-    "p14_tags": """WITH t AS (SELECT DISTINCT option, replace(option, '.', 'p') AS tag, strategy || '_' || replace(option, '.', 'p') AS variant FROM sample_record WHERE option IS NOT NULL AND strategy IS NOT NULL)
+    "q_p14_tags": """WITH t AS (SELECT DISTINCT option, replace(option, '.', 'p') AS tag, strategy || '_' || replace(option, '.', 'p') AS variant FROM sample_record WHERE option IS NOT NULL AND strategy IS NOT NULL)
       SELECT *, regexp_extract(variant, '(.*)_([^_]*)$', 1) AS strategy, regexp_extract(variant, '(.*)_([^_]*)$', 2) AS rate_tag FROM t""",
-    "p16_completeness": _S + "SELECT part, count(*) AS missing FROM image_parts WHERE image_id NOT IN (SELECT image FROM sample_record WHERE option = '0.05' AND image IS NOT NULL) GROUP BY part",
+    "q_p16_completeness": _S + "SELECT part, count(*) AS missing FROM image_parts WHERE image_id NOT IN (SELECT image FROM sample_record WHERE option = '0.05' AND image IS NOT NULL) GROUP BY part",
     "s17_completed": r"SELECT tag, count(*) AS files FROM (SELECT regexp_extract(path, '^artifacts/samples/[^/]+/([0-9]{9})/([^/.]+)\.json$', 2) AS tag FROM result_file) WHERE tag <> '' GROUP BY tag",
 }

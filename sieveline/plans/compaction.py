@@ -19,12 +19,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed pixels of the automatic rate per image, from the compacted files."""
+    """Records, failures and changed pixels of the automatic rate per image, from the compacted files."""
     compacted, _ = compact_files(_table(spark, sf_dir))
     return (
         compacted.filter("option = 'auto' and image is not null and run_id is not null")
         .groupBy("image")
-        .agg(F.count(F.lit(1)).alias("records"), F.count("failure").alias("failures"))
+        .agg(F.count(F.lit(1)).alias("records"), F.count("failure").alias("failures"), F.sum("auto_changed_pixels").alias("changed_pixels"))
     )
 
 

@@ -67,14 +67,14 @@ def a12_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*BY, "orientation_robust_auc", "orientation_robust_auc_upper_95", (upper <= ev.PASS_BOUND).alias("passes_provisional_upper_bound"))
 
 
-def p13_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_p13_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass, fail or control per detector; option auto plays the control."""
     out = a12_robust(spark, sf_dir)
     status = F.when(F.col("variant") == "auto", "control").when(F.col("passes_provisional_upper_bound"), "pass").otherwise("fail")
     return out.select(*BY, status.alias("status"))
 
 
-def p18_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_p18_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate per variant: every upper bound passes, or a control's least lower bound exceeds its limit."""
     out = _metrics(spark, sf_dir).withColumn("upper", ev.robust(F.col("low"), F.col("high")))
     return out.groupBy("variant").agg(F.bool_and(F.col("upper") <= ev.PASS_BOUND).alias("passes"), (F.min("low") > ev.CONTROL_BOUND).alias("control_ok"))
@@ -110,7 +110,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a7_auc, a7_auc_by_part, w3_roc_points, a8_youden, a9_calibration, a10_low_fpr, a11_error_rates, a12_robust, a13_bootstrap,
-        a14_paired_difference, a15_verdict, a16_max_upper, p13_status, p18_gate, u1_labelled_union,
+        a14_paired_difference, a15_verdict, a16_max_upper, q_p13_status, q_p18_gate, u1_labelled_union,
     )
 }
 
@@ -184,8 +184,8 @@ ORACLE = {
     SELECT *, (false_positive_rate + 1 - true_positive_rate) / 2 AS equal_prior_error FROM e""",
     "a13_bootstrap": _METRICS + "SELECT variant, detector, auc, low, high FROM m",
     "a12_robust": _METRICS + "SELECT variant, detector, greatest(auc, 1 - auc) AS orientation_robust_auc, upper AS orientation_robust_auc_upper_95, upper <= 0.55::DOUBLE AS passes_provisional_upper_bound FROM m",
-    "p13_status": _METRICS + "SELECT variant, detector, CASE WHEN variant = 'auto' THEN 'control' WHEN upper <= 0.55::DOUBLE THEN 'pass' ELSE 'fail' END AS status FROM m",
-    "p18_gate": _METRICS + "SELECT variant, bool_and(upper <= 0.55::DOUBLE) AS passes, min(low) > 0.75::DOUBLE AS control_ok FROM m GROUP BY variant",
+    "q_p13_status": _METRICS + "SELECT variant, detector, CASE WHEN variant = 'auto' THEN 'control' WHEN upper <= 0.55::DOUBLE THEN 'pass' ELSE 'fail' END AS status FROM m",
+    "q_p18_gate": _METRICS + "SELECT variant, bool_and(upper <= 0.55::DOUBLE) AS passes, min(low) > 0.75::DOUBLE AS control_ok FROM m GROUP BY variant",
     "a16_max_upper": _METRICS + "SELECT variant, max(upper) AS max_upper, arg_max(detector, upper) AS detector FROM m GROUP BY variant",
     "a14_paired_difference": _PAIRED + "SELECT detector, delta, low, high, robust_low, robust_high FROM x",
     "a15_verdict": _PAIRED
