@@ -8,7 +8,8 @@ model nor what reaches the driver grows with the data.
 
 A value's score is the log-odds of its final context: end of text against continuation, interpolated
 from short to long contexts. Ends inside texts are certain; the last ends of texts are doubtful and
-only count where at least three different texts end alike (credits and the like stand nowhere else).
+only count where at least three different texts end alike, beyond what cuts at random places would give
+(credits and the like stand nowhere else).
 Where a text stops with an ellipsis, the context before the dots is scored too, since they may be the sign
 of a cut. The threshold of each language (and column, one call each) is where inner ends and places inside
 blocks, one of each from every text and each scored without itself, are told apart best.
@@ -214,6 +215,8 @@ def log_odds(cells: np.ndarray, model: list[np.ndarray], row: int, own: int | No
     """
     e0, g0 = float(model[0][row].sum()), float(model[0][PLACES].sum())
     p0 = (e0 + 1) / (e0 + g0 + 2)
+    # were every text cut anywhere, so many last ends would fall on a place; thrice that is still chance
+    chance = 3 * float(model[0][LAST].sum()) / max(g0, 1.0)
     n = len(cells)
     p, e, g, last = np.full(n, p0), np.full(n, np.inf), np.full(n, np.inf), np.full(n, np.inf)
     for t, cell in zip(model, cells.T):
@@ -221,8 +224,8 @@ def log_odds(cells: np.ndarray, model: list[np.ndarray], row: int, own: int | No
         e = np.minimum(e, np.maximum(t[row][cell] - (own == row), 0))
         g = np.minimum(g, np.maximum(t[PLACES][cell] - (own == PLACES), 0))
         if row == ENDS:  # three texts that end alike are the least that counts, the text itself among them
-            last = np.minimum(last, np.maximum(t[LAST][cell] - 2, 0))
-            more = last
+            last = np.minimum(last, t[LAST][cell])
+            more = np.maximum(last - 2 - chance * g, 0)
         else:
             more = 0
         p = (e + more + BACKOFF * p) / (e + more + g + BACKOFF)
@@ -341,7 +344,7 @@ def score_ends(docs: DataFrame, column: str = "text") -> DataFrame:
     slabs = read.filter("kind = 'counts'").select("slab", "counts").groupBy("slab").applyInPandas(_add_slabs, "slab int, counts binary")
     texts = read.filter("kind = 'text'")
     # texts that end alike, each different text once; cells number at most those of the tables
-    last = texts.filter("last is not null").groupBy("tail").agg(F.first("last").alias("last")).select(F.posexplode("last").alias("i", "cell"))
+    last = texts.filter("last is not null").groupBy("tail").agg(F.min("last").alias("last")).select(F.posexplode("last").alias("i", "cell"))
     last = last.groupBy("i", "cell").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 2").toPandas()
     by_order = {int(i): (x["cell"].to_numpy(), x["n"].to_numpy()) for i, x in last.groupby("i")}
     packed = spark.sparkContext.broadcast(({r["slab"]: bytes(r["counts"]) for r in slabs.collect()}, by_order))
