@@ -125,8 +125,8 @@ def j12_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o1_numeric_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 50 images by their number."""
-    return read(spark, sf_dir, "source_image", "image_id").distinct().orderBy(F.col("image_id").cast("bigint")).limit(50)
+    """All images in the order of their numbers."""
+    return read(spark, sf_dir, "source_image", "image_id").distinct().orderBy(F.col("image_id").cast("bigint"))
 
 
 def o3_sorted_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def o5_worst_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o6_shuffled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The task grid in an order fixed by a hash of each task, which replaces a seeded shuffle."""
     key = F.sha2(F.concat_ws(":", F.lit("20260926"), "image_id", "option", F.col("repeat").cast("string")), 256)
-    return j11_task_grid(spark, sf_dir).withColumn("turn_key", key).orderBy("turn_key").limit(60)
+    return j11_task_grid(spark, sf_dir).withColumn("turn_key", key).orderBy("turn_key")
 
 
 def u3_common_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +231,11 @@ ORACLE = {
     "j11_task_grid": _GRID,
     "j12_identity": """SELECT image, option, count(*) AS runs, count(DISTINCT (coalesce(changed_pixels, -1), coalesce(distortion, -1))) = 1 AS identical
       FROM sample_record WHERE image IS NOT NULL AND option IS NOT NULL GROUP BY image, option HAVING count(*) > 1""",
-    "o1_numeric_sort": "SELECT DISTINCT image_id FROM source_image ORDER BY image_id::BIGINT LIMIT 50",
+    "o1_numeric_sort": "SELECT DISTINCT image_id FROM source_image ORDER BY image_id::BIGINT",
     "o3_sorted_report": "SELECT option, count(*) AS completed, count(failure) AS rejected FROM sample_record GROUP BY option ORDER BY option NULLS LAST",
     "o4_limited_jobs": _PENDING + " ORDER BY image_id, option LIMIT 100",
     "o5_worst_case": _S + "SELECT option, max(changed_pixels) AS changed_pixels, min(image_id) FILTER (changed_pixels = m) AS image_id FROM (SELECT *, max(changed_pixels) OVER (PARTITION BY option) AS m FROM samples) GROUP BY option",
-    "o6_shuffled_tasks": f"SELECT image_id, option, repeat, sha256('20260926:' || image_id || ':' || option || ':' || repeat::VARCHAR) AS turn_key FROM ({_GRID}) ORDER BY turn_key LIMIT 60",
+    "o6_shuffled_tasks": f"SELECT image_id, option, repeat, sha256('20260926:' || image_id || ':' || option || ':' || repeat::VARCHAR) AS turn_key FROM ({_GRID}) ORDER BY turn_key",
     "u3_common_accepted": _S + "SELECT image_id FROM samples WHERE option = '0.05' INTERSECT SELECT image_id FROM samples WHERE option = 'auto'",
     "u5_all_rates": "SELECT unnest(candidate_rates) AS rate FROM manifest UNION SELECT rate FROM sample_record WHERE rate IS NOT NULL",
     "q_p14_tags": """WITH t AS (SELECT DISTINCT option, replace(option, '.', 'p') AS tag, strategy || '_' || replace(option, '.', 'p') AS variant FROM sample_record WHERE option IS NOT NULL AND strategy IS NOT NULL)

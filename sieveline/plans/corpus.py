@@ -49,9 +49,9 @@ def w1_greedy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o2_hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 100 groups in hash order."""
+    """All groups in hash order."""
     rows = _groups(spark, sf_dir).select("group_id", corpus.hash_order(F.col("first")).alias("h"))
-    return rows.orderBy("h").limit(100)
+    return rows.orderBy("h")
 
 
 def w2_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ ORACLE = {
       s2 AS (SELECT coalesce(min(cum), 1e18::BIGINT) AS e FROM c, n, s1 WHERE cum >= s1.e + n * 4 // 100),
       s3 AS (SELECT coalesce(min(cum), 1e18::BIGINT) AS e FROM c, n, s2 WHERE cum >= s2.e + n * 10 // 100)
       SELECT group_id, size, CASE WHEN cum <= s1.e THEN 'train' WHEN cum <= s2.e THEN 'validation' WHEN cum <= s3.e THEN 'test' ELSE 'reserve' END AS part FROM c, s1, s2, s3""",
-    "o2_hash_order": _GROUPS + "SELECT group_id, sha256('split-93191:' || first) AS h FROM g ORDER BY h LIMIT 100",
+    "o2_hash_order": _GROUPS + "SELECT group_id, sha256('split-93191:' || first) AS h FROM g ORDER BY h",
     "w2_first_k": """SELECT image_id, part, ordinal, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY ordinal, image_id) AS rank
       FROM (SELECT DISTINCT image_id, part, ordinal FROM manifest_split WHERE ordinal IS NOT NULL AND part IN ('train', 'validation', 'test')))
       WHERE rank <= CASE WHEN part = 'validation' THEN 60 ELSE 120 END""",
