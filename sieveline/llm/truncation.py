@@ -12,7 +12,8 @@ only count where at least three different texts end alike, beyond what cuts at r
 (credits and the like stand nowhere else).
 Where a text stops with an ellipsis, the context before the dots is scored too, since they may be the sign
 of a cut. The threshold of each language (and column, one call each) is where inner ends and places inside
-blocks, one of each from every text and each scored without itself, are told apart best.
+blocks, all of every text and each scored without itself, are told apart best. They are scored in a second
+pass over the texts, once the counts are whole, and only histograms of their scores leave a task.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def _before_dots(b: Batch) -> np.ndarray:
 
 
 class Counter:
-    """Counts of a task, and the contexts of each text that are scored later."""
+    """Counts of a task, and the last contexts of its texts."""
 
     def __init__(self):
         self.tables = [np.zeros((3, 1 << bits), np.int32) for bits in CELL_BITS]
@@ -178,33 +179,20 @@ class Counter:
                     cells.clear()
         self.n_waiting = 0
 
-    def add(self, texts: list[str], pick: np.ndarray) -> dict[str, np.ndarray]:
-        """Count texts; returns by text the cells of its last end, of the place before a final ellipsis,
-        of one inner end and of one place within a block (rows of -1 where there is none).
-
-        pick: a number per text that chooses the two.
-        """
+    def add(self, texts: list[str]) -> np.ndarray:
+        """Count texts; returns by text the cells of its last end (rows of -1 where there is none)."""
         b = Batch(texts)
-        ends, on, before = places(b)
-        dots = _before_dots(b)
-
-        def choose(among: np.ndarray) -> np.ndarray:
-            lo, hi = np.searchsorted(among, b.first), np.searchsorted(among, b.last, "right")
-            k = lo + pick % np.maximum(hi - lo, 1)
-            return np.where(hi > lo, among[np.minimum(k, len(among) - 1)] if len(among) else -1, -1)
-
+        kinds = places(b)
         whole = b.last >= b.first
-        wanted = {"last": np.where(whole, b.last, -1), "dots": np.where(whole, dots, -1), "end": choose(ends), "place": choose(on)}
-        out: dict[str, list[np.ndarray]] = {k: [] for k in wanted}
-        for kinds, cell in zip(self.waiting, b.cells()):
-            for cells, at in zip(kinds, (ends, on, before)):
+        out = []
+        for waiting, cell in zip(self.waiting, b.cells()):
+            for cells, at in zip(waiting, kinds):
                 cells.append(cell[at])
-            for k, at in wanted.items():
-                out[k].append(np.where(at >= 0, cell[at].astype(np.int32), -1))
-        self.n_waiting += len(on)
+            out.append(np.where(whole, cell[b.last].astype(np.int32), -1))
+        self.n_waiting += len(kinds[PLACES])
         if self.n_waiting >= FLUSH:
             self.flush()
-        return {k: np.stack(v, 1) for k, v in out.items()}
+        return np.stack(out, 1)
 
 
 def log_odds(cells: np.ndarray, model: list[np.ndarray], row: int, own: int | None = None) -> np.ndarray:
@@ -233,33 +221,32 @@ def log_odds(cells: np.ndarray, model: list[np.ndarray], row: int, own: int | No
     return np.where(cells[:, 0] >= 0, np.log(p / (1 - p)) - np.log(p0 / (1 - p0)), 0.0)
 
 
-_READ = (
-    "kind string, doc_id bigint, lang string, source string, tail bigint, signed boolean, last array<int>, dots array<int>, end array<int>, place array<int>, "
-    "slab int, counts binary"
-)
+_READ = "kind string, tail bigint, last array<int>, slab int, counts binary"
 
 
-def _reader(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per text with its contexts, and at a task's end its counts in compressed slabs."""
-    counter = Counter()
+def _bare(texts: Iterable[str | None]) -> tuple[list[str], list[bool]]:
+    """Texts as the model reads them, without a sign of a cut; and whether there was one or a broken last character."""
+    whole = [clean(t) if t else "" for t in texts]
+    bare = [SIGNS.sub("", t) for t in whole]
+    return bare, [a != b or b.endswith(BROKEN) for a, b in zip(whole, bare)]
 
-    def handle(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = [clean(t) if t else "" for t in pdf["text"]]
-        bare = [SIGNS.sub("", t) for t in texts]
-        signed = [a != b or b.endswith(BROKEN) for a, b in zip(texts, bare)]
-        cells = counter.add(bare, pdf["pick"].to_numpy())
-        out = pdf[["doc_id", "lang", "source"]].assign(
-            kind="text", tail=[zlib.crc32(t[-160:].encode("utf-8", "replace")) | len(t) << 32 for t in bare], signed=signed, slab=None, counts=None
-        )
-        for k, v in cells.items():
-            out[k] = [x if x[0] >= 0 else None for x in v]
-        return out
 
+def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in pieces of about BATCH_CHARS characters of text."""
+    size = pdf["text"].str.len().fillna(0).to_numpy()
+    for _, chunk in pdf.groupby((np.cumsum(size) // BATCH_CHARS).astype(np.int64)):
+        yield chunk
+
+
+def _reader(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per text with its last context, and at a task's end its counts in compressed slabs."""
+    counter = Counter()
     for pdf in it:
-        size = pdf["text"].str.len().fillna(0).to_numpy()
-        part = (np.cumsum(size) // BATCH_CHARS).astype(np.int64)
-        for _, chunk in pdf.groupby(part):
-            yield handle(chunk)
+        for chunk in _chunks(pdf):
+            bare, _ = _bare(chunk["text"])
+            last = counter.add(bare)
+            tail = [zlib.crc32(t[-160:].encode("utf-8", "replace")) | len(t) << 32 for t in bare]
+            yield pd.DataFrame({"kind": "text", "tail": tail, "last": [x if x[0] >= 0 else None for x in last], "slab": None, "counts": None})
     counter.flush()
     rows = []
     flat = np.concatenate([t.ravel() for t in counter.tables])
@@ -303,77 +290,97 @@ def _model(slabs: dict[int, bytes], last: dict[int, tuple[np.ndarray, np.ndarray
     return out
 
 
-_SCORED = "doc_id bigint, lang string, source string, score double, end double, place double"
+_SCORED = "kind string, doc_id bigint, lang string, source string, score double, label string, bin bigint, n bigint"
+
+#: Width of the steps in which thresholds are sought, the range they lie in, and the labelled places of
+#: each kind a language needs for a threshold of its own.
+STEP, RANGE, LEAST = 0.25, (-8.0, 4.0), 200
+#: First bin of a histogram of scores, which takes all below the range, and the number of bins.
+LOW = round(RANGE[0] / STEP) - 1
+BINS = round(RANGE[1] / STEP) - LOW + 1
+
+
+def _histograms(score: np.ndarray, lang: np.ndarray, n_langs: int) -> np.ndarray:
+    """Scores by language number and bin."""
+    b = np.floor(np.clip(score, RANGE[0] - STEP, RANGE[1]) / STEP).astype(np.int64) - LOW
+    return np.bincount(lang * BINS + b, minlength=n_langs * BINS).reshape(n_langs, BINS)
+
+
+def _score_texts(texts: Iterable[str | None], lang: np.ndarray, n_langs: int, model: list[np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Scores of the texts' ends (nan where there is no text), and histograms by language number of all inner
+    ends and all places within blocks, each scored without itself."""
+    bare, signed = _bare(texts)
+    b = Batch(bare)
+    ends, on, _ = places(b)
+    dots, whole = _before_dots(b), b.last >= b.first
+    cells = np.stack(list(b.cells())).view(np.int32)
+    score = log_odds(cells[:, b.last].T, model, ENDS)
+    doubted = whole & (dots >= 0)
+    score[doubted] = np.minimum(score[doubted], log_odds(cells[:, dots[doubted]].T, model, BEFORE_STOPS))
+    score[signed] = CERTAIN
+    owner = lambda at: lang[np.searchsorted(b.first, at, "right") - 1]
+    found = {}
+    for label, at, row in (("end", ends, ENDS), ("place", on, PLACES)):
+        found[label] = _histograms(log_odds(cells[:, at].T, model, ENDS, row), owner(at), n_langs)
+    return np.where(whole, score, np.nan), found
 
 
 def _scorer(packed):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(*packed.value)
-        none = np.full(len(ORDERS), -1, np.int32)
-        grid = lambda s: np.stack([none if x is None else np.asarray(x, np.int32) for x in s]) if len(s) else np.empty((0, len(ORDERS)), np.int32)
         for pdf in it:
-            last, dots, end, place = (grid(pdf[k]) for k in ("last", "dots", "end", "place"))
-            score = log_odds(last, model, ENDS)
-            score = np.where(dots[:, 0] >= 0, np.minimum(score, log_odds(dots, model, BEFORE_STOPS)), score)
-            score = np.where(pdf["signed"].to_numpy(bool), CERTAIN, score)
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"], "lang": pdf["lang"], "source": pdf["source"],
-                    "score": np.where(last[:, 0] >= 0, score, np.nan),
-                    "end": np.where(end[:, 0] >= 0, log_odds(end, model, ENDS, ENDS), np.nan),
-                    "place": np.where(place[:, 0] >= 0, log_odds(place, model, ENDS, PLACES), np.nan),
-                }
-            )
+            code, langs = pd.factorize(pdf["lang"])
+            total = {label: np.zeros((len(langs), BINS), np.int64) for label in ("end", "place")}
+            for chunk in _chunks(pdf.assign(code=code)):
+                score, found = _score_texts(chunk["text"], chunk["code"].to_numpy(), len(langs), model)
+                yield chunk[["doc_id", "lang", "source"]].assign(kind="text", score=score, label=None, bin=None, n=None)
+                for label, x in found.items():
+                    total[label] += x
+            for label, x in total.items():
+                at, b = np.nonzero(x)
+                yield pd.DataFrame({"kind": "labelled", "doc_id": None, "lang": langs[at], "source": None, "score": np.nan, "label": label, "bin": b + LOW, "n": x[at, b]})
 
     return run
 
 
-def score_ends(docs: DataFrame, column: str = "text") -> DataFrame:
-    """One row (doc_id, lang, source, score, end, place) per document: the score of its text's end.
+def score_ends(docs: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The scores of the texts' ends, and the histograms that thresholds are fitted on.
 
-    docs: doc_id bigint, lang, source and the text column. Null and empty texts have a null score. lang is
-    lower-cased; null becomes 'und'. end and place are scores of one inner end and one place within
-    a block of the same text, null where it has none; thresholds are fitted on them.
+    docs: doc_id bigint, lang, source and the text column; it is read twice. Scores: one row (doc_id, lang,
+    source, score) per document; null and empty texts have a null score. lang is lower-cased; null becomes
+    'und'. Histograms: rows (lang, label, bin, n) that count by score all inner ends (label 'end') and all
+    places within a block (label 'place') of all texts.
     """
     spark = docs.sparkSession
     rows = docs.select(
-        "doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("und")).alias("lang"), source_name("source").alias("source"),
-        F.col(column).alias("text"), F.shiftrightunsigned(F.xxhash64("doc_id"), 33).alias("pick"),
+        "doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("und")).alias("lang"), source_name("source").alias("source"), F.col(column).alias("text")
     )
-    read = materialize(rows.mapInPandas(_reader, _READ), "contexts")
+    read = materialize(rows.select("text").mapInPandas(_reader, _READ), "contexts")
     slabs = read.filter("kind = 'counts'").select("slab", "counts").groupBy("slab").applyInPandas(_add_slabs, "slab int, counts binary")
-    texts = read.filter("kind = 'text'")
     # texts that end alike, each different text once; cells number at most those of the tables
-    last = texts.filter("last is not null").groupBy("tail").agg(F.min("last").alias("last")).select(F.posexplode("last").alias("i", "cell"))
+    last = read.filter("last is not null").groupBy("tail").agg(F.min("last").alias("last")).select(F.posexplode("last").alias("i", "cell"))
     last = last.groupBy("i", "cell").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 2").toPandas()
     by_order = {int(i): (x["cell"].to_numpy(), x["n"].to_numpy()) for i, x in last.groupby("i")}
     packed = spark.sparkContext.broadcast(({r["slab"]: bytes(r["counts"]) for r in slabs.collect()}, by_order))
-    narrow = texts.select("doc_id", "lang", "source", "signed", "last", "dots", "end", "place")
-    return narrow.mapInPandas(_scorer(packed), _SCORED).withColumns({c: F.nanvl(c, F.lit(None)) for c in ("score", "end", "place")})
-
-
-#: Width of the steps in which thresholds are sought, the range they lie in, and the labelled places of
-#: each kind a language needs for a threshold of its own.
-STEP, RANGE, LEAST = 0.25, (-8.0, 4.0), 200
+    scored = materialize(rows.mapInPandas(_scorer(packed), _SCORED), "scored")
+    texts = scored.filter("kind = 'text'").select("doc_id", "lang", "source", F.nanvl("score", F.lit(None)).alias("score"))
+    labelled = scored.filter("kind = 'labelled'").groupBy("lang", "label", "bin").agg(F.sum("n").alias("n"))
+    return texts, labelled
 
 
-def thresholds(scored: DataFrame) -> dict[str, float]:
+def thresholds(labelled: DataFrame) -> dict[str, float]:
     """Threshold of every language, and '' for all others: the middle of where the two kinds part best."""
-    bin_ = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(RANGE[0] - STEP)), F.lit(RANGE[1])) / F.lit(STEP))
-    kinds = F.array(F.struct(F.lit("end").alias("k"), bin_("end").alias("b")), F.struct(F.lit("place").alias("k"), bin_("place").alias("b")))
-    hist = scored.select("lang", F.explode(kinds).alias("x")).select("lang", "x.k", "x.b").filter("b is not null").groupBy("lang", "k", "b").agg(F.count(F.lit(1)).alias("n"))
-    # languages with few texts share the common threshold, so only those with LEAST of a kind are fetched
-    big = hist.groupBy("lang", "k").agg(F.sum("n").alias("s")).filter(F.col("s") >= LEAST).select("lang").distinct()
-    own = hist.join(big, "lang", "left_semi").select("lang", "k", "b", "n")
-    rows = own.unionByName(hist.groupBy("k", "b").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "k", "b", "n")).toPandas()
+    # other languages share the common threshold, so only those with LEAST of both kinds are fetched
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    big = labelled.groupBy("lang").agg(of("end").alias("ends"), of("place").alias("places")).filter(F.least("ends", "places") >= LEAST).select("lang")
+    own = labelled.join(big, "lang", "left_semi").select("lang", "label", "bin", "n")
+    rows = own.unionByName(labelled.groupBy("label", "bin").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "label", "bin", "n")).toPandas()
     out = {}
     steps = np.arange(round(RANGE[0] / STEP), round(RANGE[1] / STEP) + 1)
     for lang, x in rows.groupby("lang"):
-        e, g = x[x["k"] == "end"], x[x["k"] == "place"]
-        if lang and (e["n"].sum() < LEAST or g["n"].sum() < LEAST):
-            continue
-        kept = np.array([e.loc[e["b"] >= s, "n"].sum() for s in steps]) / max(1, e["n"].sum())
-        found = np.array([g.loc[g["b"] < s, "n"].sum() for s in steps]) / max(1, g["n"].sum())
+        e, g = x[x["label"] == "end"], x[x["label"] == "place"]
+        kept = np.array([e.loc[e["bin"] >= s, "n"].sum() for s in steps]) / max(1, e["n"].sum())
+        found = np.array([g.loc[g["bin"] < s, "n"].sum() for s in steps]) / max(1, g["n"].sum())
         good = kept + found
         best = np.flatnonzero(good >= good.max() - 1e-3)
         out[str(lang)] = float(steps[best].mean() * STEP)
@@ -390,8 +397,8 @@ def flag_cut(scored: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 def find_cut(docs: DataFrame, column: str = "text") -> DataFrame:
     """Every document with its score and whether its text was cut before its end."""
-    scored = materialize(score_ends(docs, column), "scored")
-    return flag_cut(scored, thresholds(scored))
+    scored, labelled = score_ends(docs, column)
+    return flag_cut(scored, thresholds(labelled))
 
 
 def cut_shares(flags: DataFrame) -> DataFrame:

@@ -116,3 +116,18 @@ def test_real_texts_cut_anew_are_found(spark, tables):
     got = truncation.find_cut(mixed).join(half.select("doc_id"), "doc_id")
     r = got.agg(F.avg(F.col("cut").cast("int")).alias("recall"), F.count("*").alias("n")).head()
     assert r["n"] > 50 and r["recall"] > 0.95
+
+
+def test_thresholds_count_every_end_and_place(spark):
+    rng = random.Random(8)
+    rows = [(i, subtitle(rng, False), "en" if i % 6 else "nl", "s") for i in range(240)] + [(900, None, "en", "s"), (901, "", "nl", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {}
+    for _, text, lang, _ in rows:
+        blocks = truncation.clean(text or "").split("\x1e")
+        for label, n in (("end", len(blocks) - 1), ("place", sum(len(x) - 1 for x in blocks if x))):
+            want[lang, label] = want.get((lang, label), 0) + n
+    _, labelled = truncation.score_ends(df.repartition(3))
+    got = {(r["lang"], r["label"]): r["n"] for r in labelled.groupBy("lang", "label").agg(F.sum("n").alias("n")).collect()}
+    assert got == want and want["nl", "end"] >= truncation.LEAST > 41  # 41 texts in nl, but ends enough
+    assert set(truncation.thresholds(labelled)) == {"", "en", "nl"}
