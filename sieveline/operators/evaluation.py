@@ -8,6 +8,7 @@ shuffle, and on running totals over those scores.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,6 +120,8 @@ def robust(low: Column, high: Column) -> Column:
 
 #: The pass rule: the bound an area's interval must stay under in either direction, and the least a control must reach.
 PASS_BOUND, CONTROL_BOUND = 0.55, 0.75
+#: Bootstrap repetitions handled at once, so that what is shuffled and spilled at a time does not grow with their number.
+BLOCK = 100
 
 
 def draw_weights(pred: DataFrame, unit: str, repetitions: int, seed: str = "bootstrap-1") -> DataFrame:
@@ -127,13 +130,21 @@ def draw_weights(pred: DataFrame, unit: str, repetitions: int, seed: str = "boot
     Each repetition draws as many units as there are, with replacement. Units are numbered in the order of
     the SHA-256 of their names, and a draw is the SHA-256 of repetition and number, so any engine repeats them.
     """
-    spark = pred.sparkSession
+    return _draws(*_numbered_units(pred, unit), 0, repetitions, seed)
+
+
+def _numbered_units(pred: DataFrame, unit: str) -> tuple[DataFrame, int]:
+    """Units (unit, k) numbered in the order of their names' hashes, and how many there are."""
     units = pred.select(F.col(unit).cast("string").alias("unit")).filter("unit is not null").distinct()
     key = F.conv(F.substring(F.sha2("unit", 256), 1, 13), 16, 10).cast("bigint")
     numbered = running_totals(units.select("unit", key.alias("key"), F.lit(1).cast("bigint").alias("one")), "key", ["one"])
     numbered = materialize(numbered.select("unit", F.col("one_before").alias("k")), "units")
-    n = numbered.count()
-    draws = spark.range(repetitions * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), F.expr(f"id % {max(n, 1)}").alias("j"))
+    return numbered, numbered.count()
+
+
+def _draws(numbered: DataFrame, n: int, first: int, end: int, seed: str = "bootstrap-1") -> DataFrame:
+    """Draws of the repetitions from first up to, not including, end."""
+    draws = numbered.sparkSession.range(first * n, end * n).select(F.floor(F.col("id") / max(n, 1)).alias("rep"), F.expr(f"id % {max(n, 1)}").alias("j"))
     word = F.conv(F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.col("rep").cast("string"), F.lit(":"), F.col("j").cast("string")), 256), 1, 12), 16, 10)
     drawn = draws.select("rep", F.pmod(word.cast("bigint"), F.lit(max(n, 1))).alias("k")).groupBy("rep", "k").agg(F.count(F.lit(1)).alias("weight"))
     return drawn.join(numbered, "k").select("rep", "unit", "weight")
@@ -141,9 +152,14 @@ def draw_weights(pred: DataFrame, unit: str, repetitions: int, seed: str = "boot
 
 def bootstrap_areas(pred: DataFrame, unit: str, repetitions: int, by: By = ()) -> DataFrame:
     """Area of every bootstrap repetition: rows (by, rep, auc). Repetitions with a single class are left out."""
-    draws = materialize(draw_weights(pred, unit, repetitions), "draws")
-    rows = pred.select(*by, "label", "score", F.col(unit).cast("string").alias("unit")).join(draws, "unit")
-    return auc(rows, [*by, "rep"], "weight").filter("auc is not null").drop("p", "n")
+    numbered, n = _numbered_units(pred, unit)
+    unweighted = pred.select(*by, "label", "score", F.col(unit).cast("string").alias("unit"))
+    blocks = []
+    for first in range(0, repetitions, BLOCK):
+        draws = materialize(_draws(numbered, n, first, min(first + BLOCK, repetitions)), "draws")
+        areas = auc(unweighted.join(draws, "unit"), [*by, "rep"], "weight").filter("auc is not null").drop("p", "n")
+        blocks.append(areas if repetitions <= BLOCK else materialize(areas, "areas"))
+    return reduce(DataFrame.unionByName, blocks)
 
 
 def interval(values: DataFrame, value: str, by: By = ()) -> DataFrame:

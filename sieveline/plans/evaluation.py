@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from sieveline.operators import evaluation as ev
 from sieveline.plans.tables import PREDICTIONS, predictions
 
 BY = ("variant", "detector")
-REPETITIONS = 50
+#: Repetitions of the queries that have SQL, and of those named ..._1000, which have none: as many as the reference's.
+REPETITIONS, FULL = 50, 1000
 
 
 def a7_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,52 +52,52 @@ def a11_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.error_rates(ev.oriented(test, ev.materialize(ev.calibrate(validation, BY), "calibration"), BY), BY)
 
 
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _metrics(spark: SparkSession, sf_dir: str, repetitions: int) -> DataFrame:
     pred = ev.materialize(predictions(spark, sf_dir), "predictions")
-    ci = ev.bootstrap_interval(pred, "group_id", REPETITIONS, BY)
+    ci = ev.bootstrap_interval(pred, "group_id", repetitions, BY)
     return ev.join_by(ev.auc(pred, BY), ci, BY)
 
 
-def a13_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a13_bootstrap(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
     """Area with its group bootstrap interval."""
-    return _metrics(spark, sf_dir).select(*BY, "auc", "low", "high")
+    return _metrics(spark, sf_dir, repetitions).select(*BY, "auc", "low", "high")
 
 
-def a12_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a12_robust(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
     """Areas in either direction and the pass rule."""
     upper = ev.robust(F.col("low"), F.col("high"))
-    out = _metrics(spark, sf_dir).withColumn("orientation_robust_auc", F.greatest("auc", 1 - F.col("auc"))).withColumn("orientation_robust_auc_upper_95", upper)
+    out = _metrics(spark, sf_dir, repetitions).withColumn("orientation_robust_auc", F.greatest("auc", 1 - F.col("auc"))).withColumn("orientation_robust_auc_upper_95", upper)
     return out.select(*BY, "orientation_robust_auc", "orientation_robust_auc_upper_95", (upper <= ev.PASS_BOUND).alias("passes_provisional_upper_bound"))
 
 
-def q_p13_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_p13_status(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
     """Pass, fail or control per detector; option auto plays the control."""
-    out = a12_robust(spark, sf_dir)
+    out = a12_robust(spark, sf_dir, repetitions)
     status = F.when(F.col("variant") == "auto", "control").when(F.col("passes_provisional_upper_bound"), "pass").otherwise("fail")
     return out.select(*BY, status.alias("status"))
 
 
-def q_p18_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_p18_gate(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
     """Gate per variant: every upper bound passes, or a control's least lower bound exceeds its limit."""
-    out = _metrics(spark, sf_dir).withColumn("upper", ev.robust(F.col("low"), F.col("high")))
+    out = _metrics(spark, sf_dir, repetitions).withColumn("upper", ev.robust(F.col("low"), F.col("high")))
     return out.groupBy("variant").agg(F.bool_and(F.col("upper") <= ev.PASS_BOUND).alias("passes"), (F.min("low") > ev.CONTROL_BOUND).alias("control_ok"))
 
 
-def a16_max_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a16_max_upper(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
     """The worst upper bound per variant and the detector that has it."""
-    out = _metrics(spark, sf_dir).withColumn("upper", ev.robust(F.col("low"), F.col("high")))
+    out = _metrics(spark, sf_dir, repetitions).withColumn("upper", ev.robust(F.col("low"), F.col("high")))
     return out.groupBy("variant").agg(F.max("upper").alias("max_upper"), F.max_by("detector", "upper").alias("detector"))
 
 
-def a14_paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a14_paired_difference(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
     """Area of option 0.05 minus that of 0.01 under the same draws."""
-    return ev.paired_difference(predictions(spark, sf_dir), "group_id", "variant", "0.05", "0.01", REPETITIONS, ["detector"])
+    return ev.paired_difference(predictions(spark, sf_dir), "group_id", "variant", "0.05", "0.01", repetitions, ["detector"])
 
 
-def a15_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a15_verdict(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
     """What the paired difference establishes for each detector."""
     pred = ev.materialize(predictions(spark, sf_dir), "predictions")
-    diff = ev.paired_difference(pred, "group_id", "variant", "0.05", "0.01", REPETITIONS, ["detector"])
+    diff = ev.paired_difference(pred, "group_id", "variant", "0.05", "0.01", repetitions, ["detector"])
     areas = ev.auc(pred, BY)
     at = lambda v, n: areas.filter(F.col("variant") == v).select("detector", F.col("auc").alias(n))
     out = diff.join(at("0.05", "a"), "detector").join(at("0.01", "b"), "detector")
@@ -114,6 +117,9 @@ QUERIES = {
     )
 }
 
+_BOOTSTRAPS = (a12_robust, a13_bootstrap, a14_paired_difference, a15_verdict, a16_max_upper, q_p13_status, q_p18_gate)
+QUERIES |= {f"{f.__name__}_{FULL}": partial(f, repetitions=FULL) for f in _BOOTSTRAPS}
+
 _AUC = """
 , {x}_c AS (SELECT {by}, score, sum({w} * label) AS p, sum({w} * (1 - label)) AS n FROM {src} GROUP BY {by}, score),
 {x}_r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM {x}_c),

@@ -81,3 +81,19 @@ def test_clashing_columns(spark):
     rows = frame(spark, [("x", c, float(i + c), "u") for i in range(9) for c in (0, 1)]).selectExpr("*", "1 as direction", "2 as threshold", "3 as _range", "4 as p")
     out = ev.error_rates(ev.oriented(rows, ev.calibrate(rows, ["d"]), ["d"]), ["d"])
     assert out.count() == 1
+
+
+def test_whole_bootstraps_draw_a_thousand_times_in_blocks(spark, tables, monkeypatch):
+    from sieveline.plans import evaluation as plans
+    from sieveline.plans.tables import predictions
+
+    assert {f"{f.__name__}_1000" for f in plans._BOOTSTRAPS} <= set(plans.QUERIES)
+    got = plans.QUERIES["a13_bootstrap_1000"](spark, tables).filter("variant = '0.05' and detector = 'changed'").head()
+    reps = ev.materialize(ev.bootstrap_areas(predictions(spark, tables), "group_id", 1000, plans.BY).filter("variant = '0.05' and detector = 'changed'"), "reps")
+    areas = sorted(r["auc"] for r in reps.collect())
+    assert len({r["rep"] for r in reps.collect()}) == 1000
+    at = lambda q: areas[int(q * 999)] + (q * 999 % 1) * (areas[int(q * 999) + 1] - areas[int(q * 999)])
+    assert abs(got["low"] - at(0.025)) < 1e-9 and abs(got["high"] - at(0.975)) < 1e-9
+    monkeypatch.setattr(ev, "BLOCK", 7)
+    few = {r["rep"]: r["auc"] for r in ev.bootstrap_areas(predictions(spark, tables), "group_id", 20, plans.BY).filter("variant = '0.05' and detector = 'changed'").collect()}
+    assert few == {r["rep"]: r["auc"] for r in reps.collect() if r["rep"] < 20}
