@@ -6,11 +6,16 @@ largest group a task sees is an image. The kernels in `sieveline.kernels` comput
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.kernels.codec import BALANCE_FILTERS
+from sieveline.session import materialize
+
 
 def pixels(images: DataFrame, raster: str, width: int, height: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """One row per pixel (keys, y, x, value) of rasters of width x height bytes; others are left out."""
@@ -136,3 +141,63 @@ def vector_moments(df: DataFrame, vector: str) -> DataFrame:
     rows = df.filter(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("dim", "v"))
     sd = F.stddev_pop(F.col("v").cast("double"))
     return rows.groupBy("dim").agg(F.avg("v").alias("mean"), F.greatest(sd, F.lit(1e-6)).alias("deviation"), (sd > 1e-7).alias("valid"))
+
+
+#: Steps of quantization (fixed values), and the room for the values of one statistic, which lie around 0.
+STEPS, ROOM = (1, 2, 4), 4096
+#: A statistic of a stack of images: filter number, step, stratum (-1: any), value per place, and the places that count.
+Part = tuple[int, int, int, np.ndarray, np.ndarray | None]
+
+
+def _inner(x: np.ndarray, taps: Sequence[tuple[int, int, int]]) -> np.ndarray:
+    """Residual of a filter, taps (down, across, weight), at the pixels of a stack at least two pixels inside."""
+    _, h, w = x.shape
+    return sum(t * x[:, 2 + a : h - 2 + a, 2 + b : w - 2 + b] for a, b, t in taps)
+
+
+def _inner_strata(x: np.ndarray) -> np.ndarray:
+    """Variance stratum of the same pixels, over 5 x 5 of them."""
+    around = np.lib.stride_tricks.sliding_window_view(x, (5, 5), axis=(1, 2))
+    total, squares = around.sum((3, 4)), (around * around).sum((3, 4))
+    return np.digitize(squares * 25 - total * total, [625 * 16, 625 * 64, 625 * 256])
+
+
+def balance_parts(x: np.ndarray) -> Iterator[Part]:
+    """Bins -8 to 8 of the eight balance filters at three steps, for each stratum."""
+    strata = _inner_strata(x)
+    for f, taps in enumerate(BALANCE_FILTERS):
+        r = _inner(x, taps)
+        for q in STEPS:
+            b = np.clip(np.sign(r) * ((np.abs(r) + q // 2) // q), -8, 8)
+            for s in range(4):
+                yield f, q, s, b, strata == s
+
+
+def count_images(images: DataFrame, raster: str, width: int, height: int, by: str, parts: Callable[[np.ndarray], Iterator[Part]]) -> DataFrame:
+    """Counts over whole images: rows (by, filter, step, stratum, value, n) of the statistics that parts gives.
+
+    Rasters of another size are left out. A task adds up each Arrow batch before anything is sent.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            code, names = pd.factorize(pdf[by], use_na_sentinel=False)
+            x = np.frombuffer(b"".join(map(bytes, pdf[raster])), np.uint8).reshape(-1, height, width).astype(np.int64)
+            for f, q, s, value, chosen in parts(x) if len(x) else ():
+                cell = (code.reshape(-1, *[1] * (value.ndim - 1)) * 2 * ROOM + value + ROOM)[... if chosen is None else chosen]
+                at, n = np.unique(cell, return_counts=True)
+                yield pd.DataFrame({by: names[at // (2 * ROOM)], "filter": f, "step": q, "stratum": s, "value": at % (2 * ROOM) - ROOM, "n": n})
+
+    rows = images.filter(F.octet_length(raster) == width * height).select(by, raster)
+    keys = [by, "filter", "step", "stratum", "value"]
+    return rows.mapInPandas(run, f"`{by}` string, filter int, step int, stratum int, value int, n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def distance_from_rest(counts: DataFrame, by: str) -> DataFrame:
+    """For each group the sum over all bins of (its count - the rest's)^2 / (the rest's + 32): rows (by, distance)."""
+    keys = ["filter", "step", "stratum", "value"]
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("all"))  # bins are fixed in number
+    dense = counts.select(by).distinct().crossJoin(F.broadcast(total.select(*keys))).withColumn("n", F.lit(0).cast("bigint"))
+    rows = dense.unionByName(counts).groupBy(by, *keys).agg(F.sum("n").alias("n")).join(F.broadcast(total), keys)
+    rest = F.col("all") - F.col("n")
+    return rows.groupBy(by).agg(F.sum(F.pow(F.col("n") - rest, 2) / (rest + 32)).alias("distance"))

@@ -11,11 +11,15 @@ from sieveline.plans.tables import read
 WIDTH, HEIGHT, DIM = 9, 8, 64
 
 
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image once, with its archive and raster."""
+    images = read(spark, sf_dir, "source_image", "image_id", "archive", "small").filter("image_id is not null")
+    return images.groupBy("image_id").agg(F.min("archive").alias("archive"), F.min("small").alias("small"))
+
+
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of every image once, with its archive."""
-    images = read(spark, sf_dir, "source_image", "image_id", "archive", "small").filter("image_id is not null")
-    first = images.groupBy("image_id").agg(F.min("archive").alias("archive"), F.min("small").alias("small"))
-    return rasters.pixels(first, "small", WIDTH, HEIGHT, ("image_id", "archive"))
+    return rasters.pixels(_images(spark, sf_dir), "small", WIDTH, HEIGHT, ("image_id", "archive"))
 
 
 def a17_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +89,12 @@ def a24_histogram_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.histogram_distance(bins, "archive", "arc0002", "arc0003", ["q", "bin"])
 
 
+def a24_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance objective of every archive against all others: 8 filters, 4 strata, 3 steps and 17 bins."""
+    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.balance_parts)
+    return rasters.distance_from_rest(rasters.materialize(counts, "bins"), "archive")
+
+
 def a28_vector_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.vector_moments(read(spark, sf_dir, "embeddings", "embedding"), "embedding")
 
@@ -100,7 +110,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a17_histogram, a17_pair_difference, a18_adjacent_bins, a19_rs_score, a20_cooccurrences, a21_conditional, a22_local_moments, a23_rs_fractions,
-        a24_histogram_distance, a28_vector_moments, a29_class_products, w6_four_taps, w7_residuals,
+        a24_histogram_distance, a24_objective, a28_vector_moments, a29_class_products, w6_four_taps, w7_residuals,
     )
 }
 
