@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.kernels.codec import BALANCE_FILTERS
+from sieveline.kernels.images import FILTERS
 from sieveline.session import materialize
 
 
@@ -173,6 +174,46 @@ def balance_parts(x: np.ndarray) -> Iterator[Part]:
                 yield f, q, s, b, strata == s
 
 
+def _feature_residuals(x: np.ndarray) -> list[np.ndarray]:
+    """Residuals of the ten feature filters, each centred at half its size."""
+    taps = lambda f: [(i - len(f) // 2, j - len(f[0]) // 2, t) for i, row in enumerate(f) for j, t in enumerate(row) if t]
+    return [_inner(x, taps(f)) for f in FILTERS]
+
+
+def _fours(r: np.ndarray, q: int, chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Classes of four successive levels along rows, then columns, named as in cooccurrences; and which of them have a chosen second tap."""
+    for turn in (False, True):
+        v = np.clip(np.sign(r) * np.floor(np.abs(r) / q + 0.5), -2, 2).astype(np.int64) + 2
+        v, m = (v.swapaxes(1, 2), None if chosen is None else chosen.swapaxes(1, 2)) if turn else (v, chosen)
+        a = [v[:, :, i : v.shape[2] - 3 + i] for i in range(4)]
+        b = [4 - y for y in a]
+        code = lambda y: ((y[0] * 5 + y[1]) * 5 + y[2]) * 5 + y[3]
+        yield np.minimum(np.minimum(code(a), code(a[::-1])), np.minimum(code(b), code(b[::-1]))), None if m is None else m[:, :, 1:-2]
+
+
+def residual_parts(x: np.ndarray) -> Iterator[Part]:
+    """Residuals of all ten filters, as they are (step 0)."""
+    for f, r in enumerate(_feature_residuals(x)):
+        yield f, 0, -1, r, None
+
+
+def cooccurrence_parts(x: np.ndarray) -> Iterator[Part]:
+    """Classes of four levels of all ten filters at three steps."""
+    for f, r in enumerate(_feature_residuals(x)):
+        for q in STEPS:
+            for c, _ in _fours(r, q):
+                yield f, q, -1, c, None
+
+
+def conditional_parts(x: np.ndarray) -> Iterator[Part]:
+    """Classes of four levels of the first four filters at step 1, by the stratum of the second tap."""
+    strata = _inner_strata(x)
+    for f, r in enumerate(_feature_residuals(x)[:4]):
+        for s in range(4):
+            for c, m in _fours(r, 1, strata == s):
+                yield f, 1, s, c, m
+
+
 def count_images(images: DataFrame, raster: str, width: int, height: int, by: str, parts: Callable[[np.ndarray], Iterator[Part]]) -> DataFrame:
     """Counts over whole images: rows (by, filter, step, stratum, value, n) of the statistics that parts gives.
 

@@ -95,6 +95,24 @@ def a24_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.distance_from_rest(rasters.materialize(counts, "bins"), "archive")
 
 
+def w7_all_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the residuals of all ten filters, two pixels inside, per archive."""
+    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.residual_parts)
+    return counts.select("archive", "filter", F.col("value").alias("r"), "n")
+
+
+def a20_all_cooccurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetry classes of four levels in both directions: ten filters at three steps, per archive."""
+    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.cooccurrence_parts)
+    return counts.select("archive", "filter", "step", F.col("value").alias("class"), "n")
+
+
+def a21_all_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the first four filters at step 1, by the variance stratum of the second of the four."""
+    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.conditional_parts)
+    return counts.select("archive", "filter", "stratum", F.col("value").alias("class"), "n")
+
+
 def a28_vector_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.vector_moments(read(spark, sf_dir, "embeddings", "embedding"), "embedding")
 
@@ -110,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a17_histogram, a17_pair_difference, a18_adjacent_bins, a19_rs_score, a20_cooccurrences, a21_conditional, a22_local_moments, a23_rs_fractions,
-        a24_histogram_distance, a24_objective, a28_vector_moments, a29_class_products, w6_four_taps, w7_residuals,
+        a24_histogram_distance, a24_objective, a28_vector_moments, a29_class_products, w6_four_taps, w7_residuals, a20_all_cooccurrences, a21_all_conditional, w7_all_residuals,
     )
 }
 

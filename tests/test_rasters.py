@@ -3,6 +3,7 @@
 import numpy as np
 
 from sieveline.kernels import codec
+from sieveline.kernels import images as kernels
 from sieveline.operators import rasters
 
 
@@ -35,3 +36,29 @@ def test_query_covers_every_archive(spark, tables):
 
     archives = {r[0] for r in plans._images(spark, tables).select("archive").distinct().collect()}
     assert {r["archive"] for r in plans.QUERIES["a24_objective"](spark, tables).collect()} == archives and len(archives) > 2
+
+
+def test_residuals_and_classes_take_every_filter_step_and_stratum(spark):
+    images = [x for i, x in enumerate(small_images()) if i % 3 == 0]  # those of archive a
+    rows = lambda parts: rasters.count_images(frame(spark, small_images()), "small", 9, 8, "archive", parts).filter("archive = 'a'").collect()
+    codes = np.unique([min(c, m, 624 - c, 624 - m) for c in range(625) for m in [int(f"{c % 5}{c // 5 % 5}{c // 25 % 5}{c // 125}", 5)]])
+    plain, masked, raw = {}, {}, {}
+    for r in rows(rasters.cooccurrence_parts):
+        plain.setdefault((r["filter"], r["step"]), np.zeros(169))[np.searchsorted(codes, r["value"])] = r["n"]
+    for r in rows(rasters.conditional_parts):
+        masked.setdefault((r["filter"], r["stratum"]), np.zeros(169))[np.searchsorted(codes, r["value"])] = r["n"]
+    for r in rows(rasters.residual_parts):
+        raw.setdefault(r["filter"], {})[r["value"]] = r["n"]
+    assert len(codes) == 169 and set(raw) == set(range(10)) and len(plain) == 30 and {s for _, s in masked} == {0, 1, 2, 3}
+    for f, taps in enumerate(kernels.FILTERS):
+        rs = [kernels.residual(x, taps) for x in images]
+        values, n = np.unique(np.stack(rs), return_counts=True)
+        assert raw[f] == dict(zip(values.tolist(), n.tolist()))
+        for q in (1, 2, 4):  # thirteen fours in every image
+            assert np.allclose(sum(13 * kernels.cooccurrences(r, q) for r in rs), plain[f, q])
+        for s in range(4 if f < 4 else 0):
+            want = np.zeros(169)
+            for x, r in zip(images, rs):
+                m = codec.strata(x)[2:-2, 2:-2] == s
+                want += kernels.cooccurrences(r, 1, m) * (m[:, 1:-2].sum() + m.T[:, 1:-2].sum())
+            assert np.allclose(want, masked.get((f, s), np.zeros(169)))
