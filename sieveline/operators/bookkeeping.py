@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.joins import free_name
+from sieveline.operators.running import running_totals
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -40,6 +41,17 @@ def pair_up(rows: DataFrame, keys: Sequence[str], variant: str, first: str, seco
     return agg.filter("_ok and _n = 2").drop("_ok", "_n")
 
 
+def numbered_runs(rows: DataFrame, by: Sequence[str], time: str, name: str = "run") -> DataFrame:
+    """Distinct rows with their number, from 0, within the group in the order of a timestamp (null comes last).
+
+    A record written twice is one run. Hot groups are spread over ranges of the order.
+    """
+    at, tie, one = (free_name(x, rows) for x in ("_at", "_tie", "_one"))
+    order = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(2**62))
+    keyed = rows.distinct().withColumns({at: order, tie: F.xxhash64(*rows.columns), one: F.lit(1).cast("bigint")})
+    return running_totals(keyed, at, [one], by, tie=tie).withColumn(name, F.col(f"{one}_before")).select(*rows.columns, name)
+
+
 def paired_saving(pairs: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Saving of the second variant in per cent, pair by pair: median, least, most and how often it is positive.
 

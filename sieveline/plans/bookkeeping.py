@@ -48,6 +48,20 @@ def j5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir)
 
 
+def j5_run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of an image at 0.05 and at auto, pair by pair: the n-th of one with the n-th of the other. A failed run loses its own pair."""
+    rows = read(spark, sf_dir, "sample_record", "image", "option", "strategy", "job_seconds", "changed_pixels", "failure", "recorded_at")
+    runs = bk.numbered_runs(rows.filter("image is not null and option in ('0.05', 'auto')"), ["image", "option"], "recorded_at")
+    ok = F.col("failure").isNull() & F.col("job_seconds").isNotNull()
+    return bk.pair_up(runs, ["image", "strategy", "run"], "option", "0.05", "auto", ["job_seconds", "changed_pixels"], ok)
+
+
+def a5_run_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saving by part over the pairs of runs."""
+    parts = image_parts(spark, sf_dir).withColumnRenamed("image_id", "image")
+    return bk.paired_saving(j5_run_pairs(spark, sf_dir).join(parts, "image"), "job_seconds", ["part"])
+
+
 def a5_paired_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = image_parts(spark, sf_dir).withColumnRenamed("image_id", "image")
     return bk.paired_saving(_pairs(spark, sf_dir).join(parts, "image"), "job_seconds", ["part"])
@@ -187,7 +201,7 @@ def s17_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        a1_counts, a2_success_means, a3_grouped_median, a4_distinct_sets, j5_pairs, a5_paired_saving, a6_stage_means, w4_running_best, w5_stage_seconds,
+        a1_counts, a2_success_means, a3_grouped_median, a4_distinct_sets, j5_pairs, j5_run_pairs, a5_paired_saving, a5_run_saving, a6_stage_means, w4_running_best, w5_stage_seconds,
         w8_alternating, j1_covers_and_stegos, j2_group_lookup, j3_common, j4_key_differences, j8_pending, j9_accepted, j11_task_grid, j12_identity,
         o1_numeric_sort, o3_sorted_report, o4_limited_jobs, o5_worst_case, o6_shuffled_tasks, u3_common_accepted, u5_all_rates, q_p14_tags, q_p16_completeness,
         s17_completed,
