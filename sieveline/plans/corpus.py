@@ -64,6 +64,17 @@ def w2_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.filter(F.col("rank") <= limit)
 
 
+def w2_first_k_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the parts that the spellings stand for; an image listed more than once counts with its least ordinal."""
+    spelled = read(spark, sf_dir, "split_part").select(F.col("spelling").alias("part"), F.col("part").alias("known"))
+    rows = read(spark, sf_dir, "manifest_split", "image_id", "part", "ordinal").filter("image_id is not null and ordinal is not null")
+    rows = rows.join(F.broadcast(spelled), "part").filter(F.col("known").isin("train", "validation", "test"))  # a fixed list
+    first = rows.groupBy("image_id", F.col("known").alias("part")).agg(F.min("ordinal").alias("ordinal"))
+    limit = F.when(F.col("part") == "validation", 60).otherwise(120)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("ordinal", "image_id"))).filter("rank <= 120")
+    return ranked.filter(F.col("rank") <= limit)
+
+
 def j10_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = image_groups(spark, sf_dir).join(image_parts(spark, sf_dir), "image_id")
     return corpus.leakage(rows)
@@ -81,7 +92,7 @@ def u4_unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (j6_near_pairs, j6_classes, j7_exact_links, g1_components, w1_greedy_split, o2_hash_order, w2_first_k, j10_leakage, u2_concat_parts, u4_unsplit)
+    for f in (j6_near_pairs, j6_classes, j7_exact_links, g1_components, w1_greedy_split, o2_hash_order, w2_first_k, w2_first_k_known, j10_leakage, u2_concat_parts, u4_unsplit)
 }
 
 _CLASSES = "classes AS (SELECT signature, min(image_id) AS image_id, count(DISTINCT image_id) AS copies FROM source_image WHERE signature IS NOT NULL AND image_id IS NOT NULL GROUP BY signature)"

@@ -75,3 +75,21 @@ def test_skew_join_equals_join(spark):
         a, b = skew_join(facts, dim, "k", how), facts.join(dim.drop("w"), "k", how)
         assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(b.columns)).collect()))
     assert heavy_keys(facts, "k", 4).count() <= 4
+
+
+def test_first_images_are_ranked_by_known_part(spark, tables):
+    from sieveline.plans import corpus as plans
+
+    known = {r["spelling"]: r["part"] for r in spark.read.parquet(tables + "/split_part.parquet").collect()}
+    least, exact = {}, True
+    for r in spark.read.parquet(tables + "/manifest_split.parquet").select("image_id", "part", "ordinal").collect():
+        part = known.get(r["part"])
+        if r["image_id"] is not None and r["ordinal"] is not None and part in ("train", "validation", "test"):
+            exact = exact and r["part"] == part
+            least[part, r["image_id"]] = min(r["ordinal"], least.get((part, r["image_id"]), r["ordinal"]))
+    want = set()
+    for part, k in (("train", 120), ("validation", 60), ("test", 120)):
+        order = sorted((o, i) for (p, i), o in least.items() if p == part)[:k]
+        want |= {(i, part, o, n + 1) for n, (o, i) in enumerate(order)}
+    got = plans.QUERIES["w2_first_k_known"](spark, tables).select("image_id", "part", "ordinal", "rank").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) and not exact
