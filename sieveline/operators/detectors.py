@@ -143,7 +143,7 @@ def fit_forest(df: DataFrame, vector: str, label: str, trees: int = 200, least:
     """Random forest with balanced class weights: the nearest MLlib has to extremely randomised trees.
 
     It draws bootstrap samples and seeks the best cut where those draw cuts at random: another algorithm, not a
-    reimplementation.
+    reimplementation. Trees are as deep as MLlib allows.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
@@ -154,7 +154,7 @@ def fit_forest(df: DataFrame, vector: str, label: str, trees: int = 200, least:
     weights = n.crossJoin(F.broadcast(total)).select(label, (F.col("all") / (F.col("classes") * F.col("n"))).alias("_w"))  # two rows
     rows = rows.join(F.broadcast(weights), label).select(array_to_vector(F.col(vector).cast("array<double>")).alias("_x"), F.col(label).cast("double").alias("_y"), "_w")
     return RandomForestClassifier(
-        featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed, maxDepth=12, maxMemoryInMB=512
+        featuresCol="_x", labelCol="_y", weightCol="_w", numTrees=trees, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed, maxDepth=30, maxMemoryInMB=512
     ).fit(rows)
 
 

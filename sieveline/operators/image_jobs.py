@@ -130,6 +130,10 @@ def synthetic_cover(seed: int, height: int = 512, width: int = 512) -> np.ndarra
 
 
 def synthetic_covers(ids: DataFrame, image: str = "image_id") -> DataFrame:
-    """A synthetic 512 x 512 image for every id of digits."""
-    job = lambda row: {"width": 512, "height": 512, "pixels": synthetic_cover(int(row[image])).tobytes()}
+    """A synthetic image for every id of digits, of the columns width and height where ids has them, else 512 x 512."""
+
+    def job(row: pd.Series) -> dict:
+        width, height = int(row.get("width", 512)), int(row.get("height", 512))
+        return {"width": width, "height": height, "pixels": synthetic_cover(int(row[image]), height, width).tobytes()}
+
     return _per_row(ids.filter(F.col(image).rlike("^[0-9]+$")), DECODED, job, [image])

@@ -15,8 +15,8 @@ BENCH_KEY = bytes(range(32))
 
 
 def _covers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic image for each of the reference covers (a fixed table of twelve), one a task."""
-    ids = read(spark, sf_dir, "reference_cover", "image_id").distinct()
+    """A synthetic image of its size for each of the reference covers (a fixed table of twelve), one a task."""
+    ids = read(spark, sf_dir, "reference_cover", "image_id", "width", "height").distinct()
     return image_jobs.synthetic_covers(ids.repartition(12, "image_id"))
 
 
@@ -49,21 +49,21 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m3_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all vectors by an ensemble fitted on them."""
     rows = _vectors(spark, sf_dir)
-    model = detectors.fit_subspace_ensemble(rows, "embedding", "label", DIM, learners=16, dimension=32)
+    model = detectors.fit_subspace_ensemble(rows, "embedding", "label", DIM)
     return model.score(rows, "embedding")
 
 
 def m4_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a random forest."""
     rows = _vectors(spark, sf_dir)
-    return detectors.score_forest(detectors.fit_forest(rows, "embedding", "label", trees=40), rows, "embedding")
+    return detectors.score_forest(detectors.fit_forest(rows, "embedding", "label"), rows, "embedding")
 
 
 def m8_harness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on one part, freeze direction and thresholds on the second, report error rates of the third."""
     part = F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.lit(3))
     rows = ev.materialize(_vectors(spark, sf_dir).withColumn("part", part).withColumn("detector", F.lit("subspace")), "vectors")
-    model = detectors.fit_subspace_ensemble(rows.filter("part = 0"), "embedding", "label", DIM, learners=16, dimension=32)
+    model = detectors.fit_subspace_ensemble(rows.filter("part = 0"), "embedding", "label", DIM)
     scored = ev.materialize(model.score(rows.filter("part > 0"), "embedding"), "scored")
     calibration = ev.materialize(ev.calibrate(scored.filter("part = 1"), ["detector"]), "calibration")
     return ev.error_rates(ev.oriented(scored.filter("part = 2"), calibration, ["detector"]), ["detector"])

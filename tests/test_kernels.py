@@ -178,3 +178,22 @@ def test_messages_of_every_kind():
         for m in (b"", bytes(range(256)), b"compressible" * 200, zlib.compress(b"x" * 99)):
             body = codec.build_body(m, 4000, key, ctx, SALT, keys, bytes)
             assert codec.parse_body(body, key, ctx, SALT, keys) == m
+
+
+def test_covers_have_their_own_sizes(spark, tables):
+    from sieveline.plans import kernels as plans
+
+    want = {r["image_id"]: (r["width"], r["height"]) for r in spark.read.parquet(tables + "/reference_cover.parquet").collect()}
+    got = {r["image_id"]: (r["width"], r["height"], len(r["pixels"])) for r in plans._covers(spark, tables).collect()}
+    assert got == {k: (w, h, w * h) for k, (w, h) in want.items()} and len(set(want.values())) > 1
+
+
+def test_ensembles_are_registered_whole(spark, tables, monkeypatch):
+    from sieveline.operators import detectors
+    from sieveline.plans import kernels as plans
+
+    seen = []
+    fit = detectors.fit_subspace_ensemble
+    monkeypatch.setattr(detectors, "fit_subspace_ensemble", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    plans.m8_harness(spark, tables)
+    assert any(isinstance(v, list) and len(v) == 64 and all(len(x[0]) == 64 for x in v) for v in vars(seen[0]).values())
