@@ -28,17 +28,26 @@ def free_name(base: str, *frames: DataFrame) -> str:
     return base
 
 
-def skew_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", share: int = HEAVY_SHARE) -> DataFrame:
+def small_or_skew_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", most: int = 10_000) -> DataFrame:
+    """The same as `skew_join`; dim is broadcast where counting shows that it has at most `most` rows."""
+    dim = dim.drop(*[c for c in dim.columns if c != key and c in facts.columns])
+    if dim.limit(most + 1).count() <= most:
+        return facts.join(F.broadcast(dim), key, how)
+    return skew_join(facts, dim, key, how)
+
+
+def skew_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", share: int = HEAVY_SHARE, heavy: DataFrame | None = None) -> DataFrame:
     """Join facts with dim, which has at most one row per key, without a hot reducer.
 
     The dim rows of heavy keys number at most `share`, so they are broadcast; all other keys hold less
     than 1/share of the rows each and are shuffled as usual. how: inner, left or left_semi.
     Facts with a null key are kept by left and dropped by the others; a column of dim that facts have too
-    is left to facts. dim is read twice, facts three times: pass written tables or cheap scans.
+    is left to facts. dim is read twice, facts three times: pass written tables or cheap scans. heavy: the
+    heavy keys, where the caller has counted them already.
     """
     dim = dim.drop(*[c for c in dim.columns if c != key and c in facts.columns])
     mark = free_name("_hot", facts, dim)
-    hot = heavy_keys(facts, key, share).withColumn(mark, F.lit(True))
+    hot = (heavy_keys(facts, key, share) if heavy is None else heavy.select(key)).withColumn(mark, F.lit(True))
     # at most `share` rows by the definition of heavy_keys
     marked = facts.join(F.broadcast(hot), key, "left")
     dim_hot = dim.join(F.broadcast(hot.select(key)), key, "left_semi")
