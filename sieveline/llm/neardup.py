@@ -2,18 +2,19 @@
 
 A signature of 64 bits is cut into 7 chunks and described by its 21 pairs of chunks (tokens of about 18
 bits). Two signatures that differ in at most 4 bits agree in at least 3 chunks, so they share at least
-T = 3 tokens: a T-occurrence problem over the inverted lists of the tokens. DivideSkip sets the L = T - 1
-longest lists of every record aside. A pair must then meet in one of the 19 short lists, which are the only
-ones that are merged; the long lists, such as those of flat frames, are never read. The probe of a long
-list is answered by the record itself: it stands in the list of a pair of chunks exactly when its own
-chunks equal it, so the number of shared tokens follows from the chunks that agree.
-
-Lists are told long or short by their length over all records. Lists of at least 1/HEAVY of the postings'
-records are few by definition; their lengths are broadcast. The rest count as equally short and
-are ordered by the token itself, which keeps one order for all records. A short list that is still long
-is cut into blocks, and each pair of blocks is a task's unit, so no list is ever held whole.
-
-Equal signatures of one archive are one representative; copies are not compared with each other.
+T = 3 tokens: a T-occurrence problem over the inverted lists of the tokens of one archive.
+
+DivideSkip: every record sets the L = T - 1 longest of its lists aside; a partner must then occur in one of
+its short lists. Lengths are true counts, joined back to the records, and (length, token) orders all lists
+alike for all records, which is what makes it safe to set lists aside. The index is sharded by short list: a record
+visits the shard of each of them, and a shard holds every record that has its token in a short list. There
+each record is a query. Its short lists, cut to the shard, are merged by a priority queue of their heads
+(one queue a query, all queries of a batch a step at a time), which counts the occurrences of every record met;
+those that reach T - L are probed by binary search in the query's long lists; those that reach T in all are
+compared by their bits. A list of more than BLOCK records is cut into blocks, and each pair of blocks is a
+shard of its own, so no list is ever held whole, however many records share its token.
+
+Lists of one record meet nothing and are left out. Equal signatures of one archive are one representative; copies are not compared with each other.
 """
 
 from __future__ import annotations
@@ -27,15 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.components import connected_components
-from sieveline.operators.joins import skew_join
+from sieveline.operators.joins import HEAVY_SHARE, skew_join
 from sieveline.session import input_partitions, materialize
 
 BITS = 4
 CHUNKS = 7
-#: A list is heavy when its share of all postings is at least 1/HEAVY: there are at most HEAVY of them.
-HEAVY = 200_000
-#: Records of a list that one unit of work compares with as many others.
-BLOCK = 2_048
+#: The pairs of chunks, in the order of their numbers.
+PAIRS = tuple(combinations(range(CHUNKS), 2))
+#: Where chunks begin and end, in bits.
+CUTS = tuple(round(64 * i / CHUNKS) for i in range(CHUNKS + 1))
+#: Records in a block of a long list.
+BLOCK = 1_024
+#: Copies in a block of a class, where classes are expanded into pairs.
+COPIES = 1_024
 
 
 def signature_of(raster: Column) -> Column:
@@ -60,175 +65,202 @@ def signed_images(images: DataFrame) -> DataFrame:
     return images.select("archive", "image_id", s.alias("signature")).dropna().distinct()
 
 
-def _chunks(sig: np.ndarray) -> np.ndarray:
-    """The chunks of unsigned signatures, one row per chunk."""
-    cuts = [round(64 * i / CHUNKS) for i in range(CHUNKS + 1)]
-    return np.stack([(sig >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective hash of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def tokens(archive: np.ndarray, sig: np.ndarray) -> np.ndarray:
-    """Tokens of signatures, one row per pair of chunks, as hashed 64-bit numbers; archive is a hash too.
-
-    Two lists that fall together by chance only cost a comparison.
-    """
-    c = _chunks(sig)
-    rows = []
-    for k, (i, j) in enumerate(combinations(range(CHUNKS), 2)):
-        rows.append(_mix(archive ^ _mix((np.uint64(k) << np.uint64(40)) | (c[i] << np.uint64(20)) | c[j])))
-    return np.stack(rows)
-
-
 def required_overlap(bits: int) -> int:
     """T: the tokens that signatures differing in at most `bits` bits share at least."""
     agree = CHUNKS - bits
     return agree * (agree - 1) // 2
 
 
-def _batches(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for pdf in it:
-        if len(pdf):
-            yield pdf["archive"].to_numpy().astype(np.uint64), pdf["signature"].to_numpy().astype(np.uint64)
+def _chunk(signature: Column, i: int) -> Column:
+    return F.shiftrightunsigned(signature, CUTS[i]).bitwiseAND((1 << (CUTS[i + 1] - CUTS[i])) - 1)
 
 
-def _count_tokens(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lengths of the lists within a task, combined before the shuffle."""
-    for archive, sig in _batches(it):
-        key, n = np.unique(tokens(archive, sig), return_counts=True)
-        yield pd.DataFrame({"token": key.view(np.int64), "n": n})
+def postings(reps: DataFrame) -> DataFrame:
+    """The inverted lists: rows (token, k, archive, signature), one per record and pair of chunks k.
 
+    A token is a hash of the archive, the pair and its bits; two lists that fall together by chance only
+    cost comparisons, since shards tell the archive and the bits apart.
+    """
+    c = [_chunk(F.col("signature"), i) for i in range(CHUNKS)]
+    token = lambda k, i, j: F.xxhash64(F.lit(k), F.col("archive"), c[i], c[j])
+    each = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("k"), token(k, i, j).alias("token")) for k, (i, j) in enumerate(PAIRS)])
+    return reps.select("archive", "signature", F.explode(each).alias("p")).select("p.token", "p.k", "archive", "signature")
 
-def _short_postings(heavy: tuple[np.ndarray, np.ndarray], skip: int):
-    """Postings of each record in its short lists; a heavy short list is cut into pairs of blocks."""
-    keys, sizes = heavy
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for archive, sig in _batches(it):
-            t = tokens(archive, sig)
-            size = np.zeros(t.shape, np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
-                size = np.where(keys[at] == t, sizes[at], 0)
-            order = np.lexsort((t, size), axis=0)[: len(t) - skip]
-            t, size = np.take_along_axis(t, order, 0), np.take_along_axis(size, order, 0)
-            who = np.broadcast_to(sig, t.shape)
-            one = size <= BLOCK
-            yield pd.DataFrame({"token": t[one].view(np.int64), "cell": np.int64(0), "side": np.int8(0), "signature": who[one].view(np.int64)})
-            if not one.all():
-                tt, ss, ww = t[~one], size[~one], who[~one]
-                blocks = -(-ss // BLOCK)
-                own = (_mix(ww) % blocks.astype(np.uint64)).astype(np.int64)
-                rows = np.repeat(np.arange(len(tt)), blocks)
-                other = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                a, b = np.minimum(own[rows], other), np.maximum(own[rows], other)
-                yield pd.DataFrame(
-                    {"token": tt[rows].view(np.int64), "cell": 1 + a * blocks[rows] + b, "side": (own[rows] > other).astype(np.int8), "signature": ww[rows].view(np.int64)}
-                )
+def shards(reps: DataFrame, overlap: int, block: int | None = None) -> DataFrame:
+    """The sharded index: rows (token, cell, side, k, skip, archive, signature).
 
-    return run
+    Every record once for each short list and, where that list is cut into n blocks, for each of the n pairs that
+    hold its block; side tells which block of the pair is its own. skip is the set of its long lists as bits. A record with
+    fewer than `overlap` lists of two or more records has no partner and is left out.
+    """
+    block = block or BLOCK
+    lists = postings(reps)
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = materialize(sizes, "lists")
+    total = sizes.agg(F.sum("n").alias("total"))
+    # lists of at least 1/HEAVY_SHARE of all entries, at most HEAVY_SHARE of them; the total is one row
+    hot = sizes.crossJoin(F.broadcast(total)).filter(F.col("n") * HEAVY_SHARE >= F.col("total"))
+    long = skew_join(lists, sizes, "token", "inner", heavy=hot)
+    # at most 21 lists a record
+    own = long.groupBy("archive", "signature").agg(F.sort_array(F.collect_list(F.struct("n", "token", "k")), False).alias("lists"))
+    own = own.filter(F.size("lists") >= overlap)
+    skip = F.aggregate(F.slice("lists", 1, overlap - 1), F.lit(0), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["k"].cast("int")))) if overlap > 1 else F.lit(0)
+    rows = own.select("archive", "signature", skip.alias("skip"), F.explode(F.slice("lists", overlap, len(PAIRS))).alias("x"))
+    blocks = F.ceil(F.col("x.n") / block).cast("int")
+    rows = rows.select("archive", "signature", "skip", "x.token", "x.k", blocks.alias("blocks"), F.pmod(F.xxhash64("signature"), blocks).cast("int").alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    return rows.select("token", cell.alias("cell"), (F.col("own") > F.col("other")).cast("tinyint").alias("side"), "k", "skip", "archive", "signature")
+
+
+class Shards:
+    """A batch of whole shards: for every record its lists, sorted postings of them, and the search."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        token, cell = pdf["token"].to_numpy(), pdf["cell"].to_numpy()
+        new = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+        self.shard = np.r_[0, np.cumsum(new)]
+        self.sig, self.archive = pdf["signature"].to_numpy().view(np.uint64), pdf["archive"].to_numpy()
+        self.side, self.k = pdf["side"].to_numpy(), pdf["k"].to_numpy()
+        self.long = (pdf["skip"].to_numpy()[:, None] >> np.arange(len(PAIRS)) & 1).astype(bool)
+        # in a shard of two blocks only pairs across them count: pairs within a block meet in its own shard
+        self.mixed = np.zeros(self.shard[-1] + 1, np.int8)
+        np.maximum.at(self.mixed, self.shard, self.side)
+        c = [(self.sig >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(CUTS, CUTS[1:])]
+        #: the list of each record and pair of chunks, within its shard
+        self.key = np.stack([(self.shard.astype(np.uint64) << np.uint64(25)) | np.uint64(k << 20) | (c[i] << np.uint64(10)) | c[j] for k, (i, j) in enumerate(PAIRS)], 1)
+        flat = self.key.ravel()
+        order = np.argsort(flat, kind="stable")  # records stay in order within a list
+        self.post = order // len(PAIRS)
+        starts = np.r_[True, flat[order][1:] != flat[order][:-1]]
+        number = np.cumsum(starts) - 1
+        ends = np.r_[np.flatnonzero(starts)[1:], len(order)]
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        self.at = at.reshape(self.key.shape)
+        self.list = number[self.at]
+        self.end = ends[self.list]
+        #: lists and records as one sorted array, for binary search
+        self.sorted = number * len(pdf) + self.post
+
+    def merge(self, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Merge each record's short lists from behind its own entry: (query, record, occurrences) of at least `least`."""
+        who, at, end = np.arange(len(self.sig)), self.at + 1, np.where(self.long, 0, self.end)
+        none = len(self.sig)
+        while len(who):
+            head = np.where(at < end, self.post[np.minimum(at, len(self.post) - 1)], none)
+            top = head.min(1)  # the least head of every queue
+            live = top < none
+            who, at, end, head, top = who[live], at[live], end[live], head[live], top[live]
+            popped = head == top[:, None]
+            n = popped.sum(1)
+            ok = n >= least
+            yield who[ok], top[ok], n[ok]
+            at = at + popped
+
+    def probe(self, query: np.ndarray, record: np.ndarray) -> np.ndarray:
+        """In how many of the query's long lists the record stands, by binary search."""
+        pair, k = np.nonzero(self.long[query])
+        want = self.list[query[pair], k] * len(self.sig) + record[pair]
+        found = self.sorted[np.minimum(np.searchsorted(self.sorted, want), len(self.sorted) - 1)] == want
+        return np.bincount(pair, found, len(query)).astype(int)
+
+    def search(self, overlap: int, bits: int) -> Iterator[pd.DataFrame]:
+        """Pairs (archive, a, b) that share at least `overlap` tokens and differ in at most `bits` bits.
+
+        A pair is reported in one shard only: that of the first list that is short for both.
+        """
+        set_aside = max(overlap - 1, 0)
+        for q, r, n in self.merge(overlap - set_aside):
+            ok = (self.mixed[self.shard[q]] == 0) | (self.side[q] != self.side[r])
+            q, r, n = q[ok], r[ok], n[ok]
+            ok = (n + self.probe(q, r) >= overlap) & (self.archive[q] == self.archive[r]) & (self.sig[q] != self.sig[r])
+            q, r = q[ok], r[ok]
+            ok = np.bitwise_count(self.sig[q] ^ self.sig[r]) <= bits
+            q, r = q[ok], r[ok]
+            if not len(q):
+                continue
+            both = (self.key[q] == self.key[r]) & ~self.long[q] & ~self.long[r]
+            ok = both.argmax(1) == self.k[q]
+            a, b = self.sig[q[ok]].view(np.int64), self.sig[r[ok]].view(np.int64)
+            yield pd.DataFrame({"archive": self.archive[q[ok]], "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _merge(bits: int):
-    """Merge lists that arrive sorted by (token, cell): the pairs that meet in one and are near enough."""
-
-    def near(key: np.ndarray, side: np.ndarray, mixed: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step, live = 1, np.arange(len(sig))
-        while True:
-            live = live[live + step < len(sig)]
-            live = live[key[live] == key[live + step]]
-            if not len(live):
-                return
-            a, b = sig[live], sig[live + step]
-            ok = np.bitwise_count((a ^ b).view(np.uint64)) <= bits  # of a signed number it counts the magnitude
-            # in a cell of two blocks only pairs across them count: pairs within a block meet in its own cell
-            ok &= ~mixed[live] | (side[live] != side[live + step])
-            if ok.any():
-                yield a[ok], b[ok]
-            step += 1
+def _search(overlap: int, bits: int):
+    """Search shards that arrive sorted by (token, cell); a shard that a batch cuts waits for its rest."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = None
+        waiting: list[pd.DataFrame] = []
         for pdf in it:
-            pdf = pdf if tail is None else pd.concat([tail, pdf], ignore_index=True)
-            last = (pdf["token"] == pdf["token"].iat[-1]) & (pdf["cell"] == pdf["cell"].iat[-1]) if len(pdf) else None
-            if last is None:
+            if not len(pdf):
                 continue
-            tail, pdf = pdf[last], pdf[~last]
-            yield from found(pdf)
-        if tail is not None:
-            yield from found(tail)
-
-    def found(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(pdf) < 2:
-            return
-        token, cell = pdf["token"].to_numpy(), pdf["cell"].to_numpy()
-        key = np.r_[0, np.cumsum((token[1:] != token[:-1]) | (cell[1:] != cell[:-1]))]
-        side = pdf["side"].to_numpy()
-        top = np.zeros(key[-1] + 1, np.int8)
-        np.maximum.at(top, key, side)
-        for a, b in near(key, side, top[key] > 0, pdf["signature"].to_numpy()):
-            ok = a != b
-            yield pd.DataFrame({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]})
+            end = (pdf["token"].iat[-1], pdf["cell"].iat[-1])
+            last = ((pdf["token"] == end[0]) & (pdf["cell"] == end[1])).to_numpy()
+            if last.all() and waiting and (waiting[-1]["token"].iat[-1], waiting[-1]["cell"].iat[-1]) == end:
+                waiting.append(pdf)
+                continue
+            yield from whole([*waiting, pdf[~last]])
+            waiting = [pdf[last]]
+        yield from whole(waiting)
+
+    def whole(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+        if len(pdf) > 1:
+            alone = ~(pdf.duplicated(["token", "cell"], keep=False).to_numpy())
+            pdf = pdf[~alone].reset_index(drop=True)
+        if len(pdf) > 1:
+            yield from Shards(pdf).search(overlap, bits)
 
     return run
 
 
 def near_signatures(reps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of signatures that differ in 1 to `bits` bits.
+    """Pairs (archive, a, b), a < b, each once, of signatures of one archive that differ in 1 to `bits` bits.
 
-    reps: distinct rows (archive, signature bigint). All pairs within an archive are found; a pair of two
-    archives may be among them and is told off where the pairs are joined back with their archives.
-    bits may be up to 5: with 7 chunks two must agree.
+    reps: distinct rows (archive bigint, signature bigint). bits may be up to 5: with 7 chunks two must agree.
     """
     overlap = required_overlap(bits)
     if overlap < 1:
         raise ValueError("too many bits for the number of chunks")
-    keyed = materialize(reps.select(F.xxhash64("archive").alias("archive"), "signature"), "signatures")
-    n = keyed.count() * CHUNKS * (CHUNKS - 1) // 2
-    counts = keyed.mapInPandas(_count_tokens, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    # lists of more than a block's records and at least 1/HEAVY of all postings: at most HEAVY rows
-    limit = max(2, -(-n // HEAVY))
-    rows = counts.filter(F.col("n") >= limit).toPandas()
-    order = np.argsort(rows["token"].to_numpy().view(np.uint64)) if len(rows) else []
-    heavy = (rows["token"].to_numpy().view(np.uint64)[order], rows["n"].to_numpy()[order]) if len(rows) else (np.array([], np.uint64), np.array([], np.int64))
-    width = input_partitions(reps)
-    postings = keyed.mapInPandas(_short_postings(heavy, overlap - 1), "token bigint, cell bigint, side tinyint, signature bigint")
-    pairs = postings.repartition(width, "token", "cell").sortWithinPartitions("token", "cell")
-    return pairs.mapInPandas(_merge(bits), "a bigint, b bigint").distinct()
+    rows = shards(materialize(reps.select("archive", "signature"), "signatures"), overlap)
+    pairs = rows.repartition(input_partitions(reps), "token", "cell").sortWithinPartitions("token", "cell")
+    return pairs.mapInPandas(_search(overlap, bits), "archive bigint, a bigint, b bigint")
 
 
 def near_classes(images: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """Classes of equal signatures and the links between them.
 
-    Returns members (archive, signature, image_id) and links (archive, a, b), a < b: representatives of
-    one archive that differ in 1 to `bits` bits.
+    Returns members (archive, class, signature, image_id), archive by name and class its hash, and links (class, a,
+    b), a < b: representatives of one archive that differ in 1 to `bits` bits.
     """
-    own = materialize(signed_images(images), "signed")
-    reps = materialize(own.select("archive", "signature").distinct(), "classes")
-    pairs = materialize(near_signatures(reps, bits), "near")
-    a = reps.select("archive", F.col("signature").alias("a"))
-    b = reps.select("archive", F.col("signature").alias("b"))
-    return own, pairs.join(a, "a").join(b, ["archive", "b"]).select("archive", "a", "b")
+    own = materialize(signed_images(images).withColumn("class", F.xxhash64("archive")), "signed")
+    reps = own.select(F.col("class").alias("archive"), "signature").distinct()
+    return own, materialize(near_signatures(reps, bits), "near").withColumnRenamed("archive", "class")
 
 
 def near_image_pairs(images: DataFrame, bits: int = BITS) -> DataFrame:
     """All pairs (image_a, image_b), image_a < image_b, of one archive whose signatures differ in at most `bits` bits.
 
-    The result's form asks for the pairs of equal signatures too; they are expanded only here.
+    The result's form asks for the pairs of equal signatures too; they are expanded only here. The copies of a class
+    are dealt to blocks of about COPIES: one side keeps its block, the other visits all, so no task pairs a whole class.
     """
     own, links = near_classes(images, bits)
-    links = materialize(links, "links")
-    left = own.select("archive", F.col("signature").alias("a"), F.col("image_id").alias("x"))
-    right = own.select("archive", F.col("signature").alias("b"), F.col("image_id").alias("y"))
-    across = links.join(left, ["archive", "a"]).join(right, ["archive", "b"]).select("x", "y")
-    within = left.join(right.withColumnRenamed("b", "a"), ["archive", "a"]).filter("x < y").select("x", "y")
-    both = across.unionByName(within).filter("x <> y")
+    many = own.groupBy("class", "signature").agg(F.ceil(F.count(F.lit(1)) / COPIES).cast("int").alias("blocks"))
+    own = materialize(own.join(many, ["class", "signature"]), "members")
+    block = lambda c: F.pmod(F.xxhash64(c), "blocks").cast("int").alias("block")
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    kept = own.select("class", "archive", F.col("signature").alias("a"), "blocks", F.col("image_id").alias("x"))
+    visit = own.select("class", F.col("archive").alias("other"), F.col("signature").alias("a"), F.col("image_id").alias("y"), all_blocks)
+    within = kept.select("class", "archive", "a", "x", block("x")).join(visit, ["class", "a", "block"]).filter("x < y")
+    size = lambda c: many.select("class", F.col("signature").alias(c), F.col("blocks").alias(f"blocks_{c}"))
+    links = links.join(size("a"), ["class", "a"]).join(size("b"), ["class", "b"])
+    first = links.select("class", "a", "b", "blocks_b", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1)).alias("block"))
+    first = first.join(kept.select("class", "archive", "a", "x", block("x")), ["class", "a", "block"])
+    across = first.select("class", "archive", F.col("b").alias("a"), "x", F.pmod(F.xxhash64("x"), "blocks_b").cast("int").alias("block"))
+    across = across.join(visit, ["class", "a", "block"]).filter("x <> y")
+    cols = ["archive", "other", "x", "y"]
+    both = within.select(*cols).unionByName(across.select(*cols)).filter("archive = other")  # two names of one hash are told apart here
     return both.select(F.least("x", "y").alias("image_a"), F.greatest("x", "y").alias("image_b")).distinct()
 
 
@@ -239,16 +271,14 @@ def near_image_groups(images: DataFrame, bits: int = BITS) -> DataFrame:
     copies the images with the same signature (itself included), links the other classes it is near to.
     """
     own, links = near_classes(images, bits)
-    links = materialize(links, "links")
-    name = lambda s: F.concat_ws(":", "archive", F.col(s).cast("string"))
+    name = lambda s: F.concat_ws(":", F.col("class").cast("string"), F.col(s).cast("string"))
     parts = connected_components(links.select(name("a").alias("src"), name("b").alias("dst")))
-    ends = links.select("archive", F.col("a").alias("signature")).unionByName(links.select("archive", F.col("b").alias("signature")))
-    degree = ends.groupBy("archive", "signature").agg(F.count(F.lit(1)).alias("links"))
-    classes = own.groupBy("archive", "signature").agg(F.count(F.lit(1)).alias("copies"), F.min("image_id").alias("first"))
-    classes = classes.join(degree, ["archive", "signature"], "left").withColumn("id", name("signature"))
+    ends = links.select("class", F.col("a").alias("signature")).unionByName(links.select("class", F.col("b").alias("signature")))
+    degree = ends.groupBy("class", "signature").agg(F.count(F.lit(1)).alias("links"))
+    classes = own.groupBy("class", "signature").agg(F.count(F.lit(1)).alias("copies"), F.min("image_id").alias("first"))
+    classes = classes.join(degree, ["class", "signature"], "left").withColumn("id", name("signature"))
     classes = materialize(classes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")), "classes")
     groups = classes.groupBy("component").agg(F.min("first").alias("group_id"))
     classes = skew_join(classes, groups, "component").select("id", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     rows = own.withColumn("id", name("signature"))
     return skew_join(rows, materialize(classes, "named"), "id").select("archive", "image_id", "group_id", "copies", "links")
-

@@ -56,7 +56,15 @@ f AS (SELECT image_id, min(draw_no) AS first FROM d WHERE image_id IS NOT NULL G
 need AS (SELECT image_id, x::INT AS draw_no, r::INT AS rerun FROM f, range(1, 5) t(x), range(1, 3) u(r) WHERE x >= first)
 SELECT image_id, draw_no, rerun FROM need WHERE NOT EXISTS (
   SELECT 1 FROM d WHERE d.image_id = need.image_id AND d.draw_no = need.draw_no AND d.rerun = need.rerun)""",
-    "p3_sample": _PLACE + "SELECT image_id, min(snapshot) AS snapshot, min(group_id) AS group_id FROM g WHERE x3 < 128 GROUP BY image_id",
+    "p3_sample": _PLACE
+    + """, parts AS (SELECT image_id, min(p.part) AS part FROM manifest_split s JOIN split_part p ON s.part = p.spelling GROUP BY image_id)
+      SELECT image_id, min(snapshot) AS snapshot, min(group_id) AS group_id, any_value(part) AS part FROM g LEFT JOIN parts USING (image_id) WHERE x3 < 128 GROUP BY image_id""",
+    # every tokenizer that neither joins words nor makes more tokens than bytes gives the same answer, so bytes stand for tokens
+    "p6_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 4096",
+    "p7_found": """
+WITH size AS (SELECT lower(trim(source)) AS source, sum(octet_length(encode(text))) AS n FROM documents GROUP BY 1),
+goal AS (SELECT t.source, target_share, max_repeats, coalesce(n, 0) AS n FROM mix_target t LEFT JOIN size USING (source))
+SELECT source FROM goal WHERE n * max_repeats < target_share * (SELECT sum(n) FROM goal)""",
     "p5_found": "WITH "
     + _SIGNED
     + """SELECT DISTINCT x.image_id AS image_a, y.image_id AS image_b FROM ok x JOIN ok y USING (archive)

@@ -68,16 +68,28 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goal.join(got, "part", "left").crossJoin(F.broadcast(total)).select("part", "target_share", "images", "units", (F.col("images") / F.col("all_images")).alias("share"))
 
 
+def p2_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How even the bins are before they are allocated."""
+    return splits.bin_spread(_splits(spark, sf_dir)[1])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws that lost an image they must hold."""
-    return sampling.audit_draws(_read(spark, sf_dir, "drawn_sample", "image_id", "draw_no", "rerun"))
+    """Draws that lost an image they must hold: four draws, each made twice, and later ones if there are."""
+    return sampling.audit_draws(_read(spark, sf_dir, "drawn_sample", "image_id", "draw_no", "rerun"), least_draws=4, least_reruns=2)
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sample of all images of manifest_group, with the first snapshot that lists each."""
-    groups = _read(spark, sf_dir, "manifest_group", "image_id", "group_id", "snapshot")
-    drawn = sampling.block_sample(groups, F.col("image_id").cast("bigint"))
-    return drawn.groupBy("image_id").agg(F.min("snapshot").alias("snapshot"), F.min("group_id").alias("group_id"))
+    """The sample of all images of manifest_group, with the first snapshot that lists each, its least group and its part.
+
+    The part is the first by name of those its rows in manifest_split spell, null without one.
+    """
+    number = F.col("image_id").cast("bigint")
+    drawn = sampling.block_sample(_read(spark, sf_dir, "manifest_group", "image_id", "group_id", "snapshot"), number)
+    drawn = drawn.groupBy("image_id").agg(F.min("snapshot").alias("snapshot"), F.min("group_id").alias("group_id"))
+    spelled = _read(spark, sf_dir, "split_part").select(F.col("spelling").alias("part"), F.col("part").alias("known"))
+    # the same blocks choose among the parts' rows, so only chosen images are joined; split_part is a fixed list
+    parts = sampling.block_sample(_read(spark, sf_dir, "manifest_split", "image_id", "part"), number).join(F.broadcast(spelled), "part")
+    return drawn.join(parts.groupBy("image_id").agg(F.min("known").alias("part")), "image_id", "left")
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +112,9 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that alone exceed a container: those that were cut into more than one piece."""
-    packed = packing.pack(_sizes(spark, sf_dir))
-    return packed.filter("piece = 1").select("doc_id").distinct()
+    """Documents that alone exceed a container: those that the packing put into more than one."""
+    packed = packing.pack(_sizes(spark, sf_dir)).groupBy("doc_id").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return packed.filter("a <> b").select("doc_id")
 
 
 def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +134,15 @@ def _rates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sizes, mixing.repetition_rates(sizes, _read(spark, sf_dir, "mix_target"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, rates = _rates(spark, sf_dir)
+    rates = materialize(rates, "rates")
+    return mixing.shares(mixing.copies(sizes, rates), rates)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share even at the most repetitions allowed."""
-    _, rates = _rates(spark, sf_dir)
-    return rates.filter("not reachable").select("source")
+    """Sources of which the mixture holds all it may and still less than their share of the total size."""
+    return _mixed(spark, sf_dir).filter("short").select("source")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +152,8 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of every source."""
-    sizes, rates = _rates(spark, sf_dir)
-    rates = materialize(rates, "rates")
-    return mixing.shares(mixing.mix(sizes, rates), rates)
+    """Target, attainable and reached share of every source."""
+    return _mixed(spark, sf_dir).drop("short")
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +173,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_group_sizes, p1_stale, p2_found, p2_assign, p2_shares, p3_found, p3_sample,
+        p1_found, p1_group_sizes, p1_stale, p2_found, p2_assign, p2_shares, p2_spread, p3_found, p3_sample,
         p5_found, p5_groups, p6_found, p6_pack, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_shares,
     )
 }

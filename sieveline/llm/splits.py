@@ -24,60 +24,48 @@ from sieveline.session import materialize
 
 BINS = 256
 #: Groups that one task packs.
-CHUNK_ITEMS = 200_000
+CHUNK_ITEMS = 20_000
 
 
 def balance(weights: np.ndarray, bins: int) -> np.ndarray:
     """The bin (0 to bins-1) of each weight, by largest differencing.
 
-    Of equal weights every full set of `bins` cancels exactly, one to each bin, so only what is left of
-    each weight is differenced; the number of combinations depends on the distinct weights, not on the
-    items. Ties go by position, so the result is the same in every run. Zero weights are dealt like others.
+    Every weight starts as a partial solution of one filled bin. The two partial solutions of the widest
+    spread are combined until one is left. Ties go by position, so the result is the same in every run; zero weights are dealt like others.
     """
     weights = np.asarray(weights, np.int64)
-    out = np.empty(len(weights), np.int64)
-    order = np.argsort(-weights, kind="stable")
-    sorted_w = weights[order]
-    starts = np.flatnonzero(np.r_[True, sorted_w[1:] != sorted_w[:-1]]) if len(weights) else np.array([], np.int64)
-    ends = np.r_[starts[1:], len(weights)]
-    rest = []
-    for s, e in zip(starts, ends):
-        full = (e - s) // bins * bins
-        out[order[s : s + full]] = np.arange(full) % bins
-        rest.append(order[s + full : e])
-    rest = np.concatenate(rest) if rest else np.array([], np.int64)
     # a node is a slot of a partial solution; merged slots point to the node that holds both
-    up: list[int] = list(range(len(rest)))
-    heap = [(-int(weights[i]), k, np.array([weights[i]]), np.array([k])) for k, i in enumerate(rest)]
+    up: list[int] = list(range(len(weights)))
+    heap = [(-w, k, np.array([w]), np.array([k])) for k, w in enumerate(weights.tolist())]
     heapq.heapify(heap)
     tick = len(heap)
     while len(heap) > 1:
         _, _, sums_a, nodes_a = heapq.heappop(heap)
         _, _, sums_b, nodes_b = heapq.heappop(heap)
+        # slots beyond the listed ones are empty: the heaviest of one fill those of the other, in shared slots heavy meets light
         both = max(0, len(sums_a) + len(sums_b) - bins)
         k, j = len(sums_a) - both, len(sums_b) - both
         new = len(up) + np.arange(both)
-        # the heaviest of one fill the free slots of the other; in the shared slots heavy meets light
-        for x, y, z in zip(nodes_a[k:], nodes_b[j:][::-1], new):
-            up[x] = up[y] = int(z)
+        for x, y, z in zip(nodes_a[k:].tolist(), nodes_b[j:][::-1].tolist(), new.tolist()):
+            up[x] = up[y] = z
         up.extend(new.tolist())
-        sums = np.r_[sums_a[:k], sums_a[k:] + sums_b[j:][::-1], sums_b[:j]]
-        nodes = np.r_[nodes_a[:k], new, nodes_b[:j]]
+        sums = np.concatenate((sums_a[:k], sums_a[k:] + sums_b[j:][::-1], sums_b[:j]))
         by = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[by], nodes[by]
+        sums, nodes = sums[by], np.concatenate((nodes_a[:k], new, nodes_b[:j]))[by]
         least = sums[-1] if len(sums) == bins else 0
-        heapq.heappush(heap, (-int(sums[0] - least), tick, sums, nodes))
+        heapq.heappush(heap, (int(least - sums[0]), tick, sums, nodes))
         tick += 1
+    out = np.empty(len(weights), np.int64)
     if heap:
-        top = {int(n): b for b, n in enumerate(heap[0][3])}
         root = np.array(up)
         while True:
             nxt = root[root]
             if (nxt == root).all():
                 break
             root = nxt
-        for k, i in enumerate(rest):
-            out[i] = top[int(root[k])]
+        bin_of = np.empty(len(up), np.int64)
+        bin_of[heap[0][3]] = np.arange(len(heap[0][3]))
+        out = bin_of[root[: len(weights)]]
     return out
 
 
@@ -166,14 +154,26 @@ def part_shares(split_part: DataFrame) -> dict[str, float]:
 
 
 def group_report(own: DataFrame, split: DataFrame, split_part: DataFrame, units: DataFrame) -> DataFrame:
-    """One row (group_id, old_parts, new_part) per group: how many parts it had, and the one it gets.
+    """One row (group_id, new_part, keeps, leaves, old_parts) per group: what the new allocation makes of it.
 
-    Spellings match exactly; null and unlisted ones do not count, nor do null groups. A group none of
-    whose images has a part counts 0.
+    new_part comes from the bin the group's unit was packed into. keeps tells whether rows of the group
+    stand in that part already, leaves lists the other parts its rows have to leave, and old_parts is the number of
+    parts it was torn into: those it leaves and, where it keeps some rows, the new one. Spellings match exactly; null and
+    unlisted ones do not count, nor do null groups. A group none of whose images has a part leaves none.
     """
     # split_part is a fixed list of spellings, so it is broadcast
     known = split.join(F.broadcast(split_part.select(F.col("spelling").alias("part"), F.col("part").alias("known"))), "part")
     known = known.select("image_id", "known").distinct()
     grouped = own.filter("group_id is not null").select("image_id", "group_id", "unit").distinct()
-    seen = grouped.join(known, "image_id", "left").groupBy("group_id", "unit").agg(F.count_distinct("known").alias("old_parts"))
-    return seen.join(units.select("unit", F.col("part").alias("new_part")), "unit").select("group_id", "old_parts", "new_part")
+    allocated = skew_join(materialize(grouped, "grouped"), units.select("unit", F.col("part").alias("new_part")), "unit", "inner")
+    moves = allocated.join(known, "image_id", "left").groupBy("group_id", "new_part")
+    # a handful of parts a group
+    seen = moves.agg(F.coalesce(F.bool_or(F.col("known") == F.col("new_part")), F.lit(False)).alias("keeps"), F.array_sort(F.collect_set(F.when(F.col("known") != F.col("new_part"), F.col("known")))).alias("leaves"))
+    return seen.withColumn("old_parts", F.size("leaves") + F.col("keeps").cast("int"))
+
+
+def bin_spread(units: DataFrame) -> DataFrame:
+    """How even the bins are: one row (bins, least, most, mean, spread), spread being (most - least) / mean."""
+    sums = units.groupBy("bin").agg(F.sum("weight").alias("w"))
+    one = sums.agg(F.count(F.lit(1)).alias("bins"), F.min("w").alias("least"), F.max("w").alias("most"), F.avg("w").alias("mean"))
+    return one.withColumn("spread", (F.col("most") - F.col("least")) / F.col("mean"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,7 @@ def near_brute(rows):
 @pytest.mark.parametrize("block", [4, 2048])
 def test_near_signatures_with_hot_lists(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "COPIES", 3)
     random.seed(5)
     base = [random.getrandbits(64) for _ in range(25)]
     sigs = base + [b ^ sum(1 << k for k in random.sample(range(64), random.randrange(1, 7))) for b in base for _ in range(6)]
@@ -161,6 +163,43 @@ def test_near_signatures_with_hot_lists(spark, monkeypatch, block):
     assert {k[1]: v for k, v in groups.items()} == same
 
 
+def test_merge_and_probe_count_shared_tokens():
+    """Occurrences in short lists and in long ones add up to the tokens that two records of a shard share."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 4)
+    sig = np.unique(np.concatenate([base[k % 4] ^ (rng.integers(0, 2, (1, 8)) << rng.integers(0, 63, (1, 8))).sum(1) for k in range(160)]))
+    skip = [sum(1 << int(k) for k in rng.choice(21, 2, replace=False)) for _ in sig]
+    pdf = pd.DataFrame({"token": np.arange(len(sig)) // 40, "cell": 0, "side": 0, "k": 0, "skip": skip, "archive": 1, "signature": sig})
+    s = neardup.Shards(pdf)
+    got = {}
+    for q, r, n in s.merge(1):
+        got |= {(int(a), int(b)): (int(c), int(p)) for a, b, c, p in zip(q, r, n, s.probe(q, r))}
+    met = 0
+    for a in range(len(sig)):
+        for b in range(a + 1, len(sig)):
+            same = (s.key[a] == s.key[b]) if a // 40 == b // 40 else np.zeros(21, bool)
+            want = (int((same & ~s.long[a]).sum()), int((same & s.long[a]).sum()))
+            met += want[0] > 0
+            assert got.get((a, b), (0, want[1])) == want
+    assert met > 100 and len(got) == met
+
+
+def test_lists_over_a_block_are_cut(spark, monkeypatch):
+    """Every list of more than a block's records is cut, whatever its share of all records, and no pair is lost."""
+    rng = random.Random(10)
+    hot = [(0b101 << 40) | rng.getrandbits(16) for _ in range(90)]
+    rows = [("A", s) for s in set(hot)] + [("A", rng.getrandbits(62)) for _ in range(3000)]
+    reps = spark.createDataFrame([(1, s) for _, s in rows], "archive bigint, signature bigint").distinct()
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    index = neardup.shards(reps, 3)
+    most = index.groupBy("token", "cell").count().agg(F.max("count")).head()[0]
+    assert most <= 40 and index.agg(F.max("cell")).head()[0] > 0
+    got = {(r["a"], r["b"]) for r in neardup.near_signatures(reps).collect()}
+    sig = sorted({s for _, s in rows})
+    want = {(a, b) for i, a in enumerate(sig) for b in sig[i + 1 :] if (a ^ b).bit_count() <= 4}
+    assert got == want
+
+
 def test_signature_follows_from_the_raster(spark):
     rng = np.random.default_rng(6)
     rows = []

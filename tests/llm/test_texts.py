@@ -49,23 +49,38 @@ def test_packing_whole_and_cut_documents(spark):
 
 
 def test_mixing(spark):
-    rows = [(i, " Big", 100) for i in range(4000)] + [(5000 + i, "small ", 100) for i in range(100)] + [(6000, None, 100), (6001, "other", 100), (None, "big", 5), (6002, "big", None)]
+    rows = [(i, " Big", 100) for i in range(40_000)] + [(50_000 + i, "small ", 100) for i in range(1000)]
+    rows += [(60_000, None, 100), (60_001, "other", 100), (None, "big", 5), (60_002, "big", None)]
     sizes = spark.createDataFrame(rows, "doc_id long, source string, tokens long").withColumn("rate", F.lit(3)).withColumn("copy", F.lit(1))
     targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.5, 3), ("none", 0.0, 1), ("lost", 0.1, None), (None, 0.3, 1)], "source string, target_share double, max_repeats int")
     rates = mixing.repetition_rates(sizes, targets)
     by = {r["source"]: r for r in rates.collect()}
-    assert by["big"]["size"] == 400_005 and by["small"]["rate"] == 3.0 and not by["small"]["reachable"] and by["big"]["reachable"] and by["none"]["reachable"]
+    assert by["big"]["size"] == 4_000_005 and by["small"]["rate"] == 3.0 and not by["small"]["reachable"] and by["big"]["reachable"] and by["none"]["reachable"]
     assert not by["lost"]["reachable"] and by["lost"]["rate"] == 0 and set(by) == {"big", "small", "none", "lost"}
     out = mixing.mix(sizes, rates)
     n = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    assert n["small"] == 300 and n["big"] == pytest.approx(4000 * by["big"]["rate"], rel=0.05)
+    assert n["small"] == 3000 and n["big"] == pytest.approx(40_000 * by["big"]["rate"], rel=0.05)
     key = lambda d: sorted((r["doc_id"], r["copy"]) for r in d.collect())
     assert key(out) == key(mixing.mix(sizes.repartition(6), rates))
-    share = {r["source"]: r["share"] for r in mixing.shares(out, rates).collect()}
-    assert sum(share.values()) == pytest.approx(1) and share["none"] == 0
+    got = {r["source"]: r for r in mixing.shares(mixing.copies(sizes, rates), rates).collect()}
+    assert sum(r["share"] for r in got.values()) == pytest.approx(1) and got["none"]["share"] == 0
+    assert {s for s, r in got.items() if r["short"]} == {"small", "lost"} == {s for s, r in by.items() if not r["reachable"]}
+    for s in ("big", "none"):  # a reachable source has its target share of what is emitted
+        assert got[s]["attainable_share"] == pytest.approx(got[s]["target_share"]) and got[s]["share"] == pytest.approx(got[s]["target_share"], abs=0.015)
+        assert abs(got[s]["share"] - got[s]["attainable_share"]) <= 4 * got[s]["share_deviation"] + 1e-9
     assert mixing.mix(sizes.limit(0), rates).count() == 0
 
 
+def test_mixing_without_capped_sources_and_with_empty_ones(spark):
+    sizes = spark.createDataFrame([(i, "a" if i % 4 else "b", 10) for i in range(8000)], "doc_id long, source string, tokens long")
+    for targets, want in (([("a", 0.7, 2), ("b", 0.3, 2)], {"a": 0.7, "b": 0.3}), ([("a", 0.6, 2), ("b", 0.2, 1), ("c", 0.2, 9)], {"a": 0.75, "b": 0.25, "c": 0.0})):
+        rates = mixing.repetition_rates(sizes, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"))
+        got = {r["source"]: r for r in mixing.shares(mixing.copies(sizes, rates), rates).collect()}
+        for s, share in want.items():
+            assert got[s]["attainable_share"] == pytest.approx(share) and got[s]["share"] == pytest.approx(share, abs=0.02)
+        assert sum(r["mixed"] for r in got.values()) == pytest.approx(80_000, rel=0.03)
+
+
 WHO, DOES = ["the pilot", "my sister", "a tired nurse", "our neighbour", "the inspector"], ["sold", "found", "buried", "has hidden", "keeps asking for"]
 WHAT, WHERE = ["the blue lantern", "an empty suitcase", "the stolen violin", "my winter coat"], ["", " under the stairs", " before the storm", " near the river"]
 
