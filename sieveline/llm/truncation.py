@@ -9,11 +9,12 @@ model nor what reaches the driver grows with the data.
 A value's score is the log-odds of its final context: end of text against continuation, interpolated
 from short to long contexts. Ends inside texts are certain; the last ends of texts are doubtful and
 only count where at least three different texts end alike, beyond what cuts at random places would give
-(credits and the like stand nowhere else).
-Where a text stops with an ellipsis, the context before the dots is scored too, since they may be the sign
-of a cut. The threshold of each language (and column, one call each) is where inner ends and places inside
-blocks, all of every text and each scored without itself, are told apart best. They are scored in a second
-pass over the texts, once the counts are whole, and only histograms of their scores leave a task.
+(credits and the like stand nowhere else). Texts are the same where their SHA-256 is.
+Where a text stops with an ellipsis or a bracket, which may be the sign of a cut, the context before these marks is
+scored too, against contexts that inner ends have before theirs: no list says which signs there are. The threshold of each
+language (and column, one call each) is where inner ends and places inside blocks, all of every text and each
+scored without itself, are told apart best. They are scored in a second pass over the texts, once the counts
+are whole, and only histograms of their scores leave a task.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.mixing import source_name
+from sieveline.operators.joins import small_or_skew_join
 from sieveline.session import materialize
 
 #: Characters of context; 0 knows style and open marks alone.
 ORDERS = (0, 2, 4, 7, 11, 16)
 #: Cells of each order's table, as a power of two.
 CELL_BITS = (8, 16, 18, 20, 20, 20)
-#: Rows of a table: inner ends, places within a block, sentence ends before their stops, last ends.
-ENDS, PLACES, BEFORE_STOPS, LAST = range(4)
+#: Rows of a table: inner ends, places within a block, inner ends before their closing marks, last ends.
+ENDS, PLACES, BEFORE_MARKS, LAST = range(4)
 #: Weight of the shorter context's estimate.
 BACKOFF = 3.0
 #: Cells in one message of a task's counts.
@@ -44,22 +46,18 @@ SLAB = 1 << 16
 BATCH_CHARS = 200_000
 #: Places whose cells wait until they are added up.
 FLUSH = 4_000_000
-#: Score of a text that bears an outright sign of a cut or ends in a broken character.
-CERTAIN = -12.0
 #: What stands at the end of a sentence (fixed values).
 STOPS = ".!?…"
-#: Signs that something was left out (fixed values).
-SIGNS = re.compile(r"[ \x1e]*(?:\[(?:\.\.\.|…|truncated|cut|more|continued|snip)\]|\((?:\.\.\.|…|truncated|more)\)|<(?:truncated|cut|more)>|(?:read|see) more)$")
-#: Character that stands for bytes that make no character.
-BROKEN = "�"
 _BLOCK, _DOC = "\x1e", "\x1f"
 _BLANK = re.compile(r"\n[ \t]*\n\s*")
-_IS_STOP, _OPEN, _SHUT, _LT, _SLASH, _MUSIC = 1, 2, 4, 8, 16, 32
+#: What stands for something left out: the ellipsis, and the character for bytes that make none (fixed values).
+ELLIPSIS, BROKEN = "…", "\ufffd"
+_IS_STOP, _OPEN, _SHUT, _LT, _SLASH, _MUSIC, _BROKEN = 1, 2, 4, 8, 16, 32, 64
 
 
 def _classes() -> np.ndarray:
     table = np.zeros(65_536, np.uint8)
-    for chars, bit in ((STOPS, _IS_STOP), ("([{<", _OPEN), (")]}>", _SHUT), ("<", _LT), ("/", _SLASH), ("♪", _MUSIC)):
+    for chars, bit in ((STOPS, _IS_STOP), ("([{<", _OPEN), (")]}>", _SHUT), ("<", _LT), ("/", _SLASH), ("♪", _MUSIC), (BROKEN, _BROKEN)):
         table[[ord(x) for x in chars]] |= bit
     return table
 
@@ -78,8 +76,12 @@ class Batch:
 
     def __init__(self, texts: list[str]):
         c = np.frombuffer((_DOC + _DOC.join(texts) + _DOC).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
-        kind = _CLASS[np.minimum(c, 65_535)]
         c[(c >= 48) & (c <= 57)] = 48
+        same = c[1:] == c[:-1]
+        drawn = np.zeros(len(c), bool)
+        drawn[3:] = same[2:] & same[1:-1] & same[:-2] & (c[3:] > 57)
+        c = c[~drawn]  # a letter drawn out longer than three is read as three
+        kind = _CLASS[np.minimum(c, 65_535)]
         self.c, self.n, self.stop = c, len(texts), (kind & _IS_STOP) > 0
         self.block, doc = c == ord(_BLOCK), c == ord(_DOC)
         self.edge = self.block | doc
@@ -93,7 +95,10 @@ class Batch:
         any_stop = np.add.reduceat(self.stop, at[:-1], dtype=np.int64) > 0
         style = np.where(n_ends >= 2, n_stops >= 0.35 * n_ends, any_stop)
         # marks open since the block's start
-        start = np.maximum.accumulate(np.where(self.edge, np.arange(len(c), dtype=np.int32), 0))
+        where = np.arange(len(c), dtype=np.int32)
+        start = np.maximum.accumulate(np.where(self.edge, where, 0))
+        self.start, self.shut, self.broken = start, (kind & _SHUT) > 0, (kind & _BROKEN) > 0
+        self.opening = np.maximum.accumulate(np.where((kind & _OPEN) > 0, where, -1))
 
         def open_(step: np.ndarray) -> np.ndarray:
             total = np.cumsum(step, dtype=np.int32)
@@ -132,42 +137,48 @@ class Batch:
             yield x >> np.uint32(32 - bits)
 
 
+def before_marks(b: Batch, at: np.ndarray) -> np.ndarray:
+    """From each position back over the stops, brackets and blanks that close a block; the same position where nothing is left of it."""
+    began, to = at, at.copy()
+    while True:
+        moved = to != began
+        left = np.where(b.stop[to] | b.broken[to] | (moved & (b.c[to] == 32)), to - 1, to)
+        left = np.where(b.shut[to] & (b.opening[to] > b.start[to]), b.opening[to] - 1, left)
+        back = (left != to) & (left >= b.start[to]) & ~b.edge[left]
+        if not back.any():
+            return to
+        to = np.where(back, left, to)
+
+
 def places(b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of inner ends, of places within a block, and of sentence ends before (or without) stops."""
+    """Positions of inner ends, of places within a block, and of inner ends before (or without) their closing marks."""
     before_block = np.flatnonzero(b.block) - 1
     ends = before_block[~b.edge[before_block]]
     goes_on = np.flatnonzero(~b.edge[:-1] & ~b.edge[1:])
-    at = ends
-    while True:  # back over the run of stops
-        back = b.stop[at] & ~b.edge[at - 1]
-        if not back.any():
-            return ends, goes_on, at
-        at = np.where(back, at - 1, at)
+    return ends, goes_on, before_marks(b, ends)
 
 
-def _before_dots(b: Batch) -> np.ndarray:
-    """Of each text the position before a final ellipsis, or -1 where there is none to doubt.
+def _before_signs(b: Batch) -> np.ndarray:
+    """Of each text the position before a final ellipsis, bracket or broken character, or -1 where there is none to doubt.
 
-    Drawn-out sounds (the same letter three times) trail off by nature and are not doubted.
+    A bracket behind the end of a sentence is not doubted.
     """
     c, last = b.c, b.last
-    dots = (c[last] == ord("…")) | ((c[last] == 46) & (c[last - 1] == 46))
-    at = last.copy()
-    while True:
-        back = b.stop[at] & dots
-        if not back.any():
-            break
-        at = np.where(back, at - 1, at)
-    drawn = (c[at] == c[at - 1]) & (c[at] == c[np.maximum(at - 2, 0)]) & (c[at] != 48) & ~b.edge[at]
-    return np.where(dots & ~drawn & ~b.edge[at], at, -1)
+    dots = lambda at: (c[at] == ord(ELLIPSIS)) | ((c[at] == 46) & (c[at - 1] == 46))
+    inside = b.shut[last] & (b.opening[last] > b.start[last])
+    ahead = np.maximum(b.opening[last] - 1, 0)
+    ahead = np.where(c[ahead] == 32, np.maximum(ahead - 1, 0), ahead)
+    doubt = dots(last) | b.broken[last] | (inside & (~b.stop[ahead] | dots(ahead)))
+    at = before_marks(b, last)
+    return np.where(doubt & (at != last) & ~b.edge[last], at, -1)
 
 
 class Counter:
     """Counts of a task, and the last contexts of its texts."""
 
     def __init__(self):
-        self.tables = [np.zeros((3, 1 << bits), np.int32) for bits in CELL_BITS]
-        self.waiting: list[list[list[np.ndarray]]] = [[[], [], []] for _ in CELL_BITS]
+        self.tables = [np.zeros((4, 1 << bits), np.int32) for bits in CELL_BITS]
+        self.waiting: list[list[list[np.ndarray]]] = [[[], [], [], []] for _ in CELL_BITS]
         self.n_waiting = 0
 
     def flush(self) -> None:
@@ -189,46 +200,57 @@ class Counter:
             for cells, at in zip(waiting, kinds):
                 cells.append(cell[at])
             out.append(np.where(whole, cell[b.last].astype(np.int32), -1))
-        self.n_waiting += len(kinds[PLACES])
+        self._count(len(kinds[PLACES]))
+        return np.stack(out, 1)
+
+    def add_last(self, cells: np.ndarray) -> None:
+        """Count last ends, a row of cells each."""
+        for waiting, cell in zip(self.waiting, cells.T):
+            waiting[LAST].append(cell)
+        self._count(len(cells))
+
+    def _count(self, n: int) -> None:
+        self.n_waiting += n
         if self.n_waiting >= FLUSH:
             self.flush()
-        return np.stack(out, 1)
+
+    def slabs(self) -> pd.DataFrame:
+        """The counts in compressed pieces that hold any: rows (slab, counts)."""
+        self.flush()
+        flat = np.concatenate([t.ravel() for t in self.tables])
+        pieces = ((k, flat[k : k + SLAB]) for k in range(0, len(flat), SLAB))
+        rows = [(k // SLAB, zlib.compress(x.tobytes(), 1)) for k, x in pieces if x.any()]
+        return pd.DataFrame(rows, columns=["slab", "counts"])
 
 
-def log_odds(cells: np.ndarray, model: list[np.ndarray], row: int, own: int | None = None) -> np.ndarray:
-    """Log-odds of an end (row ENDS or BEFORE_STOPS) against continuation, above those of any place.
+def log_odds(cells: list[np.ndarray], model: list[np.ndarray], row: int, own: int | None = None) -> np.ndarray:
+    """Log-odds of an end (row ENDS or BEFORE_MARKS) against continuation, above those of any place.
 
-    cells: one row per context. own: the row among whose counts the context itself is, so that it is left
-    out. Contexts of -1 have log-odds 0.
+    cells: by order the cells of the contexts. own: the row among whose counts the context itself is, so that
+    it is left out.
     """
-    e0, g0 = float(model[0][row].sum()), float(model[0][PLACES].sum())
-    p0 = (e0 + 1) / (e0 + g0 + 2)
+    whole = [float(x) for x in model[0].sum(0, np.float64)]
+    p0 = (whole[row] + 1) / (whole[row] + whole[PLACES] + 2)
     # were every text cut anywhere, so many last ends would fall on a place; thrice that is still chance
-    chance = 3 * float(model[0][LAST].sum()) / max(g0, 1.0)
-    n = len(cells)
-    p, e, g, last = np.full(n, p0), np.full(n, np.inf), np.full(n, np.inf), np.full(n, np.inf)
-    for t, cell in zip(model, cells.T):
+    chance = np.float32(3 * whole[LAST] / max(whole[PLACES], 1.0))
+    less = np.zeros(4, np.float32)
+    if own is not None:
+        less[own] = 1
+    p, n = np.full(len(cells[0]), p0, np.float32), None
+    back = np.float32(BACKOFF)
+    for t, cell in zip(model, cells):
+        here = t[cell] - less
         # a longer context cannot be more frequent than the shorter one; more is a collision in the table
-        e = np.minimum(e, np.maximum(t[row][cell] - (own == row), 0))
-        g = np.minimum(g, np.maximum(t[PLACES][cell] - (own == PLACES), 0))
+        n = np.maximum(here, 0) if n is None else np.clip(here, 0, n)
+        e, g = n[:, row], n[:, PLACES]
         if row == ENDS:  # three texts that end alike are the least that counts, the text itself among them
-            last = np.minimum(last, t[LAST][cell])
-            more = np.maximum(last - 2 - chance * g, 0)
-        else:
-            more = 0
-        p = (e + more + BACKOFF * p) / (e + more + g + BACKOFF)
-    p = np.clip(p, 1e-9, 1 - 1e-9)
-    return np.where(cells[:, 0] >= 0, np.log(p / (1 - p)) - np.log(p0 / (1 - p0)), 0.0)
+            e = e + np.maximum(n[:, LAST] - 2 - chance * g, 0)
+        p = (e + back * p) / (e + g + back)
+    p = np.clip(p, 1e-9, 1 - 1e-6)
+    return np.log(p / (1 - p)) - np.float32(np.log(p0 / (1 - p0)))
 
 
-_READ = "kind string, tail bigint, last array<int>, slab int, counts binary"
-
-
-def _bare(texts: Iterable[str | None]) -> tuple[list[str], list[bool]]:
-    """Texts as the model reads them, without a sign of a cut; and whether there was one or a broken last character."""
-    whole = [clean(t) if t else "" for t in texts]
-    bare = [SIGNS.sub("", t) for t in whole]
-    return bare, [a != b or b.endswith(BROKEN) for a, b in zip(whole, bare)]
+_READ = "kind string, digest binary, last array<int>, slab int, counts binary"
 
 
 def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -238,26 +260,30 @@ def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield chunk
 
 
+def _cleaned(texts: Iterable[str | None]) -> list[str]:
+    return [clean(t) if t else "" for t in texts]
+
+
 def _reader(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per text with its last context, and at a task's end its counts in compressed slabs."""
     counter = Counter()
     for pdf in it:
         for chunk in _chunks(pdf):
-            bare, _ = _bare(chunk["text"])
-            last = counter.add(bare)
-            tail = [zlib.crc32(t[-160:].encode("utf-8", "replace")) | len(t) << 32 for t in bare]
-            yield pd.DataFrame({"kind": "text", "tail": tail, "last": [x if x[0] >= 0 else None for x in last], "slab": None, "counts": None})
-    counter.flush()
-    rows = []
-    flat = np.concatenate([t.ravel() for t in counter.tables])
-    for k in range(0, len(flat), SLAB):
-        piece = flat[k : k + SLAB]
-        if piece.any():
-            rows.append((k // SLAB, zlib.compress(piece.tobytes(), 1)))
-    if rows:
-        none = pd.Series([None] * len(rows), dtype=object)
-        filled = {"kind": "counts", "slab": [r[0] for r in rows], "counts": [r[1] for r in rows]}
-        yield pd.DataFrame({name: filled.get(name, none) for name in (c.split()[0] for c in _READ.split(", "))}, index=none.index)
+            last = counter.add(_cleaned(chunk["text"]))
+            yield pd.DataFrame({"kind": "text", "digest": chunk["digest"].to_numpy(), "last": [x if x[0] >= 0 else None for x in last], "slab": None, "counts": None})
+    slabs = counter.slabs()
+    if len(slabs):
+        none = pd.Series([None] * len(slabs), dtype=object)
+        yield pd.DataFrame({"kind": "counts", "digest": none, "last": none, "slab": slabs["slab"], "counts": slabs["counts"]})
+
+
+def _count_last(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of a task's last ends in compressed slabs."""
+    counter = Counter()
+    for pdf in it:
+        if len(pdf):
+            counter.add_last(np.stack(pdf["last"].to_numpy()))
+    yield counter.slabs()
 
 
 def _add_slabs(key: tuple, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,32 +295,22 @@ def _add_slabs(key: tuple, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
     yield pd.DataFrame({"slab": [key[0]], "counts": [zlib.compress(np.asarray(total, np.int64).clip(0, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
 
 
-def _flat_size() -> int:
-    return sum(3 << bits for bits in CELL_BITS)
-
-
-def _model(slabs: dict[int, bytes], last: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Tables of all rows, from summed slabs and the counted last ends."""
-    flat = np.zeros(_flat_size(), np.int32)
+def _model(slabs: dict[int, bytes]) -> list[np.ndarray]:
+    """Tables of each order, one row of counts per cell, from summed slabs."""
+    flat = np.zeros(sum(4 << bits for bits in CELL_BITS), np.int32)
     for k, data in slabs.items():
         piece = np.frombuffer(zlib.decompress(data), np.int32)
         flat[k * SLAB : k * SLAB + len(piece)] = piece
-    out, at = [], 0
-    for i, bits in enumerate(CELL_BITS):
-        table = np.zeros((4, 1 << bits), np.int32)
-        table[:3] = flat[at : at + (3 << bits)].reshape(3, -1)
-        cell, n = last.get(i, (np.array([], np.int64), np.array([], np.int32)))
-        table[LAST][cell] = n
-        out.append(table)
-        at += 3 << bits
-    return out
+    cuts = np.cumsum([4 << bits for bits in CELL_BITS])[:-1]
+    # by cell, so that a context's counts lie together
+    return [np.ascontiguousarray(t.reshape(4, -1).T, np.float32) for t in np.split(flat, cuts)]
 
 
 _SCORED = "kind string, doc_id bigint, lang string, source string, score double, label string, bin bigint, n bigint"
 
-#: Width of the steps in which thresholds are sought, the range they lie in, and the labelled places of
-#: each kind a language needs for a threshold of its own.
-STEP, RANGE, LEAST = 0.25, (-8.0, 4.0), 200
+#: Width of the steps in which thresholds are sought, the range they lie in (scores beyond it are counted in the
+#: outermost bins), and how many labelled places of all languages each language's own are joined by.
+STEP, RANGE, PRIOR = 0.25, (-8.0, 4.0), 200
 #: First bin of a histogram of scores, which takes all below the range, and the number of bins.
 LOW = round(RANGE[0] / STEP) - 1
 BINS = round(RANGE[1] / STEP) - LOW + 1
@@ -309,25 +325,24 @@ def _histograms(score: np.ndarray, lang: np.ndarray, n_langs: int) -> np.ndarray
 def _score_texts(texts: Iterable[str | None], lang: np.ndarray, n_langs: int, model: list[np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Scores of the texts' ends (nan where there is no text), and histograms by language number of all inner
     ends and all places within blocks, each scored without itself."""
-    bare, signed = _bare(texts)
-    b = Batch(bare)
+    b = Batch(_cleaned(texts))
     ends, on, _ = places(b)
-    dots, whole = _before_dots(b), b.last >= b.first
-    cells = np.stack(list(b.cells())).view(np.int32)
-    score = log_odds(cells[:, b.last].T, model, ENDS)
-    doubted = whole & (dots >= 0)
-    score[doubted] = np.minimum(score[doubted], log_odds(cells[:, dots[doubted]].T, model, BEFORE_STOPS))
-    score[signed] = CERTAIN
+    signs, whole = _before_signs(b), b.last >= b.first
+    cells = [x.view(np.int32) for x in b.cells()]
+    at_ = lambda at: [x[at] for x in cells]
+    score = log_odds(at_(b.last), model, ENDS)
+    doubted = whole & (signs >= 0)
+    score[doubted] = np.minimum(score[doubted], log_odds(at_(signs[doubted]), model, BEFORE_MARKS))
     owner = lambda at: lang[np.searchsorted(b.first, at, "right") - 1]
     found = {}
     for label, at, row in (("end", ends, ENDS), ("place", on, PLACES)):
-        found[label] = _histograms(log_odds(cells[:, at].T, model, ENDS, row), owner(at), n_langs)
+        found[label] = _histograms(log_odds(at_(at), model, ENDS, row), owner(at), n_langs)
     return np.where(whole, score, np.nan), found
 
 
 def _scorer(packed):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(*packed.value)
+        model = _model(packed.value)
         for pdf in it:
             code, langs = pd.factorize(pdf["lang"])
             total = {label: np.zeros((len(langs), BINS), np.int64) for label in ("end", "place")}
@@ -355,50 +370,67 @@ def score_ends(docs: DataFrame, column: str = "text") -> tuple[DataFrame, DataFr
     rows = docs.select(
         "doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("und")).alias("lang"), source_name("source").alias("source"), F.col(column).alias("text")
     )
-    read = materialize(rows.select("text").mapInPandas(_reader, _READ), "contexts")
-    slabs = read.filter("kind = 'counts'").select("slab", "counts").groupBy("slab").applyInPandas(_add_slabs, "slab int, counts binary")
-    # texts that end alike, each different text once; cells number at most those of the tables
-    last = read.filter("last is not null").groupBy("tail").agg(F.min("last").alias("last")).select(F.posexplode("last").alias("i", "cell"))
-    last = last.groupBy("i", "cell").agg(F.count(F.lit(1)).cast("int").alias("n")).filter("n > 2").toPandas()
-    by_order = {int(i): (x["cell"].to_numpy(), x["n"].to_numpy()) for i, x in last.groupby("i")}
-    packed = spark.sparkContext.broadcast(({r["slab"]: bytes(r["counts"]) for r in slabs.collect()}, by_order))
+    read = materialize(rows.select("text", F.unhex(F.sha2("text", 256)).alias("digest")).mapInPandas(_reader, _READ), "contexts")
+    # the last end of every different text once
+    last = read.filter("last is not null").groupBy("digest").agg(F.min("last").alias("last")).select("last")
+    counts = read.filter("kind = 'counts'").select("slab", "counts").unionByName(last.mapInPandas(_count_last, "slab int, counts binary"))
+    slabs = counts.groupBy("slab").applyInPandas(_add_slabs, "slab int, counts binary")
+    # the tables' size is fixed: 56 MB before compression, whatever the data
+    packed = spark.sparkContext.broadcast({r["slab"]: bytes(r["counts"]) for r in slabs.collect()})
     scored = materialize(rows.mapInPandas(_scorer(packed), _SCORED), "scored")
     texts = scored.filter("kind = 'text'").select("doc_id", "lang", "source", F.nanvl("score", F.lit(None)).alias("score"))
     labelled = scored.filter("kind = 'labelled'").groupBy("lang", "label", "bin").agg(F.sum("n").alias("n"))
     return texts, labelled
 
 
-def thresholds(labelled: DataFrame) -> dict[str, float]:
-    """Threshold of every language, and '' for all others: the middle of where the two kinds part best."""
-    # other languages share the common threshold, so only those with LEAST of both kinds are fetched
-    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
-    big = labelled.groupBy("lang").agg(of("end").alias("ends"), of("place").alias("places")).filter(F.least("ends", "places") >= LEAST).select("lang")
-    own = labelled.join(big, "lang", "left_semi").select("lang", "label", "bin", "n")
-    rows = own.unionByName(labelled.groupBy("label", "bin").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "label", "bin", "n")).toPandas()
-    out = {}
-    steps = np.arange(round(RANGE[0] / STEP), round(RANGE[1] / STEP) + 1)
-    for lang, x in rows.groupby("lang"):
-        e, g = x[x["label"] == "end"], x[x["label"] == "place"]
-        kept = np.array([e.loc[e["bin"] >= s, "n"].sum() for s in steps]) / max(1, e["n"].sum())
-        found = np.array([g.loc[g["bin"] < s, "n"].sum() for s in steps]) / max(1, g["n"].sum())
-        good = kept + found
-        best = np.flatnonzero(good >= good.max() - 1e-3)
-        out[str(lang)] = float(steps[best].mean() * STEP)
-    return out
-
-
-def flag_cut(scored: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Rows (doc_id, lang, source, score, cut): cut is true below the language's threshold, null without a text."""
-    common = limits.get("", 0.0)
-    own = F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)]) if limits else None
-    limit = F.coalesce(F.try_element_at(own, F.col("lang")), F.lit(common)) if own is not None else F.lit(common)
-    return scored.select("doc_id", "lang", "source", "score", (F.col("score") < limit).alias("cut"))
+def _best_step(ends: np.ndarray, places_: np.ndarray) -> float:
+    """The middle of where the shares of ends kept and of places found are greatest together; bins in order."""
+    kept = np.cumsum(ends[::-1])[::-1] / max(ends.sum(), 1e-9)  # from each bin on
+    found = (np.cumsum(places_) - places_) / max(places_.sum(), 1e-9)  # below each bin
+    good = (kept + found)[1:]  # the first bin has no bound of its own
+    best = np.flatnonzero(good >= good.max() - 1e-3)
+    return float((best.mean() + 1 + LOW) * STEP)
+
+
+def thresholds(labelled: DataFrame, prior: float = PRIOR) -> DataFrame:
+    """Threshold of every language: rows (lang, threshold); no rows without labelled places.
+
+    Each language's histograms are joined by those of all languages together, scaled to `prior` ends and as many
+    places: a language with many of its own decides by these, one with few leans on all, and nothing
+    depends on a least number.
+    """
+    labelled = materialize(labelled, "labelled")
+    common = labelled.groupBy("label", "bin").agg(F.sum("n").alias("all"))  # two kinds of a fixed number of bins
+    kinds = common.toPandas()
+
+    def dense(x: pd.DataFrame, n: str, label: str) -> np.ndarray:
+        out, x = np.zeros(BINS), x[x["label"] == label]
+        out[x["bin"].to_numpy(int) - LOW] = x[n]
+        return out
+
+    shared = {label: dense(kinds, "all", label) for label in ("end", "place")}
+    shared = {label: x * prior / max(x.sum(), 1e-9) for label, x in shared.items()}
+
+    def one(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        own = {label: dense(x, "n", label) + shared[label] for label in shared}
+        return pd.DataFrame({"lang": [key[0]], "threshold": [_best_step(own["end"], own["place"])]})
+
+    return labelled.groupBy("lang").applyInPandas(one, "lang string, threshold double")
+
+
+def flag_cut(scored: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows (doc_id, lang, source, score, cut): cut is true below the language's threshold, null without a text.
+
+    A language without a threshold, whose texts have neither an inner end nor two characters, is cut below 0.
+    """
+    rows = small_or_skew_join(scored, limits, "lang", "left")
+    return rows.select("doc_id", "lang", "source", "score", (F.col("score") < F.coalesce("threshold", F.lit(0.0))).alias("cut"))
 
 
 def find_cut(docs: DataFrame, column: str = "text") -> DataFrame:
     """Every document with its score and whether its text was cut before its end."""
     scored, labelled = score_ends(docs, column)
-    return flag_cut(scored, thresholds(labelled))
+    return flag_cut(scored, materialize(thresholds(labelled), "thresholds"))
 
 
 def cut_shares(flags: DataFrame) -> DataFrame:

@@ -144,5 +144,19 @@ def test_thresholds_count_every_end_and_place(spark):
             want[lang, label] = want.get((lang, label), 0) + n
     _, labelled = truncation.score_ends(df.repartition(3))
     got = {(r["lang"], r["label"]): r["n"] for r in labelled.groupBy("lang", "label").agg(F.sum("n").alias("n")).collect()}
-    assert got == want and want["nl", "end"] >= truncation.LEAST > 41  # 41 texts in nl, but ends enough
-    assert set(truncation.thresholds(labelled)) == {"", "en", "nl"}
+    assert got == want
+    limits = {r["lang"]: r["threshold"] for r in truncation.thresholds(labelled).collect()}
+    assert set(limits) == {"en", "nl"}
+    # without a prior a language stands alone; with a great one all languages have the same threshold
+    alone = {r["lang"]: r["threshold"] for r in truncation.thresholds(labelled.filter("lang = 'nl'"), 0).collect()}
+    assert alone["nl"] == {r["lang"]: r["threshold"] for r in truncation.thresholds(labelled, 0).collect()}["nl"]
+    assert len({r["threshold"] for r in truncation.thresholds(labelled, 1e12).collect()}) == 1
+
+
+def test_texts_are_told_apart_by_the_whole_of_them(spark):
+    """Texts with a common tail are different texts, the same text again is not."""
+    tail = "\n\n".join(f"{i}\nthe same long line about the harbour." for i in range(30)) + "\n\nwritten by the lantern group"
+    rows = [(i, f"{i} begins\n\n{tail}", "en", "s") for i in range(40)] + [(100 + i, "one two three\n\nfour five six", "en", "s") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    scores = {r["doc_id"]: r["score"] for r in truncation.score_ends(df)[0].collect()}
+    assert min(scores[i] for i in range(40)) > max(scores[100 + i] for i in range(40)) + 1
