@@ -233,15 +233,15 @@ def log_odds(cells: list[np.ndarray], model: list[np.ndarray], row: int, own: in
     p0 = (whole[row] + 1) / (whole[row] + whole[PLACES] + 2)
     # were every text cut anywhere, so many last ends would fall on a place; thrice that is still chance
     chance = np.float32(3 * whole[LAST] / max(whole[PLACES], 1.0))
-    less = np.zeros(4, np.float32)
-    if own is not None:
-        less[own] = 1
     p, n = np.full(len(cells[0]), p0, np.float32), None
     back = np.float32(BACKOFF)
     for t, cell in zip(model, cells):
-        here = t[cell] - less
+        # the four counts of a cell are fetched as one number
+        here = t.view(np.complex128).ravel().take(cell).view(np.float32).reshape(-1, 4)
+        if own is not None:
+            here[:, own] -= 1
         # a longer context cannot be more frequent than the shorter one; more is a collision in the table
-        n = np.maximum(here, 0) if n is None else np.clip(here, 0, n)
+        n = np.maximum(here, 0, out=here) if n is None else np.minimum(np.maximum(here, 0, out=here), n, out=here)
         e, g = n[:, row], n[:, PLACES]
         if row == ENDS:  # three texts that end alike are the least that counts, the text itself among them
             e = e + np.maximum(n[:, LAST] - 2 - chance * g, 0)
