@@ -11,11 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.ids import loose_id
-from sieveline.session import drop_path, new_path, rename_path
+from sieveline.session import drop_path, materialize, new_path, release, rename_path
 
 #: Size the output files should come near to, as shuffled bytes.
 TARGET_BYTES = 128 * 1024 * 1024
@@ -112,26 +112,24 @@ class Commit:
 def compact(records: DataFrame, path: str, target_bytes: int = TARGET_BYTES) -> Commit:
     """Write records into few well-sized Parquet files at path, whole or not at all.
 
-    The checksum of the input is taken while it is written. Should it differ from that of the written
-    files, it is computed once more by itself, since a retried stage can count its rows twice; only if
-    that differs too is the staging folder dropped and an error raised. An existing path is an error. An
-    empty input gives an empty table.
+    The records are computed once, into a table of the shared folder in which a retried task leaves one output, and its
+    checksum is what came in. The table is read back, spread with the REBALANCE hint and written to a staging
+    folder. Should the checksum of the written files differ, the staging folder is dropped and an error raised. An existing
+    path is an error. An empty input gives an empty table. The target size is set in a session of its own, so concurrent
+    jobs do not see it.
     """
     spark = records.sparkSession
-    staging, seen = new_path(spark, "staging"), Observation()
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(target_bytes))
-    try:
-        records.observe(seen, *_checksum(records)).hint("rebalance").write.parquet(staging)
-    finally:
-        spark.conf.set(key, before)
-    written = spark.read.schema(records.schema).parquet(staging)
-    named = written.select("*", F.col("_metadata.file_path").alias("_file"))
-    got = named.agg(*_checksum(written), F.count_distinct("_file").alias("files")).head()
-    want = seen.get
-    if any(want[k] != got[k] for k in ("n", "total", "mixed")):
-        want = records.agg(*_checksum(records)).head()
+    staging, own = new_path(spark, "staging"), spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    table = materialize(records, "records")
+    incoming = own.read.schema(records.schema).parquet(table._written_path)
+    incoming.hint("rebalance").write.parquet(staging)
+    want = incoming.agg(*_checksum(incoming)).head()
+    written = own.read.schema(records.schema).parquet(staging)
+    got = written.select("*", F.col("_metadata.file_path").alias("_file")).agg(*_checksum(written), F.count_distinct("_file").alias("files")).head()
+    release(table)
     if any(want[k] != got[k] for k in ("n", "total", "mixed")):
         drop_path(spark, staging)
         raise ValueError(f"checksums differ: {want} came in, {got} was written")

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.session import new_path
+
 #: Where the tail of a feature vector begins: histogram 256, pair differences 128, RS 18, container 1.
 _TAIL = 403
 
@@ -62,6 +64,23 @@ class SubspaceEnsemble:
         return out.withColumn(name, F.nanvl(name, F.lit(None)))
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the fitted numbers as a table of coefficients; an existing path is an error."""
+        rows = [(-1, None, self.mean.tolist(), self.scale.tolist(), None, None)]
+        rows += [(k, d.tolist(), w.tolist(), None, float(b), float(s)) for k, (d, w, b, s) in enumerate(self.learners)]
+        spark.createDataFrame(rows, _COEFFICIENTS).coalesce(1).write.mode("errorifexists").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> SubspaceEnsemble:
+        """The ensemble that was saved at path."""
+        rows = spark.read.schema(_COEFFICIENTS).parquet(path).orderBy("learner").collect()  # one row per learner
+        head, *rest = rows
+        return SubspaceEnsemble(np.array(head["weights"]), np.array(head["scales"]), [(np.array(r["dims"], np.int64), np.array(r["weights"]), r["offset"], r["scale"]) for r in rest])
+
+
+_COEFFICIENTS = "learner int, dims array<bigint>, weights array<double>, scales array<double>, offset double, scale double"
+
+
 def _stack(s: pd.Series, size: int) -> np.ndarray:
     return np.stack(s.to_numpy()).astype(float) if len(s) else np.empty((0, size))
 
@@ -158,10 +177,31 @@ def fit_forest(df: DataFrame, vector: str, label: str, trees: int = 200, least:
     ).fit(rows)
 
 
+def save_forest(model, path: str) -> None:
+    """Save a fitted forest; an existing path is an error."""
+    model.save(path)
+
+
+def load_forest(path: str):
+    """The forest that was saved at path, without the summary of its fitting."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+
+    return RandomForestClassificationModel.load(path)
+
+
 def score_forest(model, df: DataFrame, vector: str, name: str = "score") -> DataFrame:
-    """df without the vector and with the forest's probability of class 1; null vectors are left out."""
+    """df without the vector and with the forest's probability of class 1; null vectors are left out.
+
+    A fitted model holds on to the session by its training summary, which does not go to the executors; one
+    that was saved and loaded does not. So a model with a summary is saved to the shared folder first.
+    """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    if model.hasSummary:
+        path = new_path(df.sparkSession, "forest")
+        save_forest(model, path)
+        model = load_forest(path)
+
     keep = [c for c in df.columns if c not in (vector, name)]
     rows = df.filter(F.col(vector).isNotNull()).select(*keep, array_to_vector(F.col(vector).cast("array<double>")).alias("_x"))
     return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias(name))

@@ -53,5 +53,11 @@ r AS (
 """
 
 ORACLE = {
+    # of the copies of a record the one modified last, and of these the greatest; the sums of failures and changes do not depend on which
+    "p4_auto": _RECORDS.replace("SELECT DISTINCT json_extract_string(j, '$.result.run')", "SELECT DISTINCT seen, j::VARCHAR AS whole, try_cast(json_extract_string(j, '$.auto.changed_pixels') AS BIGINT) AS changed, json_extract_string(j, '$.result.run')")
+    .replace("AS b FROM result_file", "AS b, modified_at AS seen FROM result_file").replace("END) AS j FROM t", "END) AS j, seen FROM t")
+    + """, last AS (SELECT image, arg_max(failure, (seen, whole)) AS failure, arg_max(changed, (seen, whole)) AS changed, max_by((failure IS NULL)::INT, (seen, whole)) AS ok
+      FROM r WHERE option = 'auto' AND image IS NOT NULL AND run_id IS NOT NULL GROUP BY run_id, image, option)
+      SELECT image, count(*) AS records, count(*) FILTER (ok = 0) AS failures, sum(CASE WHEN ok = 1 THEN changed END)::BIGINT AS changed_pixels FROM last GROUP BY image""",
     "p4_found": _RECORDS + "SELECT DISTINCT run_id, image, option FROM r WHERE run_id IS NOT NULL AND image IS NOT NULL AND option IS NOT NULL",
 }

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.operators import evaluation as ev
+from sieveline.operators.running import join_small
 from sieveline.plans.tables import PREDICTIONS, predictions
 
 BY = ("variant", "detector")
-#: Repetitions of the queries that have SQL, and of those named ..._1000, which have none: as many as the reference's.
-REPETITIONS, FULL = 50, 1000
+#: Repetitions of the bootstrap, in the queries and in their SQL.
+REPETITIONS = 1000
 
 
 def a7_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def a11_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _metrics(spark: SparkSession, sf_dir: str, repetitions: int) -> DataFrame:
     pred = ev.materialize(predictions(spark, sf_dir), "predictions")
     ci = ev.bootstrap_interval(pred, "group_id", repetitions, BY)
-    return ev.join_by(ev.auc(pred, BY), ci, BY)
+    return join_small(ev.auc(pred, BY), ci, BY)
 
 
 def a13_bootstrap(spark: SparkSession, sf_dir: str, repetitions: int = REPETITIONS) -> DataFrame:
@@ -117,9 +116,6 @@ QUERIES = {
     )
 }
 
-_BOOTSTRAPS = (a12_robust, a13_bootstrap, a14_paired_difference, a15_verdict, a16_max_upper, q_p13_status, q_p18_gate)
-QUERIES |= {f"{f.__name__}_{FULL}": partial(f, repetitions=FULL) for f in _BOOTSTRAPS}
-
 _AUC = """
 , {x}_c AS (SELECT {by}, score, sum({w} * label) AS p, sum({w} * (1 - label)) AS n FROM {src} GROUP BY {by}, score),
 {x}_r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM {x}_c),

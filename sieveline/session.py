@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,8 +62,39 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+#: Paths of the written tables that are still there, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more; anything but a `materialize`d table is left alone."""
+    for df in tables:
+        path = getattr(df, "_written_path", None)
+        if path:
+            left = _WRITTEN.get(df.sparkSession.sparkContext.applicationId, [])
+            if path in left:
+                left.remove(path)
+            drop_path(df.sparkSession, path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Delete all tables written inside the block at its end: results must have been read or saved by then."""
+    left = _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = set(left)
+    try:
+        yield
+    finally:
+        for path in [p for p in left if p not in before]:
+            drop_path(spark, path)
+            left.remove(path)
 
 
 def input_partitions(df: DataFrame) -> int:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from sieveline.operators import evaluation as ev
-from sieveline.operators.running import running_totals
+from sieveline.operators.running import join_small, quantiles, running_totals
 
 SCHEMA = "d string, label int, score double, unit string"
 
@@ -19,8 +19,8 @@ def test_running_totals_equal_a_loop(spark):
     rng = np.random.default_rng(1)
     rows = [(g, float(x), int(v)) for g in ("a", None) for x, v in zip(rng.permutation(300), rng.integers(0, 9, 300))]
     df = spark.createDataFrame(rows, "g string, x double, v int")
-    for down in (False, True):
-        got = {(r["g"], r["x"]): r["v_before"] for r in running_totals(df, "x", ["v"], ["g"], descending=down, ranges=7).collect()}
+    for down, rows_a_range in ((False, 90), (True, 90), (True, 10**6)):
+        got = {(r["g"], r["x"]): r["v_before"] for r in running_totals(df, "x", ["v"], ["g"], descending=down, rows=rows_a_range).collect()}
         for g, x, _ in rows:
             assert got[g, x] == sum(v for h, y, v in rows if h == g and (y > x if down else y < x))
     assert running_totals(df.limit(0), "x", ["v"], ["g"]).count() == 0
@@ -39,7 +39,7 @@ def test_auc_ties_nulls_and_single_class(spark):
 
 def test_identical_scores_are_chance(spark):
     rows = [("x", c, i / 9, f"u{i}") for i in range(10) for c in (0, 1)]
-    r = ev.join_by(ev.auc(frame(spark, rows), ["d"]), ev.bootstrap_interval(frame(spark, rows), "unit", 20, ["d"]), ["d"]).head()
+    r = join_small(ev.auc(frame(spark, rows), ["d"]), ev.bootstrap_interval(frame(spark, rows), "unit", 20, ["d"]), ["d"]).head()
     assert (r["auc"], r["low"], r["high"]) == (0.5, 0.5, 0.5)
 
 
@@ -83,17 +83,32 @@ def test_clashing_columns(spark):
     assert out.count() == 1
 
 
-def test_whole_bootstraps_draw_a_thousand_times_in_blocks(spark, tables, monkeypatch):
-    from sieveline.plans import evaluation as plans
-    from sieveline.plans.tables import predictions
-
-    assert {f"{f.__name__}_1000" for f in plans._BOOTSTRAPS} <= set(plans.QUERIES)
-    got = plans.QUERIES["a13_bootstrap_1000"](spark, tables).filter("variant = '0.05' and detector = 'changed'").head()
-    reps = ev.materialize(ev.bootstrap_areas(predictions(spark, tables), "group_id", 1000, plans.BY).filter("variant = '0.05' and detector = 'changed'"), "reps")
-    areas = sorted(r["auc"] for r in reps.collect())
-    assert len({r["rep"] for r in reps.collect()}) == 1000
-    at = lambda q: areas[int(q * 999)] + (q * 999 % 1) * (areas[int(q * 999) + 1] - areas[int(q * 999)])
-    assert abs(got["low"] - at(0.025)) < 1e-9 and abs(got["high"] - at(0.975)) < 1e-9
-    monkeypatch.setattr(ev, "BLOCK", 7)
-    few = {r["rep"]: r["auc"] for r in ev.bootstrap_areas(predictions(spark, tables), "group_id", 20, plans.BY).filter("variant = '0.05' and detector = 'changed'").collect()}
-    assert few == {r["rep"]: r["auc"] for r in reps.collect() if r["rep"] < 20}
+def test_bootstrap_equals_weighted_areas_however_it_is_cut(spark):
+    """Ranges, blocks of draws and dealt ties give the areas of the plain weighted computation."""
+    rng = np.random.default_rng(5)
+    rows = [(v, c, float(min(max(rng.integers(-4, 9), 0), 5)), f"u{i % 17}") for v in ("x", None) for i in range(150) for c in (0, 1)] + [("x", 1, None, "u1"), ("x", None, 1.0, "u2"), ("x", 1, 1.0, None)]
+    df = frame(spark, rows)
+    weights = {}
+    for r in ev.draw_weights(df, "unit", 12).collect():
+        weights.setdefault(r["rep"], {})[r["unit"]] = r["weight"]
+    want = {}
+    for v in ("x", None):
+        for rep, w in weights.items():
+            pos = [(s, w.get(u, 0)) for d, c, s, u in rows if d == v and c == 1 and s is not None and u]
+            neg = [(s, w.get(u, 0)) for d, c, s, u in rows if d == v and c == 0 and s is not None and u]
+            right = sum(a * b * ((p > n) + 0.5 * (p == n)) for p, a in pos for n, b in neg)
+            want[v, rep] = right / (sum(a for _, a in pos) * sum(b for _, b in neg))
+    for draws, cut in ((10**6, 10**6), (60, 40), (60, 7)):
+        got = {(r["d"], r["rep"]): r["auc"] for r in ev.bootstrap_areas(df, "unit", 12, ["d"], draws, cut).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert ev.bootstrap_areas(df.limit(0), "unit", 5, ["d"]).count() == 0
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, 0, float(v), "u") for g in ("a", None) for v in rng.integers(0, 40, 101)] + [("b", 0, 7.0, "u"), ("b", 0, None, "u"), ("c", 0, None, "u")]
+    for cut in (13, 10**6):
+        got = {r["d"]: (r["q0"], r["q1"]) for r in quantiles(frame(spark, rows), "score", (0.5, 0.025), ["d"], cut).collect()}
+        assert set(got) == {"a", "b", None}
+        for g in got:
+            assert got[g] == pytest.approx(np.quantile([s for d, _, s, _ in rows if d == g and s is not None], (0.5, 0.025)))
