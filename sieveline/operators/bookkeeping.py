@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.joins import free_name
-from sieveline.operators.running import running_totals
+from sieveline.operators.running import join_small, quantiles, running_totals
+from sieveline.session import materialize
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,15 +42,15 @@ def pair_up(rows: DataFrame, keys: Sequence[str], variant: str, first: str, seco
     return agg.filter("_ok and _n = 2").drop("_ok", "_n")
 
 
-def numbered_runs(rows: DataFrame, by: Sequence[str], time: str, name: str = "run") -> DataFrame:
-    """Distinct rows with their number, from 0, within the group in the order of a timestamp (null comes last).
+def numbered_runs(rows: DataFrame, by: Sequence[str], time: str, name: str = "run", tie: Sequence[str] = ()) -> DataFrame:
+    """Distinct rows with their number, from 0, within the group in the order of a timestamp (null comes last), then of the tie columns.
 
     A record written twice is one run. Hot groups are spread over ranges of the order.
     """
-    at, tie, one = (free_name(x, rows) for x in ("_at", "_tie", "_one"))
+    at, last, one = (free_name(x, rows) for x in ("_at", "_tie", "_one"))
     order = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(2**62))
-    keyed = rows.distinct().withColumns({at: order, tie: F.xxhash64(*rows.columns), one: F.lit(1).cast("bigint")})
-    return running_totals(keyed, at, [one], by, tie=tie).withColumn(name, F.col(f"{one}_before")).select(*rows.columns, name)
+    keyed = rows.distinct().withColumns({at: order, last: F.struct(*tie) if tie else F.xxhash64(*rows.columns), one: F.lit(1).cast("bigint")})
+    return running_totals(keyed, at, [one], by, tie=last).withColumn(name, F.col(f"{one}_before")).select(*rows.columns, name)
 
 
 def paired_saving(pairs: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -59,14 +60,11 @@ def paired_saving(pairs: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     are left out.
     """
     a, b = F.col(f"{value}_a"), F.col(f"{value}_b")
-    rows = pairs.filter((a != 0) & b.isNotNull()).withColumn("_s", 100 * (a - b) / a)
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("complete_pairs"),
-        F.percentile("_s", F.lit(0.5)).alias("median_saving"),
-        F.min("_s").alias("min_saving"),
-        F.max("_s").alias("max_saving"),
-        F.count_if(F.col("_s") > 0).alias("second_faster"),
+    rows = materialize(pairs.filter((a != 0) & b.isNotNull()).select(*by, (100 * (a - b) / a).alias("_s")), "savings")
+    counts = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("complete_pairs"), F.min("_s").alias("min_saving"), F.max("_s").alias("max_saving"), F.count_if(F.col("_s") > 0).alias("second_faster")
     )
+    return join_small(quantiles(rows, "_s", [0.5], by).withColumnRenamed("q0", "median_saving"), counts, by)
 
 
 def stage_means(rows: DataFrame, by: Sequence[str], run: str, stage: str, value: str) -> DataFrame:

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators import bookkeeping as bk
+from sieveline.operators.joins import skew_join
+from sieveline.operators.running import join_small, quantiles
 from sieveline.plans.tables import SAMPLES, image_groups, image_parts, read, samples
 
+#: Columns that order runs recorded at one time, after the time itself; the same in the SQL.
+RUN_TIE = ("strategy", "job_seconds", "changed_pixels", "failure")
 OPTIONS = ("0.005", "0.01", "0.025", "0.05", "auto")
 
 
@@ -27,10 +31,10 @@ def a2_success_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a3_grouped_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir).filter("seconds is not null")
-    return rows.groupBy("strategy", "option").agg(
-        F.percentile("seconds", F.lit(0.5)).alias("median_seconds"), F.min("seconds").alias("min_seconds"), F.max("seconds").alias("max_seconds")
-    )
+    rows = _records(spark, sf_dir).filter("seconds is not null").select("strategy", "option", "seconds")
+    by = ["strategy", "option"]
+    ends = rows.groupBy(*by).agg(F.min("seconds").alias("min_seconds"), F.max("seconds").alias("max_seconds"))
+    return join_small(quantiles(rows, "seconds", [0.5], by).withColumnRenamed("q0", "median_seconds"), ends, by)
 
 
 def a4_distinct_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,32 +43,18 @@ def a4_distinct_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("option").agg(F.concat_ws(",", F.array_sort(F.collect_set("gross_bits"))).alias("budgets"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir).filter("image is not null and option in ('0.05', 'auto')")
-    return bk.pair_up(rows, ["image"], "option", "0.05", "auto", ["job_seconds", "changed_pixels"], F.col("failure").isNull() & F.col("job_seconds").isNotNull())
-
-
 def j5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir)
-
-
-def j5_run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of an image at 0.05 and at auto, pair by pair: the n-th of one with the n-th of the other. A failed run loses its own pair."""
     rows = read(spark, sf_dir, "sample_record", "image", "option", "strategy", "job_seconds", "changed_pixels", "failure", "recorded_at")
-    runs = bk.numbered_runs(rows.filter("image is not null and option in ('0.05', 'auto')"), ["image", "option"], "recorded_at")
+    runs = bk.numbered_runs(rows.filter("image is not null and option in ('0.05', 'auto')"), ["image", "option"], "recorded_at", tie=RUN_TIE)
     ok = F.col("failure").isNull() & F.col("job_seconds").isNotNull()
     return bk.pair_up(runs, ["image", "strategy", "run"], "option", "0.05", "auto", ["job_seconds", "changed_pixels"], ok)
 
 
-def a5_run_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saving by part over the pairs of runs."""
-    parts = image_parts(spark, sf_dir).withColumnRenamed("image_id", "image")
-    return bk.paired_saving(j5_run_pairs(spark, sf_dir).join(parts, "image"), "job_seconds", ["part"])
-
-
 def a5_paired_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saving by part over the pairs of runs."""
     parts = image_parts(spark, sf_dir).withColumnRenamed("image_id", "image")
-    return bk.paired_saving(_pairs(spark, sf_dir).join(parts, "image"), "job_seconds", ["part"])
+    return bk.paired_saving(skew_join(bk.materialize(j5_pairs(spark, sf_dir), "pairs"), parts, "image", "inner"), "job_seconds", ["part"])
 
 
 def a6_stage_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +191,7 @@ def s17_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        a1_counts, a2_success_means, a3_grouped_median, a4_distinct_sets, j5_pairs, j5_run_pairs, a5_paired_saving, a5_run_saving, a6_stage_means, w4_running_best, w5_stage_seconds,
+        a1_counts, a2_success_means, a3_grouped_median, a4_distinct_sets, j5_pairs, a5_paired_saving, a6_stage_means, w4_running_best, w5_stage_seconds,
         w8_alternating, j1_covers_and_stegos, j2_group_lookup, j3_common, j4_key_differences, j8_pending, j9_accepted, j11_task_grid, j12_identity,
         o1_numeric_sort, o3_sorted_report, o4_limited_jobs, o5_worst_case, o6_shuffled_tasks, u3_common_accepted, u5_all_rates, q_p14_tags, q_p16_completeness,
         s17_completed,
@@ -210,10 +200,11 @@ QUERIES = {
 
 _S = "WITH " + SAMPLES
 _PAIRED = """
-SELECT image, min(job_seconds) FILTER (option = '0.05') AS job_seconds_a, min(job_seconds) FILTER (option = 'auto') AS job_seconds_b,
+SELECT image, strategy, run, min(job_seconds) FILTER (option = '0.05') AS job_seconds_a, min(job_seconds) FILTER (option = 'auto') AS job_seconds_b,
   min(changed_pixels) FILTER (option = '0.05') AS changed_pixels_a, min(changed_pixels) FILTER (option = 'auto') AS changed_pixels_b
-FROM sample_record WHERE image IS NOT NULL AND option IN ('0.05', 'auto')
-GROUP BY image HAVING count(DISTINCT option) = 2 AND bool_and(failure IS NULL AND job_seconds IS NOT NULL)"""
+FROM (SELECT *, row_number() OVER (PARTITION BY image, option ORDER BY recorded_at NULLS LAST, strategy NULLS FIRST, job_seconds NULLS FIRST, changed_pixels NULLS FIRST, failure NULLS FIRST) - 1 AS run
+  FROM (SELECT DISTINCT image, option, strategy, job_seconds, changed_pixels, failure, recorded_at FROM sample_record WHERE image IS NOT NULL AND option IN ('0.05', 'auto')))
+GROUP BY image, strategy, run HAVING count(DISTINCT option) = 2 AND bool_and(failure IS NULL AND job_seconds IS NOT NULL)"""
 _OPTIONS = "(SELECT unnest(['0.005', '0.01', '0.025', '0.05', 'auto']) AS option)"
 _PENDING = f"""SELECT image_id, option FROM (SELECT DISTINCT image_id FROM source_image), {_OPTIONS}
 WHERE (image_id, option) NOT IN (SELECT (image, option) FROM sample_record WHERE image IS NOT NULL AND option IS NOT NULL)"""
@@ -224,7 +215,7 @@ ORACLE = {
     "a2_success_means": """SELECT option, avg(changed_pixels) AS mean_changed_pixels, avg(psnr) AS mean_psnr, avg(balance_objective_before) AS mean_balance_objective_before,
       avg(balance_objective_after) AS mean_balance_objective_after FROM sample_record WHERE failure IS NULL GROUP BY option""",
     "a3_grouped_median": "SELECT strategy, option, quantile_cont(seconds, 0.5) AS median_seconds, min(seconds) AS min_seconds, max(seconds) AS max_seconds FROM sample_record WHERE seconds IS NOT NULL GROUP BY ALL",
-    "a4_distinct_sets": "SELECT option, string_agg(DISTINCT gross_bits::VARCHAR, ',' ORDER BY gross_bits::VARCHAR) AS budgets FROM sample_record WHERE gross_bits IS NOT NULL AND option <> 'auto' GROUP BY option",
+    "a4_distinct_sets": "SELECT option, array_to_string(list_sort(list(DISTINCT gross_bits)), ',') AS budgets FROM sample_record WHERE gross_bits IS NOT NULL AND option <> 'auto' GROUP BY option",
     "j5_pairs": _PAIRED,
     "a5_paired_saving": _S + f""", s AS (SELECT part, 100 * (job_seconds_a - job_seconds_b) / job_seconds_a AS s FROM ({_PAIRED}) JOIN image_parts ON image = image_id WHERE job_seconds_a <> 0)
       SELECT part, count(*) AS complete_pairs, quantile_cont(s, 0.5) AS median_saving, min(s) AS min_saving, max(s) AS max_saving, count(*) FILTER (s > 0) AS second_faster FROM s GROUP BY part""",

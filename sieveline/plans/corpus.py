@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sieveline.functions.signatures import described
 from sieveline.operators import corpus
 from sieveline.plans.tables import SAMPLES, image_groups, image_parts, read
 
@@ -12,19 +13,23 @@ from sieveline.plans.tables import SAMPLES, image_groups, image_parts, read
 SHARES = {"train": 12, "validation": 4, "test": 10}
 
 
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(read(spark, sf_dir, "source_image", "image_id", "signature", "pixel_sha256", "small"))
+
+
 def j6_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.near_pairs(corpus.signature_classes(read(spark, sf_dir, "source_image", "image_id", "signature")))
+    return corpus.near_pairs(corpus.signature_classes(_described(spark, sf_dir)))
 
 
 def j6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which class of equal signatures each image is in: the membership for the pairs of representatives."""
-    images = read(spark, sf_dir, "source_image", "image_id", "signature").dropna().distinct()
+    images = _described(spark, sf_dir).select("image_id", "signature").dropna().distinct()
     classes = corpus.signature_classes(images).withColumnRenamed("image_id", "class_id")
     return images.join(classes, "signature").select("image_id", "class_id", "copies")
 
 
 def j7_exact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.exact_links(read(spark, sf_dir, "source_image", "image_id", "pixel_sha256"))
+    return corpus.exact_links(_described(spark, sf_dir))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,30 +59,30 @@ def o2_hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("h")
 
 
-def w2_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 120, 60 and 120 images of train, validation and test by ordinal, as a probe takes them."""
-    rows = read(spark, sf_dir, "manifest_split", "image_id", "part", "ordinal").filter("ordinal is not null and part in ('train', 'validation', 'test')")
-    limit = F.when(F.col("part") == "validation", 60).otherwise(120)
-    order = Window.partitionBy("part").orderBy("ordinal", "image_id")
-    # a rank with a bound below it is cut per task before the shuffle
-    ranked = rows.distinct().withColumn("rank", F.row_number().over(order)).filter("rank <= 120")
-    return ranked.filter(F.col("rank") <= limit)
+def _listed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing (image_id, part, ordinal) by the part its spelling stands for; others name no part."""
+    spelled = read(spark, sf_dir, "split_part").select(F.col("spelling").alias("part"), F.col("part").alias("known"))
+    rows = read(spark, sf_dir, "manifest_split", "image_id", "part", "ordinal").filter("image_id is not null")
+    return rows.join(F.broadcast(spelled), "part").select("image_id", F.col("known").alias("part"), "ordinal")  # a fixed list
 
 
-def w2_first_k_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the parts that the spellings stand for; an image listed more than once counts with its least ordinal."""
-    spelled = read(spark, sf_dir, "split_part").select(F.col("spelling").alias("part"), F.col("part").alias("known"))
-    rows = read(spark, sf_dir, "manifest_split", "image_id", "part", "ordinal").filter("image_id is not null and ordinal is not null")
-    rows = rows.join(F.broadcast(spelled), "part").filter(F.col("known").isin("train", "validation", "test"))  # a fixed list
-    first = rows.groupBy("image_id", F.col("known").alias("part")).agg(F.min("ordinal").alias("ordinal"))
+def w2_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 120, 60 and 120 images of train, validation and test by ordinal, as a probe takes them.
+
+    An image listed more than once counts with its least ordinal.
+    """
+    rows = _listed_parts(spark, sf_dir).filter(F.col("part").isin("train", "validation", "test") & F.col("ordinal").isNotNull())
+    first = rows.groupBy("image_id", "part").agg(F.min("ordinal").alias("ordinal"))
     limit = F.when(F.col("part") == "validation", 60).otherwise(120)
+    # a rank with a bound below it is cut per task before the shuffle
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("ordinal", "image_id"))).filter("rank <= 120")
     return ranked.filter(F.col("rank") <= limit)
 
 
 def j10_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = image_groups(spark, sf_dir).join(image_parts(spark, sf_dir), "image_id")
-    return corpus.leakage(rows)
+    """Images and groups in several parts, and how many images have a part."""
+    rows = _listed_parts(spark, sf_dir).select("image_id", "part").distinct()
+    return corpus.leakage_report(rows.join(image_groups(spark, sf_dir), "image_id", "left"))
 
 
 def u2_concat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,21 +97,30 @@ def u4_unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (j6_near_pairs, j6_classes, j7_exact_links, g1_components, w1_greedy_split, o2_hash_order, w2_first_k, w2_first_k_known, j10_leakage, u2_concat_parts, u4_unsplit)
+    for f in (j6_near_pairs, j6_classes, j7_exact_links, g1_components, w1_greedy_split, o2_hash_order, w2_first_k, j10_leakage, u2_concat_parts, u4_unsplit)
 }
 
-_CLASSES = "classes AS (SELECT signature, min(image_id) AS image_id, count(DISTINCT image_id) AS copies FROM source_image WHERE signature IS NOT NULL AND image_id IS NOT NULL GROUP BY signature)"
-_PAIRS = """SELECT x.image_id AS image_a, y.image_id AS image_b, bit_count(xor(x.signature, y.signature))::INT AS distance
+_DESCRIBED = """
+images AS (
+  SELECT DISTINCT image_id, coalesce(pixel_sha256, sha256(small)) AS pixel_sha256, coalesce(signature, CASE WHEN octet_length(small) = 72 THEN
+    (CASE WHEN b >= 9223372036854775808::HUGEINT THEN b - 18446744073709551616::HUGEINT ELSE b END)::BIGINT END) AS signature
+  FROM (SELECT image_id, signature, pixel_sha256, small, CASE WHEN small IS NOT NULL THEN list_reduce(list_transform(range(64), lambda i:
+    CASE WHEN substr(hex(small), 2 * (i // 8 * 9 + i % 8 + 1) + 1, 2) > substr(hex(small), 2 * (i // 8 * 9 + i % 8) + 1, 2)
+      THEN 1::HUGEINT ELSE 0::HUGEINT END), lambda x, y: x * 2 + y) END AS b FROM source_image)
+  WHERE image_id IS NOT NULL)
+"""
+_CLASSES = _DESCRIBED + ", classes AS (SELECT signature, min(image_id) AS image_id, count(DISTINCT image_id) AS copies FROM images WHERE signature IS NOT NULL GROUP BY signature)"
+_PAIRS = """SELECT DISTINCT x.image_id AS image_a, y.image_id AS image_b, bit_count(xor(x.signature, y.signature))::INT AS distance
 FROM classes x JOIN classes y ON x.image_id < y.image_id AND bit_count(xor(x.signature, y.signature)) <= 4"""
-_MEMBERS = "SELECT DISTINCT i.image_id, c.image_id AS class_id, c.copies FROM source_image i JOIN classes c USING (signature)"
-_EXACT = """SELECT DISTINCT src, image_id AS dst FROM source_image JOIN (
-  SELECT pixel_sha256, min(image_id) AS src FROM source_image WHERE image_id IS NOT NULL GROUP BY pixel_sha256) USING (pixel_sha256) WHERE src <> image_id"""
+_MEMBERS = "SELECT DISTINCT i.image_id, c.image_id AS class_id, c.copies FROM images i JOIN classes c USING (signature)"
+_EXACT = """SELECT DISTINCT src, image_id AS dst FROM images JOIN (
+  SELECT pixel_sha256, min(image_id) AS src FROM images GROUP BY pixel_sha256) USING (pixel_sha256) WHERE src <> image_id"""
 _GROUPS = "WITH " + SAMPLES + ", g AS (SELECT group_id, min(image_id) AS first, count(*) AS size FROM image_groups GROUP BY group_id)"
 
 ORACLE = {
     "j6_near_pairs": "WITH " + _CLASSES + _PAIRS,
     "j6_classes": "WITH " + _CLASSES + _MEMBERS,
-    "j7_exact_links": _EXACT,
+    "j7_exact_links": "WITH " + _DESCRIBED + _EXACT,
     "g1_components": "WITH RECURSIVE " + _CLASSES + f""", links AS (SELECT image_a AS a, image_b AS b FROM ({_PAIRS}) UNION ALL SELECT class_id, image_id FROM ({_MEMBERS})
       UNION ALL SELECT src, dst FROM ({_EXACT})),
       ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -121,9 +135,13 @@ ORACLE = {
       SELECT group_id, size, CASE WHEN cum <= s1.e THEN 'train' WHEN cum <= s2.e THEN 'validation' WHEN cum <= s3.e THEN 'test' ELSE 'reserve' END AS part FROM c, s1, s2, s3""",
     "o2_hash_order": _GROUPS + "SELECT group_id, sha256('split-93191:' || first) AS h FROM g ORDER BY h",
     "w2_first_k": """SELECT image_id, part, ordinal, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY ordinal, image_id) AS rank
-      FROM (SELECT DISTINCT image_id, part, ordinal FROM manifest_split WHERE ordinal IS NOT NULL AND part IN ('train', 'validation', 'test')))
+      FROM (SELECT image_id, p.part, min(ordinal) AS ordinal FROM manifest_split s JOIN split_part p ON s.part = p.spelling
+        WHERE image_id IS NOT NULL AND ordinal IS NOT NULL AND p.part IN ('train', 'validation', 'test') GROUP BY ALL))
       WHERE rank <= CASE WHEN part = 'validation' THEN 60 ELSE 120 END""",
-    "j10_leakage": "WITH " + SAMPLES + "SELECT group_id, count(DISTINCT part) AS parts FROM image_groups JOIN image_parts USING (image_id) GROUP BY group_id HAVING count(DISTINCT part) > 1",
+    "j10_leakage": "WITH " + SAMPLES + """, listed AS (SELECT DISTINCT image_id, p.part, group_id FROM manifest_split s JOIN split_part p ON s.part = p.spelling LEFT JOIN image_groups USING (image_id) WHERE image_id IS NOT NULL)
+      SELECT 'image' AS kind, image_id AS id, count(DISTINCT part) AS parts FROM listed GROUP BY image_id HAVING count(DISTINCT part) > 1
+      UNION ALL SELECT 'group', group_id, count(DISTINCT part) FROM listed WHERE group_id IS NOT NULL GROUP BY group_id HAVING count(DISTINCT part) > 1
+      UNION ALL SELECT 'total', NULL, count(DISTINCT image_id) FROM listed""",
     "u2_concat_parts": "WITH " + SAMPLES + "SELECT image_id, part FROM image_parts WHERE part IN ('train', 'validation')",
     "u4_unsplit": "WITH " + SAMPLES + "SELECT DISTINCT image_id FROM source_image WHERE image_id NOT IN (SELECT image_id FROM image_parts WHERE image_id IS NOT NULL)",
 }

@@ -19,8 +19,8 @@ def test_a_failed_run_loses_only_its_own_pair(spark, tables):
                 hurt.add(image)
             elif a["strategy"] == b["strategy"]:
                 want.append((image, a["strategy"], k, a["job_seconds"], b["job_seconds"], a["changed_pixels"], b["changed_pixels"]))
-    got = plans.QUERIES["j5_run_pairs"](spark, tables).select("image", "strategy", "run", "job_seconds_a", "job_seconds_b", "changed_pixels_a", "changed_pixels_b")
+    got = plans.QUERIES["j5_pairs"](spark, tables).select("image", "strategy", "run", "job_seconds_a", "job_seconds_b", "changed_pixels_a", "changed_pixels_b")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert hurt & {w[0] for w in want} and len(want) > len({w[0] for w in want})
-    saved = plans.QUERIES["a5_run_saving"](spark, tables).collect()
+    saved = plans.QUERIES["a5_paired_saving"](spark, tables).collect()
     assert 0 < sum(r["complete_pairs"] for r in saved) <= len(want)

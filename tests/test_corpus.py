@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+
+from sieveline.functions.signatures import described
 from sieveline.operators import corpus
 from sieveline.operators.joins import heavy_keys, skew_join
 
@@ -30,14 +33,14 @@ def test_components_of_chains_hubs_and_noise(spark):
     assert corpus.components(df.limit(0)).count() == 0
 
 
-def test_near_pairs_with_a_hot_token(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [None, 6, 7])
+def test_near_pairs_with_a_hot_token(spark, monkeypatch, parts):
     monkeypatch.setattr(corpus, "BLOCK", 8)
-    monkeypatch.setattr(corpus, "HEAVY", 10**6)
     random.seed(2)
     sigs = [0] + [1 << k for k in range(40)] + [random.getrandbits(64) - 2**63 for _ in range(60)]
     rows = [(f"{100 + i}", s) for i, s in enumerate(sigs)] + [("999", sigs[0]), (None, 5), ("998", None)]
     classes = corpus.signature_classes(spark.createDataFrame(rows, "image_id string, signature bigint"))
-    got = {(r[0], r[1], r[2]) for r in corpus.near_pairs(classes).collect()}
+    got = {(r[0], r[1], r[2]) for r in corpus.near_pairs(classes, parts).collect()}
     reps = {}
     for i, s in rows:
         if i and s is not None:
@@ -68,6 +71,23 @@ def test_leakage_and_exact_links(spark):
     assert [tuple(r) for r in corpus.exact_links(images).collect()] == [("a", "b")]
 
 
+def test_leakage_report_tells_images_groups_and_the_total(spark):
+    rows = spark.createDataFrame([("a", "g", "train"), ("a", "g", "test"), ("b", "h", "train"), ("c", "h", "test"), ("d", None, "train"), ("d", None, None), (None, "h", "test")], "image_id string, group_id string, part string")
+    got = {tuple(r) for r in corpus.leakage_report(rows, 4).collect()}
+    assert got == {("image", "a", 2), ("group", "g", 2), ("group", "h", 2), ("total", None, 4)}
+    with pytest.raises(Exception, match="expected 5 images"):
+        corpus.leakage_report(rows, 5).collect()
+    assert [corpus.parts_for(n) for n in (0, 10**5, 10**6, 10**12)] == [5, 5, 6, 7]
+
+
+def test_what_is_null_follows_from_the_raster(spark):
+    raster = bytes(range(72))
+    rows = [("a", raster, 5, "x"), ("b", raster, None, None), ("c", None, None, None), ("d", b"short", None, None)]
+    got = {r["image_id"]: r for r in described(spark.createDataFrame(rows, "image_id string, small binary, signature bigint, pixel_sha256 string")).collect()}
+    assert (got["a"]["signature"], got["a"]["pixel_sha256"]) == (5, "x") and (got["b"]["signature"], got["b"]["pixel_sha256"]) == (-1, hashlib.sha256(raster).hexdigest())
+    assert got["c"]["signature"] is None and got["c"]["pixel_sha256"] is None and got["d"]["signature"] is None
+
+
 def test_skew_join_equals_join(spark):
     facts = spark.createDataFrame([(0 if i % 2 else i % 50, i) for i in range(500)] + [(None, -1)], "k int, v int").selectExpr("*", "9 as _hot", "8 as w")
     dim = spark.createDataFrame([(i, i * 10, i) for i in range(0, 40)], "k int, x int, w int")
@@ -91,5 +111,5 @@ def test_first_images_are_ranked_by_known_part(spark, tables):
     for part, k in (("train", 120), ("validation", 60), ("test", 120)):
         order = sorted((o, i) for (p, i), o in least.items() if p == part)[:k]
         want |= {(i, part, o, n + 1) for n, (o, i) in enumerate(order)}
-    got = plans.QUERIES["w2_first_k_known"](spark, tables).select("image_id", "part", "ordinal", "rank").collect()
+    got = plans.QUERIES["w2_first_k"](spark, tables).select("image_id", "part", "ordinal", "rank").collect()
     assert set(map(tuple, got)) == want and len(got) == len(want) and not exact
