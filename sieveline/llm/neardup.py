@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.components import connected_components
+from sieveline.functions.signatures import gradient_signature
+from sieveline.operators.components import connected_components
 from sieveline.operators.joins import HEAVY_SHARE, skew_join
 from sieveline.session import input_partitions, materialize
 
@@ -43,25 +44,13 @@ BLOCK = 1_024
 COPIES = 1_024
 
 
-def signature_of(raster: Column) -> Column:
-    """Signature of an 8 x 9 raster: bit set where a pixel is brighter than its left neighbour, high bit first.
-
-    Null when the raster is null or not 72 bytes long.
-    """
-    text = F.hex(raster)
-    pixel = lambda i: F.substring(text, 2 * i + 1, 2)  # noqa: E731  (two hex digits compare as the byte does)
-    bits = [F.when(pixel(9 * r + c + 1) > pixel(9 * r + c), F.lit("1")).otherwise(F.lit("0")) for r in range(8) for c in range(8)]
-    high, low = (F.conv(F.concat(*bits[k : k + 32]), 2, 10).cast("bigint") for k in (0, 32))
-    return F.when(F.octet_length(raster) == 72, F.shiftleft(high, 32).bitwiseOR(low))
-
-
 def signed_images(images: DataFrame) -> DataFrame:
     """Distinct rows (archive, image_id, signature); a null signature is computed from `small`.
 
     An image that was ingested again counts once for each different signature. Rows without an archive, an
     id or any way to a signature are left out.
     """
-    s = F.coalesce("signature", F.when(F.col("signature").isNull(), signature_of(F.col("small"))))
+    s = F.coalesce("signature", F.when(F.col("signature").isNull(), gradient_signature(F.col("small"))))
     return images.select("archive", "image_id", s.alias("signature")).dropna().distinct()
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sieveline.functions.signatures import gradient_signature
 from sieveline.llm import components, neardup, sampling, splits
 
 
@@ -208,7 +209,7 @@ def test_signature_follows_from_the_raster(spark):
         word = int.from_bytes(np.packbits(small[:, 1:] > small[:, :-1]).tobytes(), "big")
         rows.append((small.tobytes(), word - 2**64 if word >> 63 else word))
     df = spark.createDataFrame([*rows, (b"short", None), (None, None)], "small binary, want long")
-    assert all(r["got"] == r["want"] for r in df.select("want", neardup.signature_of(F.col("small")).alias("got")).collect())
+    assert all(r["got"] == r["want"] for r in df.select("want", gradient_signature(F.col("small")).alias("got")).collect())
 
 
 def test_empty_images(spark):
