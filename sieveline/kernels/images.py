@@ -1,17 +1,17 @@
-"""Kernels on single images: strict decoders, the gradient signature, costs and features, in numpy.
+"""Kernels on single images: strict decoders, the gradient signature, costs, in numpy.
 
 Spark runs them inside mapInPandas, one image a row; see `sieveline.operators.image_jobs`.
 """
 
 from __future__ import annotations
 
-import itertools
 import struct
 import zlib
-from functools import lru_cache
 
 import numpy as np
 
+from sieveline.kernels.statistics import features
+
 #: Profile of images (fixed values).
 SIDE, AREA = (256, 8192), (262_144, 16_777_216)
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -158,18 +158,6 @@ def signature(small: np.ndarray) -> int:
     return word - (1 << 64) if word >> 63 else word
 
 
-def _correlate_line(x: np.ndarray, taps: np.ndarray, anchor: int, axis: int) -> np.ndarray:
-    """Correlation along an axis, mirrored at the edge (the edge repeated), the kernel's `anchor` on the pixel."""
-    pad = [(0, 0), (0, 0)]
-    pad[axis] = (anchor, len(taps) - 1 - anchor)
-    padded, n = np.pad(x, pad, mode="symmetric"), x.shape[axis]
-    cut = lambda k: padded[k : k + n] if axis == 0 else padded[:, k : k + n]
-    out = np.zeros(x.shape)
-    for k, t in enumerate(taps):
-        out += t * cut(k)
-    return out
-
-
 def box_sums(x: np.ndarray) -> np.ndarray:
     """Sums over the 5 x 5 neighbourhood of every pixel, mirrored at the edge."""
     p = np.pad(x.astype(np.int64), 2, mode="symmetric")
@@ -187,105 +175,34 @@ WAVELET = (
 WET, BORDER, FLAT = 0xFFFFFFFF, 16, 625
 
 
-def costs(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of lowering and of raising each pixel, as uint32 with WET where it must not be done."""
-    low = np.array(WAVELET)
-    high = np.where(np.arange(16) % 2, 1.0, -1.0) * low[::-1]
-    x, total = image.astype(float), np.zeros(image.shape)
-    for down, across in ((low, high), (high, low), (high, high)):
-        r = _correlate_line(_correlate_line(x, down, 7, 0), across, 7, 1)
-        weight = 1.0 / (1.0 + np.abs(r))
-        total += _correlate_line(_correlate_line(weight, np.abs(down[::-1]), 8, 0), np.abs(across[::-1]), 8, 1)
-    if not np.isfinite(total).all() or (total <= 0).any():
-        raise ValueError("a cost is not positive")
-    whole = np.maximum(1, np.floor(total * 1_000_000 + 0.5)).astype(np.uint32)
-    s, q = box_sums(image), box_sums(image.astype(np.int64) ** 2)
-    wet = 25 * q - s * s <= FLAT
-    inner = np.zeros(image.shape, bool)
-    inner[BORDER:-BORDER, BORDER:-BORDER] = True
-    wet |= ~inner
-    return np.where(wet | (image == 0), np.uint32(WET), whole), np.where(wet | (image == 255), np.uint32(WET), whole)
-
-
-#: Residual filters of the features (fixed values).
-FILTERS = (
-    ((-1, 1),),
-    ((-1,), (1,)),
-    ((1, -2, 1),),
-    ((1,), (-2,), (1,)),
-    ((-1, 3, -3, 1),),
-    ((-1,), (3,), (-3,), (1,)),
-    ((0, 1, 0), (1, -4, 1), (0, 1, 0)),
-    ((-1, 2, -1), (2, -4, 2), (-1, 2, -1)),
-    ((-1, 0), (0, 1)),
-    ((0, -1), (1, 0)),
-)
-#: Variance bounds of the strata, and steps of quantization (fixed values).
-STRATA, STEPS = (0, 16, 64, 256, float("inf")), (1, 2, 4)
-MASKS = ((1, 0, 1, 0), (0, 1, 0, 1), (1, 1, 1, 1))
-
-
-def residual(image: np.ndarray, taps: tuple[tuple[int, ...], ...]) -> np.ndarray:
-    """Residual of a filter centred at half its size, without the outer two pixels."""
-    height, width = image.shape
-    down, across = len(taps) // 2, len(taps[0]) // 2
-    p, out = np.pad(image.astype(np.int32), 4, mode="symmetric"), np.zeros((height - 4, width - 4), np.int32)
-    for i, row in enumerate(taps):
-        for j, t in enumerate(row):
-            if t:
-                y, x = 6 + i - down, 6 + j - across
-                out += t * p[y : y + height - 4, x : x + width - 4]
-    return out
-
-
-@lru_cache(maxsize=1)
-def symmetry_classes() -> np.ndarray:
-    """For each of the 625 codes of four levels its class: mirroring and change of sign make codes alike."""
-    codes = np.array(list(itertools.product(range(5), repeat=4)))
-    code = lambda t: t @ np.array([125, 25, 5, 1])
-    alike = np.stack([code(codes), code(codes[:, ::-1]), code(4 - codes), code(4 - codes[:, ::-1])])
-    return np.unique(alike.min(0), return_inverse=True)[1]
-
+def _along(x: np.ndarray, taps: np.ndarray, before: int, axis: int) -> np.ndarray:
+    """Correlation with taps along an axis, `before` of them ahead of the pixel, the edge mirrored with its own pixel."""
+    lines = np.moveaxis(x, axis, -1)
+    wide = np.pad(lines, [(0, 0), (before, len(taps) - 1 - before)], mode="symmetric")
+    return np.moveaxis(np.lib.stride_tricks.sliding_window_view(wide, len(taps), axis=-1) @ taps, -1, axis)
 
-def levels(r: np.ndarray, step: int) -> np.ndarray:
-    """Residuals in steps, rounded half away from zero and cut to -2 to 2."""
-    return np.clip(np.sign(r) * np.floor(np.abs(r) / step + 0.5), -2, 2).astype(np.int64)
 
+def costs(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Costs of lowering and of raising each pixel, as uint32 with WET where it must not be done.
 
-def cooccurrences(r: np.ndarray, step: int, chosen: np.ndarray | None = None) -> np.ndarray:
-    """Shares of the symmetry classes of four levels in a row, along rows and columns; 0 where nothing is chosen.
-
-    chosen: mask of pixels; a four counts where its second pixel is chosen.
+    A pixel is dear where the wavelet's detail bands around it are smooth: the sum over the three bands of |filter| against
+    1 / (1 + |band|). Filters are products of a low and a high pass; what two bands have in common is filtered once.
     """
-    classes = symmetry_classes()
-    n = np.zeros(classes.max() + 1)
-    for v, m in ((levels(r, step) + 2, chosen), (levels(r, step).T + 2, None if chosen is None else chosen.T)):
-        code = ((v[:, :-3] * 5 + v[:, 1:-2]) * 5 + v[:, 2:-1]) * 5 + v[:, 3:]
-        n += np.bincount(classes[code if m is None else code[m[:, 1:-2]]].ravel(), minlength=len(n))
-    return n / n.sum() if n.sum() else n
-
-
-def rs_shares(image: np.ndarray) -> np.ndarray:
-    """18 shares: for both orientations and each mask how often toggling low bits roughens, smooths or neither."""
-    out = []
-    for v in (image.astype(np.int32), image.T.astype(np.int32)):
-        g = v[:, : v.shape[1] // 4 * 4].reshape(-1, 4)
-        rough = np.abs(np.diff(g, axis=1)).sum(1)
-        for m in MASKS:
-            d = np.abs(np.diff(g ^ np.array(m), axis=1)).sum(1) - rough
-            out += [np.mean(d > 0), np.mean(d < 0), np.mean(d == 0)]
-    return np.array(out)
-
-
-def features(image: np.ndarray) -> np.ndarray:
-    """8,176 features: co-occurrences of ten residuals at three steps, of four by stratum, histogram, pairs, RS."""
-    rs = [residual(image, f) for f in FILTERS]
-    parts = [cooccurrences(r, q) for r in rs for q in STEPS]
-    s, q = box_sums(image), box_sums(image.astype(np.int64) ** 2)
-    variance = np.maximum(0, q / 25 - (s / 25) ** 2)[2:-2, 2:-2]
-    parts += [cooccurrences(r, 1, (variance >= a) & (variance < b)) for r in rs[:4] for a, b in itertools.pairwise(STRATA)]
-    hist = np.bincount(image.ravel(), minlength=256) / image.size
-    return np.concatenate([*parts, hist, hist[::2] - hist[1::2], rs_shares(image)]).astype(np.float32)
+    low = np.array(WAVELET)
+    high = np.where(np.arange(len(low)) % 2, low[::-1], -low[::-1])
+    smooth, rough = (_along(image.astype(float), f, 7, 0) for f in (low, high))
+    inverse = lambda band: 1 / (1 + np.abs(band))
+    of_low, of_high = (np.abs(f[::-1]) for f in (low, high))
+    across_high = _along(inverse(_along(smooth, high, 7, 1)), of_high, 8, 1)
+    across_both = _along(inverse(_along(rough, low, 7, 1)), of_low, 8, 1) + _along(inverse(_along(rough, high, 7, 1)), of_high, 8, 1)
+    total = _along(across_high, of_low, 8, 0) + _along(across_both, of_high, 8, 0)
+    if not (np.isfinite(total) & (total > 0)).all():
+        raise ValueError("a cost is not positive")
+    price = np.floor(total * 1e6 + 0.5).clip(1).astype(np.uint32)
+    dry = 25 * box_sums(image.astype(np.int64) ** 2) - box_sums(image) ** 2 > FLAT
+    for edge in (np.s_[:BORDER], np.s_[-BORDER:], np.s_[:, :BORDER], np.s_[:, -BORDER:]):
+        dry[edge] = False
+    return tuple(np.where(dry & (image != bound), price, np.uint32(WET)) for bound in (0, 255))
 
 
 def features_with_container(image: np.ndarray, encoded: bytes | None = None) -> np.ndarray:

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.signatures import gradient_signature
 from sieveline.kernels import codec, images
 
 DECODED = "width int, height int, pixels binary, fault string"
 
 
-def _per_row(df: DataFrame, schema: str, job: Callable[[pd.Series], dict], keep: list[str]) -> DataFrame:
+def _per_row(df: DataFrame, schema: str, job: Callable[[dict], dict], keep: list[str]) -> DataFrame:
     """Run job on every row: columns keep and those of schema; a ValueError becomes the row's fault.
 
     Columns of df that clash with the schema's names are replaced.
@@ -27,7 +28,7 @@ def _per_row(df: DataFrame, schema: str, job: Callable[[pd.Series], dict], keep:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for _, row in pdf.iterrows():
+            for row in map(dict, (zip(pdf.columns, values) for values in zip(*(pdf[c] for c in pdf.columns)))):
                 try:
                     got = job(row)
                 except ValueError as e:
@@ -45,7 +46,7 @@ def decode(files: DataFrame, content: str = "content", kind: str = "png", any_si
     kind: png or pgm. A null or faulty file keeps its row with null pixels and the fault's text.
     """
 
-    def job(row: pd.Series) -> dict:
+    def job(row: dict) -> dict:
         if row[content] is None:
             raise ValueError("no content")
         data = bytes(row[content])
@@ -57,21 +58,24 @@ def decode(files: DataFrame, content: str = "content", kind: str = "png", any_si
     return _per_row(files, DECODED, job, [c for c in files.columns if c != content])
 
 
-def _image(row: pd.Series) -> np.ndarray:
+def _image(row: dict) -> np.ndarray:
     if row["pixels"] is None:
         raise ValueError("no pixels")
     return np.frombuffer(bytes(row["pixels"]), np.uint8).reshape(int(row["height"]), int(row["width"]))
 
 
 def hashes(rasters: DataFrame) -> DataFrame:
-    """Digest of the pixels and gradient signature of every image (width, height, pixels)."""
+    """Digest of the pixels, gradient signature and reduced raster of every image (width, height, pixels).
+
+    The digest and the signature's bits are built-in functions; the kernel only reduces.
+    """
+    reduced = _per_row(rasters, "small binary, fault string", lambda row: {"small": images.reduce_image(_image(row)).tobytes()}, list(rasters.columns))
+    return reduced.withColumns({"pixel_sha256": F.sha2("pixels", 256), "signature": gradient_signature(F.col("small"))}).drop("pixels")
 
-    def job(row: pd.Series) -> dict:
-        image = _image(row)
-        small = images.reduce_image(image)
-        return {"pixel_sha256": hashlib.sha256(image.tobytes()).hexdigest(), "signature": images.signature(small), "small": small.tobytes()}
 
-    return _per_row(rasters, "pixel_sha256 string, signature bigint, small binary, fault string", job, [c for c in rasters.columns if c != "pixels"])
+def png_files(rasters: DataFrame) -> DataFrame:
+    """Every image (width, height, pixels) as the bytes of a PNG, in content."""
+    return _per_row(rasters, "content binary, fault string", lambda row: {"content": images.encode_png(_image(row))}, [c for c in rasters.columns if c != "pixels"])
 
 
 def extract_features(rasters: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def embed(jobs: DataFrame, balanced: bool = True) -> DataFrame:
     a lost task gives the same image again. Rows that cannot be embedded keep their failure.
     """
 
-    def job(row: pd.Series) -> dict:
+    def job(row: dict) -> dict:
         seed = hashlib.sha256(f"experiment-salt:{row['image_id']}:{row['num']}/{row['den']}".encode()).digest()
         try:
             if row["message"] is None:
@@ -111,7 +115,7 @@ def embed(jobs: DataFrame, balanced: bool = True) -> DataFrame:
 def extract(stegos: DataFrame) -> DataFrame:
     """The message of every image (width, height, stego, key, num, den): adds recovered, null where there is none."""
 
-    def job(row: pd.Series) -> dict:
+    def job(row: dict) -> dict:
         if row["stego"] is None:
             return {}
         image = np.frombuffer(bytes(row["stego"]), np.uint8).reshape(int(row["height"]), int(row["width"]))
@@ -132,7 +136,7 @@ def synthetic_cover(seed: int, height: int = 512, width: int = 512) -> np.ndarra
 def synthetic_covers(ids: DataFrame, image: str = "image_id") -> DataFrame:
     """A synthetic image for every id of digits, of the columns width and height where ids has them, else 512 x 512."""
 
-    def job(row: pd.Series) -> dict:
+    def job(row: dict) -> dict:
         width, height = int(row.get("width", 512)), int(row.get("height", 512))
         return {"width": width, "height": height, "pixels": synthetic_cover(int(row[image]), height, width).tobytes()}
 

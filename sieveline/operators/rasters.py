@@ -1,7 +1,7 @@
-"""Image statistics in relational form, over a table of pixels (image_id, y, x, value).
+"""Statistics of images of one size, over whole tables: kernels run on Arrow batches, and only counts leave a task.
 
-Every statistic is an aggregate over windows of a few neighbours inside one image row or column, so the
-largest group a task sees is an image. The kernels in `sieveline.kernels` compute the same on whole arrays.
+No row per pixel is ever made: a batch of images is one array, and what is shuffled is one row per value that a
+batch holds. The statistics are those of `sieveline.kernels.statistics`.
 """
 
 from __future__ import annotations
@@ -10,228 +10,103 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.kernels.codec import BALANCE_FILTERS
-from sieveline.kernels.images import FILTERS
-from sieveline.session import materialize
+from sieveline.kernels import statistics as st
 
+#: Room for the values of one statistic, which lie around 0.
+ROOM = 4096
 
-def pixels(images: DataFrame, raster: str, width: int, height: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """One row per pixel (keys, y, x, value) of rasters of width x height bytes; others are left out."""
-    ok = images.filter(F.octet_length(raster) == width * height)
-    hexed = ok.select(*keys, F.hex(raster).alias("_h"))
-    rows = hexed.select(*keys, "_h", F.explode(F.sequence(F.lit(0), F.lit(width * height - 1))).alias("_i"))
-    value = F.conv(F.expr("substring(_h, 2 * _i + 1, 2)"), 16, 10).cast("int")
-    return rows.select(*keys, F.floor(F.col("_i") / width).cast("int").alias("y"), (F.col("_i") % width).alias("x"), value.alias("value"))
 
+def _stacks(it: Iterator[pd.DataFrame], raster: str, width: int, height: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    for pdf in it:
+        if len(pdf):
+            yield pdf, np.frombuffer(b"".join(map(bytes, pdf[raster])), np.uint8).reshape(-1, height, width).astype(np.int32)
 
-def histogram(px: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Pixels per value: rows (by, value, n); values that do not occur have none."""
-    return px.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
 
+def _sized(images: DataFrame, raster: str, width: int, height: int) -> DataFrame:
+    return images.filter(F.octet_length(raster) == width * height)
 
-def adjacent_bins(hist: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Adjacent-bin statistic per group: minus the sum of (even - odd)^2 / (even + odd) over pairs of fractions."""
-    n = lambda odd: F.coalesce(F.sum(F.when(F.col("value") % 2 == odd, F.col("n"))), F.lit(0))
-    pairs = hist.groupBy(*by, F.floor(F.col("value") / 2).alias("pair")).agg(n(0).alias("e"), n(1).alias("o"))
-    total = F.sum(F.col("e") + F.col("o"))
-    return pairs.groupBy(*by).agg((-F.sum(F.pow(F.col("e") - F.col("o"), 2) / (F.col("e") + F.col("o"))) / total).alias("score"))
 
+def count_images(images: DataFrame, raster: str, width: int, height: int, by: str, parts: st.Parts) -> DataFrame:
+    """Counts over whole images: rows (by, filter, step, stratum, value, n) of the statistics that parts gives.
 
-#: Masks toggled in groups of four pixels (fixed values).
-RS_MASKS = ((1, 0, 1, 0), (0, 1, 0, 1), (1, 1, 1, 1))
-
-
-def rs_fractions(px: DataFrame, by: Sequence[str], image: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Share of four-pixel groups whose roughness rises, falls or stays when low bits are toggled.
-
-    Rows (by, orientation, mask, rises, falls, stays); groups that a row or column does not fill are dropped.
-    """
-    out = None
-    for orientation, (line, at) in (("row", ("y", "x")), ("column", ("x", "y"))):
-        group = F.floor(F.col(at) / 4).cast("int").alias("g")
-        v = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col("value").alias("v"))))["v"]
-        # four values a group, whatever the image's size
-        groups = px.groupBy(*dict.fromkeys([*by, *image, line]), group).agg(v.alias("v")).filter("size(v) = 4")
-        rough = lambda a: sum((F.abs(a[i + 1] - a[i]) for i in range(3)), F.lit(0))
-        masks = F.array(
-            *[
-                F.struct(
-                    F.lit(k).alias("mask"),
-                    (rough([F.col("v")[i].bitwiseXOR(m[i]) for i in range(4)]) - rough([F.col("v")[i] for i in range(4)])).alias("d"),
-                )
-                for k, m in enumerate(RS_MASKS)
-            ]
-        )
-        rows = groups.select(*by, F.lit(orientation).alias("orientation"), F.explode(masks).alias("m")).select(*by, "orientation", "m.*")
-        out = rows if out is None else out.unionByName(rows)
-    share = lambda c: F.avg(c.cast("int"))
-    d = F.col("d")
-    return out.groupBy(*by, "orientation", "mask").agg(share(d > 0).alias("rises"), share(d < 0).alias("falls"), share(d == 0).alias("stays"))
-
-
-def rs_score(fractions: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Regularity score per group: minus the mean over masks and orientations of rises minus falls."""
-    return fractions.groupBy(*by).agg(F.avg(F.col("falls") - F.col("rises")).alias("score"))
-
-
-#: Residual filters along a line: taps on a pixel and those after it (fixed values).
-LINE_FILTERS = {"d1": (-1, 1), "d2": (1, -2, 1), "d3": (-1, 3, -3, 1)}
-
-
-def residuals(px: DataFrame, taps: Sequence[int], horizontal: bool = True, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Residuals of a line filter, placed at its first pixel; px with a column `r`, lines' ends left out."""
-    line, at = ("y", "x") if horizontal else ("x", "y")
-    w = Window.partitionBy(*keys, line).orderBy(at)
-    r = sum((F.lit(t) * (F.lead("value", i).over(w) if i else F.col("value")) for i, t in enumerate(taps)), F.lit(0))
-    return px.withColumn("r", r).filter("r is not null")
-
-
-def quantized(r: Column, q: int) -> Column:
-    """Residual in steps of q, rounded half away from zero and cut to five levels 0 to 4."""
-    level = (F.signum(r) * F.floor(F.abs(r) / F.lit(float(q)) + 0.5)).cast("int")
-    return F.greatest(F.lit(-2), F.least(F.lit(2), level)) + 2
-
-
-def cooccurrences(res: DataFrame, by: Sequence[str], q: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Counts of four successive levels along rows and columns, by symmetry class: rows (by, class, n).
-
-    A class is named by the least of the four codes that mirroring and sign change make alike (base 5).
+    Rasters of another size are left out; by may be null. A task adds up each Arrow batch before anything is sent.
     """
-    out = None
-    for line, at in (("y", "x"), ("x", "y")):
-        w = Window.partitionBy(*keys, line).orderBy(at)
-        rows = res.withColumn("l", quantized(F.col("r"), q))
-        t = [F.col("l")] + [F.lead("l", i).over(w) for i in (1, 2, 3)]
-        rows = rows.select(*by, *[c.alias(f"t{i}") for i, c in enumerate(t)]).filter("t3 is not null")
-        code = lambda xs: ((xs[0] * 5 + xs[1]) * 5 + xs[2]) * 5 + xs[3]
-        a = [F.col(f"t{i}") for i in range(4)]
-        b = [F.lit(4) - x for x in a]
-        rows = rows.select(*by, F.least(code(a), code(a[::-1]), code(b), code(b[::-1])).alias("class"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy(*by, "class").agg(F.count(F.lit(1)).alias("n"))
-
-
-def local_moments(px: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Mean and variance of the 5 x 5 neighbourhood of every pixel at least two pixels inside."""
-    along = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-2, 2)
-    down = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-2, 2)
-    v = F.col("value").cast("bigint")
-    rows = px.select(*keys, "y", "x", F.sum(v).over(along).alias("s"), F.sum(v * v).over(along).alias("q"), F.count(F.lit(1)).over(along).alias("c"))
-    rows = rows.select(*keys, "y", "x", F.sum("s").over(down).alias("s"), F.sum("q").over(down).alias("q"), F.sum("c").over(down).alias("c"))
-    rows = rows.filter("c = 25")
-    return rows.select(*keys, "y", "x", (F.col("s") / 25).alias("mean"), ((F.col("q") * 25 - F.col("s") * F.col("s")) / 625).alias("variance"))
-
-
-def stratum(variance: Column) -> Column:
-    """Variance stratum 0 to 3, cut at 16, 64 and 256 (fixed values)."""
-    return F.when(variance < 16, 0).when(variance < 64, 1).when(variance < 256, 2).otherwise(3)
-
-
-def histogram_distance(bins: DataFrame, side: str, first: str, second: str, keys: Sequence[str], n: str = "n") -> DataFrame:
-    """Sum over bins of (second - first)^2 / (first + 32): one row (distance); absent bins count 0."""
-    of = lambda v: F.coalesce(F.sum(F.when(F.col(side) == v, F.col(n))), F.lit(0))
-    both = bins.groupBy(*keys).agg(of(first).alias("a"), of(second).alias("b"))
-    return both.agg(F.coalesce(F.sum(F.pow(F.col("b") - F.col("a"), 2) / (F.col("a") + 32)), F.lit(0.0)).alias("distance"))
-
-
-def vector_moments(df: DataFrame, vector: str) -> DataFrame:
-    """Mean, population deviation (at least 1e-6) and validity (above 1e-7) of every dimension."""
-    rows = df.filter(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("dim", "v"))
-    sd = F.stddev_pop(F.col("v").cast("double"))
-    return rows.groupBy("dim").agg(F.avg("v").alias("mean"), F.greatest(sd, F.lit(1e-6)).alias("deviation"), (sd > 1e-7).alias("valid"))
-
 
-#: Steps of quantization (fixed values), and the room for the values of one statistic, which lie around 0.
-STEPS, ROOM = (1, 2, 4), 4096
-#: A statistic of a stack of images: filter number, step, stratum (-1: any), value per place, and the places that count.
-Part = tuple[int, int, int, np.ndarray, np.ndarray | None]
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, x in _stacks(it, raster, width, height):
+            code, names = pd.factorize(pdf[by], use_na_sentinel=False)
+            for f, q, s, value, chosen in parts(x):
+                cell = (code.reshape(-1, *[1] * (value.ndim - 1)) * 2 * ROOM + value + ROOM)[... if chosen is None else chosen]
+                at, n = np.unique(cell, return_counts=True)
+                yield pd.DataFrame({by: names[at // (2 * ROOM)], "filter": f, "step": q, "stratum": s, "value": at % (2 * ROOM) - ROOM, "n": n})
 
+    rows = _sized(images, raster, width, height).select(by, raster)
+    keys = [by, "filter", "step", "stratum", "value"]
+    return rows.mapInPandas(run, f"`{by}` string, filter int, step int, stratum int, value int, n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
 
-def _inner(x: np.ndarray, taps: Sequence[tuple[int, int, int]]) -> np.ndarray:
-    """Residual of a filter, taps (down, across, weight), at the pixels of a stack at least two pixels inside."""
-    _, h, w = x.shape
-    return sum(t * x[:, 2 + a : h - 2 + a, 2 + b : w - 2 + b] for a, b, t in taps)
 
+def describe_images(images: DataFrame, raster: str, width: int, height: int, keys: Sequence[str], schema: str, job: Callable[[np.ndarray], dict[str, list]]) -> DataFrame:
+    """One row (keys, schema) per image, without a shuffle; job gives each column of a batch's stack as a list."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in images.select(*keys).schema.fields)
 
-def _inner_strata(x: np.ndarray) -> np.ndarray:
-    """Variance stratum of the same pixels, over 5 x 5 of them."""
-    around = np.lib.stride_tricks.sliding_window_view(x, (5, 5), axis=(1, 2))
-    total, squares = around.sum((3, 4)), (around * around).sum((3, 4))
-    return np.digitize(squares * 25 - total * total, [625 * 16, 625 * 64, 625 * 256])
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, x in _stacks(it, raster, width, height):
+            yield pdf[list(keys)].reset_index(drop=True).assign(**job(x))
 
+    return _sized(images, raster, width, height).select(*keys, raster).mapInPandas(run, f"{kept}, {schema}")
 
-def balance_parts(x: np.ndarray) -> Iterator[Part]:
-    """Bins -8 to 8 of the eight balance filters at three steps, for each stratum."""
-    strata = _inner_strata(x)
-    for f, taps in enumerate(BALANCE_FILTERS):
-        r = _inner(x, taps)
-        for q in STEPS:
-            b = np.clip(np.sign(r) * ((np.abs(r) + q // 2) // q), -8, 8)
-            for s in range(4):
-                yield f, q, s, b, strata == s
 
+def adjacent_bins(hist: Column, total: Column) -> Column:
+    """Adjacent-bin statistic of an array of (value, n): minus the sum of (even - odd)^2 / (even + odd) over pairs of fractions."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.struct(*[_at(hist, k * 2 + odd).alias(name) for odd, name in ((0, "e"), (1, "o"))]))
+    term = lambda p: F.when(p["e"] + p["o"] > 0, F.pow(p["e"] - p["o"], 2) / (p["e"] + p["o"])).otherwise(0.0)
+    return -F.aggregate(pairs, F.lit(0.0), lambda a, p: a + term(p)) / total
 
-def _feature_residuals(x: np.ndarray) -> list[np.ndarray]:
-    """Residuals of the ten feature filters, each centred at half its size."""
-    taps = lambda f: [(i - len(f) // 2, j - len(f[0]) // 2, t) for i, row in enumerate(f) for j, t in enumerate(row) if t]
-    return [_inner(x, taps(f)) for f in FILTERS]
 
+def _at(hist: Column, value: Column) -> Column:
+    return F.element_at(hist, value.cast("int") + 1)
 
-def _fours(r: np.ndarray, q: int, chosen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """Classes of four successive levels along rows, then columns, named as in cooccurrences; and which of them have a chosen second tap."""
-    for turn in (False, True):
-        v = np.clip(np.sign(r) * np.floor(np.abs(r) / q + 0.5), -2, 2).astype(np.int64) + 2
-        v, m = (v.swapaxes(1, 2), None if chosen is None else chosen.swapaxes(1, 2)) if turn else (v, chosen)
-        a = [v[:, :, i : v.shape[2] - 3 + i] for i in range(4)]
-        b = [4 - y for y in a]
-        code = lambda y: ((y[0] * 5 + y[1]) * 5 + y[2]) * 5 + y[3]
-        yield np.minimum(np.minimum(code(a), code(a[::-1])), np.minimum(code(b), code(b[::-1]))), None if m is None else m[:, :, 1:-2]
 
+def histograms(images: DataFrame, raster: str, width: int, height: int, keys: Sequence[str]) -> DataFrame:
+    """One row (keys, bins) per image: its 256 counts."""
+    job = lambda x: {"bins": [np.bincount(v.ravel(), minlength=256) for v in x]}
+    return describe_images(images, raster, width, height, keys, "bins array<bigint>", job)
 
-def residual_parts(x: np.ndarray) -> Iterator[Part]:
-    """Residuals of all ten filters, as they are (step 0)."""
-    for f, r in enumerate(_feature_residuals(x)):
-        yield f, 0, -1, r, None
 
+def local_moments(images: DataFrame, raster: str, width: int, height: int, key: str = "image_id") -> DataFrame:
+    """Mean and variance of the 5 x 5 neighbourhood of every pixel at least two pixels inside: rows (key, y, x, mean, variance)."""
 
-def cooccurrence_parts(x: np.ndarray) -> Iterator[Part]:
-    """Classes of four levels of all ten filters at three steps."""
-    for f, r in enumerate(_feature_residuals(x)):
-        for q in STEPS:
-            for c, _ in _fours(r, q):
-                yield f, q, -1, c, None
+    def job(x: np.ndarray) -> dict[str, list]:
+        total, squares = st.moments(x)
+        return {"s": list(total.reshape(len(x), -1)), "q": list(squares.reshape(len(x), -1))}
 
+    rows = describe_images(images, raster, width, height, [key], "s array<bigint>, q array<bigint>", job)
+    rows = rows.select(key, F.posexplode(F.arrays_zip("s", "q")).alias("i", "m"))
+    s, q, inner = F.col("m.s"), F.col("m.q"), width - 2 * st.RIM
+    at = lambda c: (c + st.RIM).cast("int")
+    return rows.select(key, at(F.floor(F.col("i") / inner)).alias("y"), at(F.col("i") % inner).alias("x"), (s / 25).alias("mean"), ((q * 25 - s * s) / 625).alias("variance"))
 
-def conditional_parts(x: np.ndarray) -> Iterator[Part]:
-    """Classes of four levels of the first four filters at step 1, by the stratum of the second tap."""
-    strata = _inner_strata(x)
-    for f, r in enumerate(_feature_residuals(x)[:4]):
-        for s in range(4):
-            for c, m in _fours(r, 1, strata == s):
-                yield f, 1, s, c, m
 
+def toggle_fractions(counts: DataFrame, by: str) -> DataFrame:
+    """Share of four-pixel groups whose roughness rises, falls or stays when low bits are toggled: rows (by, orientation, mask, rises, falls, stays)."""
+    share = lambda sign: F.coalesce(F.sum(F.when(F.col("value") == sign, F.col("n"))), F.lit(0)) / F.sum("n")
+    rows = counts.groupBy(by, F.when(F.col("filter") == 0, "row").otherwise("column").alias("orientation"), F.col("step").alias("mask"))
+    return rows.agg(share(1).alias("rises"), share(-1).alias("falls"), share(0).alias("stays"))
 
-def count_images(images: DataFrame, raster: str, width: int, height: int, by: str, parts: Callable[[np.ndarray], Iterator[Part]]) -> DataFrame:
-    """Counts over whole images: rows (by, filter, step, stratum, value, n) of the statistics that parts gives.
 
-    Rasters of another size are left out. A task adds up each Arrow batch before anything is sent.
-    """
+def toggle_score(fractions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Regularity score per group: minus the mean over masks and orientations of rises minus falls."""
+    return fractions.groupBy(*by).agg(F.avg(F.col("falls") - F.col("rises")).alias("score"))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            code, names = pd.factorize(pdf[by], use_na_sentinel=False)
-            x = np.frombuffer(b"".join(map(bytes, pdf[raster])), np.uint8).reshape(-1, height, width).astype(np.int64)
-            for f, q, s, value, chosen in parts(x) if len(x) else ():
-                cell = (code.reshape(-1, *[1] * (value.ndim - 1)) * 2 * ROOM + value + ROOM)[... if chosen is None else chosen]
-                at, n = np.unique(cell, return_counts=True)
-                yield pd.DataFrame({by: names[at // (2 * ROOM)], "filter": f, "step": q, "stratum": s, "value": at % (2 * ROOM) - ROOM, "n": n})
 
-    rows = images.filter(F.octet_length(raster) == width * height).select(by, raster)
-    keys = [by, "filter", "step", "stratum", "value"]
-    return rows.mapInPandas(run, f"`{by}` string, filter int, step int, stratum int, value int, n bigint").groupBy(*keys).agg(F.sum("n").alias("n"))
+def vector_moments(df: DataFrame, vector: str) -> DataFrame:
+    """Mean, population deviation (at least 1e-6) and validity (above 1e-7) of every dimension."""
+    rows = df.filter(F.col(vector).isNotNull()).select(F.posexplode(vector).alias("dim", "v"))
+    sd = F.stddev_pop(F.col("v").cast("double"))
+    return rows.groupBy("dim").agg(F.avg("v").alias("mean"), F.greatest(sd, F.lit(1e-6)).alias("deviation"), (sd > 1e-7).alias("valid"))
 
 
 def distance_from_rest(counts: DataFrame, by: str) -> DataFrame:

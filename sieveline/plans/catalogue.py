@@ -38,7 +38,8 @@ DOUBLES = {
     "a19_rs_score": ("score",),
     "a23_rs_fractions": ("rises", "falls", "stays"),
     "a22_local_moments": ("mean", "variance"),
-    "a24_histogram_distance": ("distance",),
+    "a24_objective": ("distance",),
+    "k2_correlation": ("total",),
     "a28_vector_moments": ("mean", "deviation"),
     "a29_class_products": ("mean_product",),
 }

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.kernels import statistics as st
 from sieveline.operators import linear, rasters
 from sieveline.plans.tables import read
+from sieveline.session import materialize
 
 WIDTH, HEIGHT, DIM = 9, 8, 64
 
@@ -17,100 +19,63 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.groupBy("image_id").agg(F.min("archive").alias("archive"), F.min("small").alias("small"))
 
 
-def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of every image once, with its archive."""
-    return rasters.pixels(_images(spark, sf_dir), "small", WIDTH, HEIGHT, ("image_id", "archive"))
+def _counts(spark: SparkSession, sf_dir: str, parts: st.Parts) -> DataFrame:
+    return rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", parts)
 
 
 def a17_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.histogram(_pixels(spark, sf_dir), ["archive"])
+    return _counts(spark, sf_dir, st.pixel_parts).select("archive", "value", "n")
 
 
 def a17_pair_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even minus odd bin of every pair, dense over the 128 pairs of each archive."""
-    px = _pixels(spark, sf_dir)
-    n = px.groupBy("archive").agg(F.count(F.lit(1)).alias("total"))
-    dense = n.select("archive", "total", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("pair"))
+    hist = materialize(a17_histogram(spark, sf_dir), "histogram")
+    dense = hist.groupBy("archive").agg(F.sum("n").alias("total")).select("archive", "total", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("pair"))
     sign = F.when(F.col("value") % 2 == 0, F.col("n")).otherwise(-F.col("n"))
-    pairs = rasters.histogram(px, ["archive"]).groupBy("archive", F.floor(F.col("value") / 2).cast("int").alias("pair")).agg(F.sum(sign).alias("d"))
+    pairs = hist.groupBy("archive", F.floor(F.col("value") / 2).cast("int").alias("pair")).agg(F.sum(sign).alias("d"))
     return dense.join(pairs, ["archive", "pair"], "left").select("archive", "pair", (F.coalesce("d", F.lit(0)) / F.col("total")).alias("difference"))
 
 
 def a18_adjacent_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.adjacent_bins(rasters.histogram(_pixels(spark, sf_dir), ["image_id"]), ["image_id"])
+    rows = rasters.histograms(_images(spark, sf_dir), "small", WIDTH, HEIGHT, ["image_id"])
+    return rows.select("image_id", rasters.adjacent_bins(F.col("bins"), F.lit(WIDTH * HEIGHT)).alias("score"))
 
 
 def a23_rs_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.rs_fractions(_pixels(spark, sf_dir), ["archive"])
+    return rasters.toggle_fractions(_counts(spark, sf_dir, st.toggle_parts), "archive")
 
 
 def a19_rs_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.rs_score(rasters.rs_fractions(_pixels(spark, sf_dir), ["archive"]), ["archive"])
+    return rasters.toggle_score(a23_rs_fractions(spark, sf_dir), ["archive"])
 
 
-def w7_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the first, second and third differences along rows."""
-    px, out = _pixels(spark, sf_dir), None
-    for name, taps in rasters.LINE_FILTERS.items():
-        rows = rasters.residuals(px, taps).groupBy("r").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("filter"), "r", "n")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def a22_local_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters.local_moments(_images(spark, sf_dir), "small", WIDTH, HEIGHT)
 
 
-def a20_cooccurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symmetry classes of four levels of the first difference, in steps of 4, per archive."""
-    return rasters.cooccurrences(rasters.residuals(_pixels(spark, sf_dir), (-1, 1)), ["archive"], 4)
+def w7_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the residuals of all ten filters, two pixels inside, per archive."""
+    return _counts(spark, sf_dir, st.residual_parts).select("archive", "filter", F.col("value").alias("r"), "n")
 
 
 def w6_four_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the second difference in steps of 2, over all images."""
-    res = rasters.residuals(_pixels(spark, sf_dir), (1, -2, 1)).withColumn("archive", F.lit("all"))
-    return rasters.cooccurrences(res, ["archive"], 2).drop("archive")
+    """Codes of four successive levels of all ten filters at step 1, along rows and columns, per archive."""
+    return _counts(spark, sf_dir, st.code_parts).select("archive", "filter", F.col("value").alias("code"), "n")
 
 
-def a22_local_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rasters.local_moments(_pixels(spark, sf_dir)).select("image_id", "y", "x", "mean", "variance")
+def a20_cooccurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetry classes of four levels in both directions: ten filters at three steps, per archive."""
+    return _counts(spark, sf_dir, st.class_parts).select("archive", "filter", "step", F.col("value").alias("class"), "n")
 
 
 def a21_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels of the first difference by the variance stratum of the pixel it starts at."""
-    strata = rasters.local_moments(_pixels(spark, sf_dir)).select("image_id", "y", "x", rasters.stratum(F.col("variance")).alias("stratum"))
-    res = rasters.residuals(_pixels(spark, sf_dir), (-1, 1)).select("image_id", "y", "x", rasters.quantized(F.col("r"), 1).alias("level"))
-    return res.join(strata, ["image_id", "y", "x"]).groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"))
-
-
-def a24_histogram_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of the residual histograms of two archives, over strides of 1, 2 and 4."""
-    res = rasters.residuals(_pixels(spark, sf_dir), (-1, 1), keys=("image_id", "archive"))
-    step = F.explode(F.array(F.lit(1), F.lit(2), F.lit(4)))
-    rows = res.select("archive", "r", step.alias("q"))
-    cut = (F.signum("r") * F.floor(F.abs("r") / F.col("q") + 0.5)).cast("int")
-    bins = rows.groupBy("archive", "q", F.greatest(F.lit(-8), F.least(F.lit(8), cut)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return rasters.histogram_distance(bins, "archive", "arc0002", "arc0003", ["q", "bin"])
+    """The same for the first four filters at step 1, by the variance stratum of the second of the four."""
+    return _counts(spark, sf_dir, st.masked_parts).select("archive", "filter", "stratum", F.col("value").alias("class"), "n")
 
 
 def a24_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance objective of every archive against all others: 8 filters, 4 strata, 3 steps and 17 bins."""
-    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.balance_parts)
-    return rasters.distance_from_rest(rasters.materialize(counts, "bins"), "archive")
-
-
-def w7_all_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the residuals of all ten filters, two pixels inside, per archive."""
-    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.residual_parts)
-    return counts.select("archive", "filter", F.col("value").alias("r"), "n")
-
-
-def a20_all_cooccurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symmetry classes of four levels in both directions: ten filters at three steps, per archive."""
-    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.cooccurrence_parts)
-    return counts.select("archive", "filter", "step", F.col("value").alias("class"), "n")
-
-
-def a21_all_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the first four filters at step 1, by the variance stratum of the second of the four."""
-    counts = rasters.count_images(_images(spark, sf_dir), "small", WIDTH, HEIGHT, "archive", rasters.conditional_parts)
-    return counts.select("archive", "filter", "stratum", F.col("value").alias("class"), "n")
+    return rasters.distance_from_rest(materialize(_counts(spark, sf_dir, st.balance_parts), "bins"), "archive")
 
 
 def a28_vector_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +93,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a17_histogram, a17_pair_difference, a18_adjacent_bins, a19_rs_score, a20_cooccurrences, a21_conditional, a22_local_moments, a23_rs_fractions,
-        a24_histogram_distance, a24_objective, a28_vector_moments, a29_class_products, w6_four_taps, w7_residuals, a20_all_cooccurrences, a21_all_conditional, w7_all_residuals,
+        a24_objective, a28_vector_moments, a29_class_products, w6_four_taps, w7_residuals,
     )
 }
 
@@ -136,16 +101,29 @@ _PX = """WITH one AS (SELECT image_id, min(archive) AS archive, hex(min(small))
 px AS (SELECT image_id, archive, (i // 9)::INT AS y, (i % 9)::INT AS x, ('0x' || substr(h, 2 * i + 1, 2))::INT AS value
   FROM (SELECT image_id, archive, h, unnest(range(72)) AS i FROM one WHERE length(h) = 144))
 """
-_QUANT = "greatest(-2, least(2, (sign(r) * floor(abs(r) / {q}::DOUBLE + 0.5))::INT)) + 2"
-_RES1 = ", res AS (SELECT * FROM (SELECT *, lead(value) OVER (PARTITION BY image_id, y ORDER BY x) - value AS r FROM px) WHERE r IS NOT NULL)"
-_RES2 = ", res AS (SELECT * FROM (SELECT *, value - 2 * lead(value) OVER w + lead(value, 2) OVER w AS r FROM px WINDOW w AS (PARTITION BY image_id, y ORDER BY x)) WHERE r IS NOT NULL)"
 
 
-def _cooc(q: int) -> str:
-    return f""", lv AS (SELECT *, {_QUANT.format(q=q)} AS l FROM res),
-t AS (SELECT archive, l AS a, lead(l) OVER w AS b, lead(l, 2) OVER w AS c, lead(l, 3) OVER w AS d FROM lv WINDOW w AS (PARTITION BY image_id, y ORDER BY x)
-  UNION ALL SELECT archive, l, lead(l) OVER w, lead(l, 2) OVER w, lead(l, 3) OVER w FROM lv WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
-c AS (SELECT archive, least(a * 125 + b * 25 + c * 5 + d, d * 125 + c * 25 + b * 5 + a, 624 - (a * 125 + b * 25 + c * 5 + d), 624 - (d * 125 + c * 25 + b * 5 + a))::INT AS class FROM t WHERE d IS NOT NULL)
+def _filtered(filters: tuple[st.Taps, ...]) -> str:
+    """Residuals r of filters at the pixels two inside, as SQL: a table of taps joined with the pixels they fall on."""
+    taps = ", ".join(f"({f}, {down}, {across}, {weight})" for f, one in enumerate(filters) for down, across, weight in one)
+    return f""", taps(filter, down, across, weight) AS (VALUES {taps}),
+res AS (SELECT archive, image_id, filter, y - down AS y, x - across AS x, sum(weight * value)::INT AS r FROM px, taps
+  WHERE y - down BETWEEN 2 AND 5 AND x - across BETWEEN 2 AND 6 GROUP BY archive, image_id, filter, y - down, x - across)
+"""
+
+
+def _level(most: int) -> str:
+    return f"(sign(r) * least((2 * abs(r) + step) // (2 * step), {most}))::INT"
+
+
+def _four(steps: str) -> str:
+    """Codes of four successive levels, with the stratum of the second where the pixels have one."""
+    ahead = lambda k: f"lead(l, {k}) OVER w"
+    code = f"(l + 2) * 125 + ({ahead(1)} + 2) * 25 + ({ahead(2)} + 2) * 5 + {ahead(3)} + 2"
+    one = lambda line, at: f"SELECT archive, filter, step, lead(stratum) OVER w AS stratum, {code} AS code FROM lv WINDOW w AS (PARTITION BY image_id, filter, step, {line} ORDER BY {at})"
+    return f""", lv AS (SELECT *, {_level(2)} AS l FROM marked, (SELECT unnest([{steps}]) AS step)),
+four AS (SELECT *, code // 125 AS a, code // 25 % 5 AS b, code // 5 % 5 AS c, code % 5 AS d FROM ({one("y", "x")} UNION ALL {one("x", "y")}) WHERE code IS NOT NULL),
+classed AS (SELECT *, least(code, d * 125 + c * 25 + b * 5 + a, 624 - code, 624 - (d * 125 + c * 25 + b * 5 + a))::INT AS class FROM four)
 """
 
 
@@ -160,7 +138,10 @@ f AS (SELECT archive, orientation, mask, abs(xor(v[2], b) - xor(v[1], a)) + abs(
   - abs(v[2] - v[1]) - abs(v[3] - v[2]) - abs(v[4] - v[3]) AS diff FROM g, m),
 rs AS (SELECT archive, orientation, mask, avg((diff > 0)::INT) AS rises, avg((diff < 0)::INT) AS falls, avg((diff = 0)::INT) AS stays FROM f GROUP BY archive, orientation, mask)
 """
-_BIN = "greatest(-8, least(8, (sign(r) * floor(abs(r) / q::DOUBLE + 0.5))::INT))"
+_STRATUM = "(CASE WHEN variance < 16 THEN 0 WHEN variance < 64 THEN 1 WHEN variance < 256 THEN 2 ELSE 3 END)::INT"
+_FEATURES = _PX + _filtered(st.feature_taps())
+_UNMARKED = ", marked AS (SELECT *, 0 AS stratum FROM res)"
+_MARKED = f", marked AS (SELECT res.*, {_STRATUM} AS stratum FROM res JOIN mom USING (image_id, y, x))"
 
 ORACLE = {
     "a17_histogram": _PX + "SELECT archive, value, count(*) AS n FROM px GROUP BY archive, value",
@@ -171,17 +152,19 @@ ORACLE = {
       SELECT image_id, value // 2 AS pair, count(*) FILTER (value % 2 = 0) AS e, count(*) FILTER (value % 2 = 1) AS o FROM px GROUP BY image_id, value // 2) GROUP BY image_id""",
     "a23_rs_fractions": _PX + _RS + "SELECT * FROM rs",
     "a19_rs_score": _PX + _RS + "SELECT archive, avg(falls - rises) AS score FROM rs GROUP BY archive",
-    "w7_residuals": _PX + """, d AS (SELECT value AS a, lead(value) OVER w AS b, lead(value, 2) OVER w AS c, lead(value, 3) OVER w AS e FROM px WINDOW w AS (PARTITION BY image_id, y ORDER BY x))
-      SELECT filter, r::INT AS r, count(*) AS n FROM (SELECT 'd1' AS filter, b - a AS r FROM d UNION ALL SELECT 'd2', a - 2 * b + c FROM d UNION ALL SELECT 'd3', -a + 3 * b - 3 * c + e FROM d)
-      WHERE r IS NOT NULL GROUP BY filter, r""",
-    "a20_cooccurrences": _PX + _RES1 + _cooc(4) + "SELECT archive, class, count(*) AS n FROM c GROUP BY archive, class",
-    "w6_four_taps": _PX + _RES2 + _cooc(2) + "SELECT class, count(*) AS n FROM c GROUP BY class",
+    "w7_residuals": _FEATURES + "SELECT archive, filter, r, count(*) AS n FROM res GROUP BY archive, filter, r",
+    "w6_four_taps": _FEATURES + _UNMARKED + _four("1") + "SELECT archive, filter, code::INT AS code, count(*) AS n FROM four GROUP BY archive, filter, code",
+    "a20_cooccurrences": _FEATURES + _UNMARKED + _four("1, 2, 4") + "SELECT archive, filter, step, class, count(*) AS n FROM classed GROUP BY archive, filter, step, class",
+    "a21_conditional": _PX + _filtered(st.feature_taps()[:4]) + _MOMENTS + _MARKED + _four("1")
+    + "SELECT archive, filter, stratum, class, count(*) AS n FROM classed GROUP BY archive, filter, stratum, class",
     "a22_local_moments": _PX + _MOMENTS + "SELECT image_id, y, x, mean, variance FROM mom",
-    "a21_conditional": _PX + _MOMENTS + _RES1 + f"""SELECT (CASE WHEN variance < 16 THEN 0 WHEN variance < 64 THEN 1 WHEN variance < 256 THEN 2 ELSE 3 END)::INT AS stratum,
-      ({_QUANT.format(q=1)})::INT AS level, count(*) AS n FROM res JOIN mom USING (image_id, y, x) GROUP BY 1, 2""",
-    "a24_histogram_distance": _PX + _RES1 + f""", b AS (SELECT q, {_BIN} AS bin, count(*) FILTER (archive = 'arc0002') AS a, count(*) FILTER (archive = 'arc0003') AS b
-      FROM res, (SELECT unnest([1, 2, 4]) AS q) GROUP BY 1, 2)
-      SELECT coalesce(sum((b - a) ** 2 / (a + 32)), 0)::DOUBLE AS distance FROM b""",
+    "a24_objective": _PX + _filtered(st.BALANCE_FILTERS) + _MOMENTS + _MARKED + f""", bins AS (SELECT archive, filter, step, stratum, {_level(8)} AS value, count(*) AS n
+      FROM marked, (SELECT unnest([1, 2, 4]) AS step) GROUP BY ALL),
+      dense AS (SELECT a.archive, b.filter, b.step, b.stratum, b.value, b.n AS total FROM (SELECT DISTINCT archive FROM bins) a,
+        (SELECT filter, step, stratum, value, sum(n) AS n FROM bins GROUP BY ALL) b)
+      SELECT archive, sum((n - (total - n)) ** 2 / (total - n + 32))::DOUBLE AS distance FROM (
+        SELECT d.*, coalesce(bins.n, 0) AS n FROM dense d LEFT JOIN bins ON bins.archive IS NOT DISTINCT FROM d.archive AND bins.filter = d.filter AND bins.step = d.step
+          AND bins.stratum = d.stratum AND bins.value = d.value) GROUP BY archive""",
     "a28_vector_moments": """SELECT dim::INT AS dim, avg(v) AS mean, greatest(stddev_pop(v), 1e-6::DOUBLE) AS deviation, stddev_pop(v) > 1e-7 AS valid
       FROM (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY dim""",
     "a29_class_products": """WITH e AS (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS a, embedding FROM embeddings WHERE label IS NOT NULL AND len(embedding) = 64),

@@ -1,9 +1,10 @@
-"""Statistics over whole small images, against the kernels on single ones."""
+"""Statistics over whole small images, against those of single ones."""
 
 import numpy as np
+import pytest
 
 from sieveline.kernels import codec
-from sieveline.kernels import images as kernels
+from sieveline.kernels import statistics as st
 from sieveline.operators import rasters
 
 
@@ -12,53 +13,43 @@ def small_images(n=40):
     return [np.clip(128 + rng.normal(0, rng.choice([2, 6, 12, 40]), (8, 9)), 0, 255).astype(np.uint8) for _ in range(n)]
 
 
+NAMES = ["a", "b", None]
+
+
 def frame(spark, images):
-    rows = [(["a", "b", None][i % 3], x.tobytes()) for i, x in enumerate(images)] + [("a", b"short"), ("b", None)]
+    rows = [(NAMES[i % 3], x.tobytes()) for i, x in enumerate(images)] + [("a", b"short"), ("b", None)]
     return spark.createDataFrame(rows, "archive string, small binary").repartition(3)
 
 
+@pytest.mark.parametrize("parts", [st.pixel_parts, st.residual_parts, st.code_parts, st.class_parts, st.masked_parts, st.balance_parts, st.toggle_parts])
+def test_counts_add_up_single_images(spark, parts):
+    images, want = small_images(), {}
+    for i, x in enumerate(images):
+        for f, q, s, values, chosen in parts(x[None].astype(np.int64)):
+            for v in (values if chosen is None else values[chosen]).ravel().tolist():
+                key = (NAMES[i % 3], f, q, s, v)
+                want[key] = want.get(key, 0) + 1
+    got = {(r["archive"], r["filter"], r["step"], r["stratum"], r["value"]): r["n"] for r in rasters.count_images(frame(spark, images), "small", 9, 8, "archive", parts).collect()}
+    assert got == want
+    assert rasters.count_images(frame(spark, images).limit(0), "small", 9, 8, "archive", parts).count() == 0
+
+
 def test_balance_objective_takes_every_archive_filter_stratum_and_step(spark):
     images = small_images()
-    counts = rasters.materialize(rasters.count_images(frame(spark, images), "small", 9, 8, "archive", rasters.balance_parts), "bins")
-    want = {a: sum(codec.balance_histograms(x, x)[0] for i, x in enumerate(images) if ["a", "b", None][i % 3] == a) for a in ("a", "b", None)}
-    got = {a: np.zeros(8 * 4 * 3 * 17, int) for a in want}
-    for r in counts.collect():
-        got[r["archive"]][((r["filter"] * 4 + r["stratum"]) * 3 + (1, 2, 4).index(r["step"])) * 17 + r["value"] + 8] = r["n"]
-    assert all((got[a] == want[a]).all() for a in want) and all((x.reshape(8, 4, 3, 17).sum((0, 2, 3)) > 0).all() for x in want.values())
+    counts = rasters.count_images(frame(spark, images), "small", 9, 8, "archive", st.balance_parts)
+    each = {a: sum(codec.balance_histograms(x, x)[0] for i, x in enumerate(images) if NAMES[i % 3] == a) for a in NAMES}
     distance = {r["archive"]: r["distance"] for r in rasters.distance_from_rest(counts, "archive").collect()}
-    for a in want:
-        rest = sum(want[b] for b in want if b != a)
-        assert abs(distance[a] - codec.balance_objective(rest, want[a] - rest)) < 1e-6 * distance[a]
-
-
-def test_query_covers_every_archive(spark, tables):
-    from sieveline.plans import rasters as plans
-
-    archives = {r[0] for r in plans._images(spark, tables).select("archive").distinct().collect()}
-    assert {r["archive"] for r in plans.QUERIES["a24_objective"](spark, tables).collect()} == archives and len(archives) > 2
-
-
-def test_residuals_and_classes_take_every_filter_step_and_stratum(spark):
-    images = [x for i, x in enumerate(small_images()) if i % 3 == 0]  # those of archive a
-    rows = lambda parts: rasters.count_images(frame(spark, small_images()), "small", 9, 8, "archive", parts).filter("archive = 'a'").collect()
-    codes = np.unique([min(c, m, 624 - c, 624 - m) for c in range(625) for m in [int(f"{c % 5}{c // 5 % 5}{c // 25 % 5}{c // 125}", 5)]])
-    plain, masked, raw = {}, {}, {}
-    for r in rows(rasters.cooccurrence_parts):
-        plain.setdefault((r["filter"], r["step"]), np.zeros(169))[np.searchsorted(codes, r["value"])] = r["n"]
-    for r in rows(rasters.conditional_parts):
-        masked.setdefault((r["filter"], r["stratum"]), np.zeros(169))[np.searchsorted(codes, r["value"])] = r["n"]
-    for r in rows(rasters.residual_parts):
-        raw.setdefault(r["filter"], {})[r["value"]] = r["n"]
-    assert len(codes) == 169 and set(raw) == set(range(10)) and len(plain) == 30 and {s for _, s in masked} == {0, 1, 2, 3}
-    for f, taps in enumerate(kernels.FILTERS):
-        rs = [kernels.residual(x, taps) for x in images]
-        values, n = np.unique(np.stack(rs), return_counts=True)
-        assert raw[f] == dict(zip(values.tolist(), n.tolist()))
-        for q in (1, 2, 4):  # thirteen fours in every image
-            assert np.allclose(sum(13 * kernels.cooccurrences(r, q) for r in rs), plain[f, q])
-        for s in range(4 if f < 4 else 0):
-            want = np.zeros(169)
-            for x, r in zip(images, rs):
-                m = codec.strata(x)[2:-2, 2:-2] == s
-                want += kernels.cooccurrences(r, 1, m) * (m[:, 1:-2].sum() + m.T[:, 1:-2].sum())
-            assert np.allclose(want, masked.get((f, s), np.zeros(169)))
+    for a in NAMES:
+        rest = sum(each[b] for b in NAMES if b != a)
+        assert len(rest) == 1632 and distance[a] == pytest.approx(codec.balance_objective(rest, each[a] - rest))
+
+
+def test_features_of_an_image_are_shares_of_its_classes():
+    x = small_images(3)[2]
+    f = st.features(x)
+    for k, (filter_, step) in enumerate((f, q) for f in range(10) for q in st.STEPS):
+        n = np.zeros(625)
+        for g, q, _, values, _ in st.class_parts(x[None].astype(np.int64)):
+            if (g, q) == (filter_, step):
+                n += np.bincount(values.ravel(), minlength=625)
+        assert np.allclose(f[169 * k : 169 * k + 169], n[st.classes()] / n.sum())
