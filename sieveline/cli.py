@@ -1,4 +1,7 @@
-"""Commands for single files: keygen, analyze, embed, extract. Outputs are never overwritten."""
+"""Commands for single files (keygen, analyze, embed, extract) and for tables (prepare, evaluate, compare, confirm, report).
+
+Outputs are never overwritten, but for reports, which are replaced as a whole.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +42,46 @@ def analyze(cover: bytes, message: bytes, key: bytes | None, rate: str) -> dict:
     return out
 
 
-def run(args: argparse.Namespace) -> dict:
+#: Commands over a folder of tables; all but the report write JSON.
+FLOWS = ("prepare", "evaluate", "compare", "confirm", "report")
+
+
+class Stages:
+    """Seconds of each stage of a command, told as it goes on."""
+
+    def __init__(self, clock=time.monotonic):
+        self._clock, self._open, self.done = clock, None, []
+
+    def __call__(self, percent: int, stage: str) -> None:
+        now = self._clock()
+        if self._open:
+            name, began = self._open
+            self.done.append({"stage": name, "seconds": now - began})
+        self._open = None if stage == "done" else (stage, now)
+
+
+def run_flow(args: argparse.Namespace) -> dict:
+    """Run one of FLOWS in a local session, or in the session there is."""
+    from sieveline.plans import flows
+    from sieveline.session import build_session, intermediates, path_exists
+    from sieveline.sources.files import create_json
+
+    spark = build_session()
+    if args.command != "report" and path_exists(spark, args.output):
+        raise FileExistsError(f"{args.output} is already there")
+    with intermediates(spark):
+        if args.command == "report":
+            flows.report(spark, args.tables, args.output)
+        elif args.command == "confirm":
+            create_json(flows.e_confirm(spark, args.tables, args.strict), args.output)
+        else:
+            create_json(getattr(flows, f"e_{args.command}")(spark, args.tables), args.output)
+    return {"written": args.output}
+
+
+def run(args: argparse.Namespace, stages: Stages) -> dict:
+    if args.command in FLOWS:
+        return run_flow(args)
     if args.command == "keygen":
         from sieveline.sources.files import new_key
 
@@ -58,7 +100,7 @@ def run(args: argparse.Namespace) -> dict:
         return analyze(data, message, key, args.rate)
     cover = images.decode_png(data)
     r = _rate(args.rate, cover.size, len(codec.choose(message)[1]), key is not None)
-    stego, info = codec.embed(cover, message, (r.numerator, r.denominator), key, args.strategy == "balanced")
+    stego, info = codec.embed(cover, message, (r.numerator, r.denominator), key, args.strategy == "balanced", progress=stages)
     encoded = images.encode_png(stego)
     if codec.extract(images.decode_png(encoded), (r.numerator, r.denominator), key) != message:
         raise RuntimeError("the written image does not give the message back")
@@ -83,16 +125,23 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--message", required=True)
         if name == "embed":
             c.add_argument("--strategy", choices=("baseline", "balanced"), default="balanced")
+    for name in FLOWS:
+        c = commands.add_parser(name)
+        for option in ("--tables", "--output"):
+            c.add_argument(option, required=True)
+        c.add_argument("--output-logs")
+        if name == "confirm":
+            c.add_argument("--strict", action="store_true")
     args = parser.parse_args(argv)
-    began, status, error, result = time.monotonic(), "done", None, {}
+    began, status, error, result, stages = time.monotonic(), "done", None, {}, Stages()
     try:
-        result = run(args)
+        result = run(args, stages)
         print(json.dumps(result, indent=1))
     except (ValueError, OSError) as e:
         status, error = "failed", str(e)
         print(error, file=sys.stderr)
     if args.output_logs:
-        log = {"action": args.command, "status": status, "seconds": time.monotonic() - began, "error": error}
+        log = {"action": args.command, "status": status, "seconds": time.monotonic() - began, "stages": stages.done, "error": error}
         with open(args.output_logs, "x", encoding="utf-8") as f:
             json.dump(log, f, allow_nan=False)
     return int(status != "done")

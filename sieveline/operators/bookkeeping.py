@@ -124,6 +124,25 @@ def key_differences(rows: DataFrame, key: str, variant: str, first: str, second:
     return both.filter("_a <> _b").select(key, F.when(F.col("_a"), first).otherwise(second).alias("side"))
 
 
+#: The least usable images of a part that an evaluation is made of.
+LEAST_USABLE = 40
+
+
+def completeness(parts: DataFrame, done: DataFrame, least: int = LEAST_USABLE) -> DataFrame:
+    """Rows (part, missing, usable, enough): images of each part without a record, with a success, and whether these are at least `least`.
+
+    parts: image_id, part; done: one row (image_id, ok) per image with a record.
+    """
+    rows = parts.join(done, "image_id", "left").groupBy("part").agg(F.count_if(F.col("ok").isNull()).alias("missing"), F.count_if("ok").alias("usable"))
+    return rows.withColumn("enough", F.col("usable") >= least)
+
+
+def require_complete(report: DataFrame) -> DataFrame:
+    """A completeness report unchanged; reading it fails where a part lacks images or has too few."""
+    lacking = require(report, F.col("missing") > 0, "images have no record")
+    return require(lacking, ~F.col("enough"), "too few usable images")
+
+
 def require(rows: DataFrame, problem: Column, message: str) -> DataFrame:
     """rows unchanged; reading them fails with the message where problem holds."""
     return rows.filter(F.when(problem, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(True)))

@@ -148,6 +148,28 @@ def plan(payloads: DataFrame) -> DataFrame:
     return rows.withColumns({"chosen": one(c("_rate"), asked), "suggested": one(c("_least"), rate_text(c("_least")))}).drop("_least", "_rate")
 
 
+def prepare(payloads: DataFrame) -> DataFrame:
+    """The summary of each payload at one stated rate, as columns: what a plan holds without a suggestion.
+
+    payloads: as in `plan`, but the rate must be a number; others give nulls.
+    """
+    c = F.col
+    rate = rate_of(c("rate"))
+    cols = summary(c("message_bytes"), c("stored_bytes"), c("compressed"), c("pixels"), c("keyed"), rate, c("rate"))
+    keep = [n for n in payloads.columns if n not in cols]
+    return payloads.select(*keep, *[F.when(rate.isNotNull(), v).alias(k) for k, v in cols.items()], supported(rate).alias("supported"))
+
+
+def analyze(messages: DataFrame, message: str = "message") -> DataFrame:
+    """Plans of whole messages: adds message_bytes, stored_bytes, compressed, chosen and suggested; the message itself is dropped.
+
+    messages: the message (binary), pixels, keyed, rate. The representation is chosen first, nothing is coded.
+    """
+    rows = messages.withColumn("_c", choose_representation(F.col(message)))
+    sizes = {"message_bytes": F.octet_length(message).cast("bigint"), "stored_bytes": F.octet_length("_c.data").cast("bigint"), "compressed": F.col("_c.flag") == 1}
+    return plan(rows.withColumns(sizes).drop("_c", message))
+
+
 #: Components of a frame that a comparison lists.
 COMPONENTS = ("salt_bytes", "header_bytes", "stored_bytes", "padding_bytes", "authentication_tag_bytes", "checksum_bytes", "frame_bytes")
 

@@ -176,10 +176,10 @@ def q_p14_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_p16_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images of each part without a record of 0.05, neither success nor failure: what a complete run must not have."""
-    done = read(spark, sf_dir, "sample_record", "image", "option").filter("option = '0.05'").select(F.col("image").alias("image_id"))
-    missing = image_parts(spark, sf_dir).join(done, "image_id", "left_anti")
-    return missing.groupBy("part").agg(F.count(F.lit(1)).alias("missing"))
+    """Completeness of each part at 0.05: images without a record, images with a success, and whether these are enough."""
+    records = read(spark, sf_dir, "sample_record", "image", "option", "failure").filter("option = '0.05' and image is not null")
+    done = records.groupBy(F.col("image").alias("image_id")).agg(F.bool_or(F.col("failure").isNull()).alias("ok"))
+    return bk.completeness(image_parts(spark, sf_dir), done)
 
 
 def s17_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +245,7 @@ ORACLE = {
     "u5_all_rates": "SELECT unnest(candidate_rates) AS rate FROM manifest UNION SELECT rate FROM sample_record WHERE rate IS NOT NULL",
     "q_p14_tags": """WITH t AS (SELECT DISTINCT option, replace(option, '.', 'p') AS tag, strategy || '_' || replace(option, '.', 'p') AS variant FROM sample_record WHERE option IS NOT NULL AND strategy IS NOT NULL)
       SELECT *, regexp_extract(variant, '(.*)_([^_]*)$', 1) AS strategy, regexp_extract(variant, '(.*)_([^_]*)$', 2) AS rate_tag FROM t""",
-    "q_p16_completeness": _S + "SELECT part, count(*) AS missing FROM image_parts WHERE image_id NOT IN (SELECT image FROM sample_record WHERE option = '0.05' AND image IS NOT NULL) GROUP BY part",
+    "q_p16_completeness": _S + """SELECT part, count(*) FILTER (ok IS NULL) AS missing, count(*) FILTER (ok) AS usable, count(*) FILTER (ok) >= 40 AS enough
+      FROM image_parts LEFT JOIN (SELECT image AS image_id, bool_or(failure IS NULL) AS ok FROM sample_record WHERE option = '0.05' AND image IS NOT NULL GROUP BY image) USING (image_id) GROUP BY part""",
     "s17_completed": r"SELECT tag, count(*) AS files FROM (SELECT regexp_extract(path, '^artifacts/samples/[^/]+/([0-9]{9})/([^/.]+)\.json$', 2) AS tag FROM result_file) WHERE tag <> '' GROUP BY tag",
 }

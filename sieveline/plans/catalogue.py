@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.plans import bookkeeping, compaction, corpus, evaluation, kernels, planner, rasters
+from sieveline.plans import bookkeeping, compaction, corpus, evaluation, flows, kernels, planner, rasters
 
 FLAGSHIP = "a7_auc"
 DIGITS = 6
@@ -40,11 +40,12 @@ DOUBLES = {
     "a22_local_moments": ("mean", "variance"),
     "a24_objective": ("distance",),
     "k2_correlation": ("total",),
+    "e_compare": ("delta", "low", "high", "robust_low", "robust_high", "a", "b"),
     "a28_vector_moments": ("mean", "deviation"),
     "a29_class_products": ("mean_product",),
 }
 
-_MODULES = (compaction, evaluation, corpus, bookkeeping, planner, rasters, kernels)
+_MODULES = (compaction, evaluation, corpus, bookkeeping, planner, rasters, kernels, flows)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -73,6 +73,19 @@ def p7_stored_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("c.flag").alias("flag"), F.octet_length("c.data").alias("stored_bytes"))
 
 
+def p8_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole analysis of every text as a message: its representation, and the chosen and suggested plan."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text").filter("text is not null")
+    rows = docs.select("doc_id", F.encode("text", "UTF-8").alias("message"), F.lit(PIXELS).cast("bigint").alias("pixels"), (F.col("doc_id") % 2 == 0).alias("keyed"), F.lit("0.05").alias("rate"))
+    return pl.analyze(rows).select("doc_id", "message_bytes", "stored_bytes", "compressed", "chosen.fits", "chosen.deficit_bytes", "suggested.suggested_rate", "suggested.supported")
+
+
+def p10_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame, padding and fit of every text at 0.05."""
+    rows = pl.prepare(_payloads(spark, sf_dir).filter("rate = '0.05'"))
+    return rows.select("doc_id", "frame_bytes", "padding_bytes", "remaining_bytes", "fits", "supported")
+
+
 def p11_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of the records as decimals for display."""
     return _rates(spark, sf_dir).select("rate", pl.decimal_rate(F.col("r"), F.lit(PIXELS)).alias("shown"))
@@ -90,7 +103,7 @@ def a26_change_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # names begin with the inventory's ids; q_ keeps the P items apart from the problems' p1 to p8
 QUERIES = {
     "q_" + f.__name__: f
-    for f in (p1_valid_rasters, p2_capacity, p3_minimum_rate, p4_decimal_rate, p5_payload_summary, p6_payload_plan, p7_stored_sizes, p9_admitted, p11_display, p12_frame_comparison)
+    for f in (p1_valid_rasters, p2_capacity, p3_minimum_rate, p4_decimal_rate, p5_payload_summary, p6_payload_plan, p7_stored_sizes, p8_analysis, p9_admitted, p10_prepare, p11_display, p12_frame_comparison)
 } | {f.__name__: f for f in (a25_psnr, a26_change_totals)}
 
 _PAYLOADS = """pay AS (SELECT doc_id, octet_length(encode(text)) AS s, 262144 AS n, doc_id % 2 = 0 AS keyed, unnest(['0.05', 'auto']) AS rate FROM documents WHERE text IS NOT NULL),
@@ -131,6 +144,8 @@ ORACLE = {
     "q_p6_payload_plan": "WITH " + _PAYLOADS + """SELECT doc_id, rate AS requested_rate, chosen AS chosen_rate, s <= room AS fits, supported, greatest(0, s - room) AS deficit_bytes,
       suggested_total AS suggested_frame_bytes FROM plan""",
     "q_p9_admitted": "WITH " + _PAYLOADS + "SELECT doc_id, rate FROM plan WHERE s <= room AND supported",
+    "q_p10_prepare": "WITH " + _PAYLOADS + """SELECT doc_id, total AS frame_bytes, greatest(0, room - s) AS padding_bytes, greatest(0, room - s) AS remaining_bytes, s <= room AS fits, supported
+      FROM plan WHERE rate = '0.05'""",
     "q_p11_display": "WITH " + _RATES + f"SELECT rate, {_decimal('num', 'den', '262144')} AS shown FROM rates",
     "q_p12_frame_comparison": "WITH " + _PAYLOADS + """, x AS (SELECT * FROM plan WHERE rate = '0.05')
       SELECT doc_id, component, chosen, suggested, suggested - chosen AS difference FROM (

@@ -109,6 +109,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def rename_path(spark: SparkSession, source: str, target: str) -> None:
     """Rename a path; an existing target is an error, so that nothing is overwritten."""
     jvm = spark.sparkContext._jvm

@@ -20,12 +20,14 @@ SAMPLE = (
 PREDICTION = "variant string, detector string, part string, image_id string, label int, score double"
 
 
-def read_images(spark: SparkSession, path: str, kind: str = "pgm", any_size: bool = False) -> DataFrame:
+def read_images(spark: SparkSession, path: str, kind: str = "pgm", any_size: bool = False, expected: int | None = None) -> DataFrame:
     """Decoded images of a folder, in the order of their numbers: image_id, width, height, pixels, fault.
 
-    Files whose stem is no number come last, by name.
+    Files whose stem is no number come last, by name. Another number of files than expected, where that is given, is an error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path)
+    if expected is not None:
+        require_count(files.select("path"), expected)
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
     rows = decode(files.select(stem.alias("image_id"), "content"), "content", kind, any_size)
     return rows.orderBy(F.col("image_id").try_cast("bigint").asc_nulls_last(), "image_id")
@@ -82,14 +84,12 @@ def fingerprint(spark: SparkSession, path: str, patterns: Sequence[str] = ("*",)
 
 
 def environment(spark: SparkSession) -> DataFrame:
-    """One row of the versions in use."""
+    """One row of the versions in use, with all installed packages as name==version."""
     import platform
+    from importlib import metadata
 
-    import numpy
-    import pyarrow
-
-    row = (platform.python_version(), spark.version, numpy.__version__, pyarrow.__version__)
-    return spark.createDataFrame([row], "python string, spark string, numpy string, pyarrow string")
+    packages = sorted({f"{d.metadata['Name']}=={d.version}" for d in metadata.distributions() if d.metadata["Name"]})
+    return spark.createDataFrame([(platform.python_version(), spark.version, packages)], "python string, spark string, packages array<string>")
 
 
 def new_key() -> bytes:

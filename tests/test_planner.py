@@ -1,5 +1,6 @@
 from math import gcd
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,19 @@ def test_representation(spark):
     got = spark.createDataFrame(rows, "m binary").select(pl.choose_representation(F.col("m")).alias("c")).collect()
     assert [r["c"] and r["c"]["flag"] for r in got][:3] == [1, 0, 0]
     assert got[3]["c"] is None or got[3]["c"]["data"] is None
+
+
+def test_analysis_of_messages_equals_the_command(spark):
+    from sieveline import cli
+    from sieveline.kernels import images
+
+    cover = images.encode_png(np.zeros((512, 512), np.uint8))
+    for message, key in ((b"HELLO" * 400, bytes(32)), (bytes(range(256)) * 8, None), (b"", None)):
+        df = spark.createDataFrame([(message, N, key is not None, "0.05")], "message binary, pixels long, keyed boolean, rate string")
+        got, want = pl.analyze(df).head(), cli.analyze(cover, message, key, "0.05")
+        assert (got["message_bytes"], got["stored_bytes"], got["compressed"]) == (want["message_bytes"], want["stored_bytes"], want["compressed"])
+        for side in ("chosen", "suggested"):
+            for name in ("frame_bytes", "capacity_bytes", "fits", "supported"):
+                assert got[side][name] == want[side][name]
+        one = pl.prepare(df.drop("message").selectExpr("*", f"{got['message_bytes']}L as message_bytes", f"{got['stored_bytes']}L as stored_bytes", f"{str(got['compressed']).lower()} as compressed")).head()
+        assert all(one[name] == got["chosen"][name] for name in (*pl.SUMMARY, "supported"))

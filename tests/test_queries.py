@@ -21,6 +21,8 @@ def test_equals_sql(spark, tables, con, name):
 
 #: What the rows of queries without SQL must hold.
 CLAIMS = {
+    "e_evaluate": lambda rows: len(rows) == 8 and all(r["low"] <= r["auc"] <= r["high"] and r["passes"] == (r["upper"] <= 0.55) for r in rows),
+    "q_p8_analysis": lambda rows: any(r["compressed"] for r in rows) and all(r["stored_bytes"] <= r["message_bytes"] and r["fits"] == (r["deficit_bytes"] == 0) for r in rows),
     "k1_cover_hashes": lambda rows: len({r["pixel_sha256"] for r in rows}) == 12,
     "k5_features": lambda rows: all(r["n"] == 8177 and r["adjacent_bins"] <= 0 for r in rows) and len(rows) > 100,
     "k5_cover_features": lambda rows: len(rows) == 12 and all(r["n"] == 8177 for r in rows),

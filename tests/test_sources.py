@@ -7,7 +7,7 @@ from sieveline import cli
 from sieveline.kernels import images
 from sieveline.operators import bookkeeping as bk
 from sieveline.operators import image_jobs, report
-from sieveline.session import shared_folder
+from sieveline.session import intermediates, materialize, release, shared_folder
 from sieveline.sources import files
 from sieveline.streaming import samples
 
@@ -20,6 +20,9 @@ def test_images_are_read_in_order_of_their_numbers(spark, tmp_path):
     assert [r["image_id"] for r in rows] == ["8", "9", "10", "x"] and rows[0]["fault"] and rows[1]["width"] == 3
     with pytest.raises(ValueError):
         files.require_count(spark.range(3), 4)
+    with pytest.raises(ValueError):
+        files.read_images(spark, str(tmp_path), any_size=True, expected=10_000)
+    assert files.read_images(spark, str(tmp_path), any_size=True, expected=4).count() == 4
 
 
 def test_json_sinks(spark, tmp_path):
@@ -51,6 +54,7 @@ def test_junit_and_fingerprint(spark, tmp_path):
     got = files.fingerprint(spark, str(tmp_path / "src")).collect()
     assert len(got) == 1 and got[0]["sha256"].startswith("2d711642")
     assert files.environment(spark).head()["spark"] == spark.version and len(files.new_key()) == 32
+    assert any(p.startswith("pyspark==") for p in files.environment(spark).head()["packages"])
 
 
 def test_report(spark, tmp_path):
@@ -76,11 +80,46 @@ def test_command_line(tmp_path, capsys):
     assert plan["chosen"]["frame_bytes"] == 1638 and plan["suggested"]["frame_bytes"] == 81
     assert cli.main(["embed", *common, "--output", str(out), "--strategy", "baseline"]) == 0
     rate = json.loads(capsys.readouterr().out)["rate"]
+    assert cli.main(["embed", *common, "--output", str(tmp_path / "t.png"), "--output-logs", str(tmp_path / "stages")]) == 0
+    assert [s["stage"] for s in json.loads((tmp_path / "stages").read_text())["stages"]] == ["costs", "coding", "balancing"]
     assert cli.main(["extract", "--image", str(out), "--key", str(tmp_path / "k"), "--rate", rate, "--output", str(tmp_path / "got")]) == 0
     assert (tmp_path / "got").read_bytes() == b"HELLO"
     assert cli.main(["extract", "--image", str(cover), "--key", str(tmp_path / "k"), "--rate", rate, "--output", str(tmp_path / "no")]) == 1
 
 
+def test_commands_over_tables(spark, tables, tmp_path, monkeypatch, capsys):
+    from sieveline.plans import bookkeeping, flows
+
+    assert cli.main(["prepare", "--tables", tables, "--output", str(tmp_path / "corpus")]) == 0
+    got = spark.read.json(str(tmp_path / "corpus"))
+    assert got.groupBy("group_id").agg(F.count_distinct("part").alias("n")).filter("n > 1").count() == 0 < got.count()
+    assert cli.main(["prepare", "--tables", tables, "--output", str(tmp_path / "corpus")]) == 1
+    monkeypatch.setattr(flows, "SECTIONS", {"Records": bookkeeping.o3_sorted_report})
+    assert cli.main(["report", "--tables", tables, "--output", str(tmp_path / "r.md")]) == 0
+    assert "## Records" in (tmp_path / "r.md").read_text()
+
+
+def test_written_tables_are_deleted(spark):
+    import os
+
+    with intermediates(spark):
+        a, b = materialize(spark.range(5), "a"), materialize(spark.range(6), "b")
+        release(a, spark.range(3))
+        assert not os.path.exists(a._written_path) and b.count() == 6
+    assert not os.path.exists(b._written_path)
+
+
+def test_completeness_is_enforced(spark):
+    parts = spark.createDataFrame([("a", "train"), ("b", "train"), ("c", "test")], "image_id string, part string")
+    done = spark.createDataFrame([("a", True), ("c", False)], "image_id string, ok boolean")
+    got = {r["part"]: (r["missing"], r["usable"], r["enough"]) for r in bk.completeness(parts, done, 1).collect()}
+    assert got == {"train": (1, 1, True), "test": (0, 0, False)}
+    with pytest.raises(Exception, match="no record"):
+        bk.require_complete(bk.completeness(parts, done, 0)).collect()
+    with pytest.raises(Exception, match="too few"):
+        bk.require_complete(bk.completeness(parts.filter("part = 'test'"), done, 1)).collect()
+
+
 def test_stream_of_samples(spark, tmp_path):
     schema = "image string, option string, recorded_at timestamp, failure string"
     rows = spark.createDataFrame([("a", "1", 10**9, None), ("a", "1", 10**9 + 60, None), ("b", "1", 10**9, "x")], "image string, option string, s int, failure string")
