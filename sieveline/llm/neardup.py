@@ -4,15 +4,15 @@ A signature of 64 bits is cut into 7 chunks and described by its 21 pairs of chu
 bits). Two signatures that differ in at most 4 bits agree in at least 3 chunks, so they share at least
 T = 3 tokens: a T-occurrence problem over the inverted lists of the tokens of one archive.
 
-DivideSkip: every record sets the L = T - 1 longest of its lists aside; a partner must then occur in one of
-its short lists. Lengths are true counts, joined back to the records, and (length, token) orders all lists
-alike for all records, which is what makes it safe to set lists aside. The index is sharded by short list: a record
-visits the shard of each of them, and a shard holds every record that has its token in a short list. There
-each record is a query. Its short lists, cut to the shard, are merged by a priority queue of their heads
-(one queue a query, all queries of a batch a step at a time), which counts the occurrences of every record met;
-those that reach T - L are probed by binary search in the query's long lists; those that reach T in all are
-compared by their bits. A list of more than BLOCK records is cut into blocks, and each pair of blocks is a
-shard of its own, so no list is ever held whole, however many records share its token.
+DivideSkip is used twice. The index is sharded by the lists of single chunks, of which two near signatures share at
+least 3 too: every record sets its 2 longest aside and visits the shard of each of the others, so it is sent 5 times and not
+once for each of its tokens. Lengths are true counts, joined back to the records, and (length, chunk's number) orders the lists that
+two records share alike for both, which is what makes it safe to set lists aside: the shortest of them is set aside by neither. In a
+shard each record is a query over the tokens' lists. It sets the L = T - 1 longest of them aside; the short ones are merged by a
+priority queue of their heads (one queue a query, all queries of a batch a step at a time), which counts the occurrences of every record
+met; those that reach T - L are probed by binary search in the query's long lists; those that reach T in all are
+compared by their bits. A chunk's list of more than BLOCK records is cut into blocks, and each pair of blocks is a
+shard of its own, so no list is ever held whole, however many records share its chunk.
 
 Lists of one record meet nothing and are left out. Equal signatures of one archive are one representative; copies are not compared with each other.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.signatures import gradient_signature
 from sieveline.operators.components import connected_components
-from sieveline.operators.joins import HEAVY_SHARE, skew_join
+from sieveline.operators.joins import skew_join, small_or_skew_join
 from sieveline.session import input_partitions, materialize
 
 BITS = 4
@@ -39,7 +39,9 @@ PAIRS = tuple(combinations(range(CHUNKS), 2))
 #: Where chunks begin and end, in bits.
 CUTS = tuple(round(64 * i / CHUNKS) for i in range(CHUNKS + 1))
 #: Records in a block of a long list.
-BLOCK = 1_024
+BLOCK = 16_384
+#: Lists whose lengths are broadcast at most.
+LENGTHS = 100_000
 #: Copies in a block of a class, where classes are expanded into pairs.
 COPIES = 1_024
 
@@ -65,54 +67,53 @@ def _chunk(signature: Column, i: int) -> Column:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """The inverted lists: rows (token, k, archive, signature), one per record and pair of chunks k.
+    """The inverted lists of chunks: rows (token, k, v, archive, signature), one per record and chunk k with its bits v.
 
-    A token is a hash of the archive, the pair and its bits; two lists that fall together by chance only
+    A token is a hash of the archive, the chunk's number and its bits; two lists that fall together by chance only
     cost comparisons, since shards tell the archive and the bits apart.
     """
-    c = [_chunk(F.col("signature"), i) for i in range(CHUNKS)]
-    token = lambda k, i, j: F.xxhash64(F.lit(k), F.col("archive"), c[i], c[j])
-    each = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("k"), token(k, i, j).alias("token")) for k, (i, j) in enumerate(PAIRS)])
-    return reps.select("archive", "signature", F.explode(each).alias("p")).select("p.token", "p.k", "archive", "signature")
+    each = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("k"), _chunk(F.col("signature"), k).cast("int").alias("v")) for k in range(CHUNKS)])
+    rows = reps.select("archive", "signature", F.explode(each).alias("p")).select("p.k", "p.v", "archive", "signature")
+    return rows.withColumn("token", F.xxhash64("k", "archive", "v"))
 
 
-def shards(reps: DataFrame, overlap: int, block: int | None = None) -> DataFrame:
-    """The sharded index: rows (token, cell, side, k, skip, archive, signature).
+def shards(reps: DataFrame, agree: int, block: int | None = None) -> DataFrame:
+    """The sharded index: rows (token, cell, side, k, aside, archive, signature).
 
-    Every record once for each short list and, where that list is cut into n blocks, for each of the n pairs that
-    hold its block; side tells which block of the pair is its own. skip is the set of its long lists as bits. A record with
-    fewer than `overlap` lists of two or more records has no partner and is left out.
+    Every record once for each short list of a chunk and, where that list is cut into n blocks, for each of the n pairs that
+    hold its block; side tells which block of the pair is its own. aside is the set of its long lists as bits. A record with
+    fewer than `agree` lists of two or more records has no partner and is left out.
     """
     block = block or BLOCK
     lists = postings(reps)
     sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = materialize(sizes, "lists")
-    total = sizes.agg(F.sum("n").alias("total"))
-    # lists of at least 1/HEAVY_SHARE of all entries, at most HEAVY_SHARE of them; the total is one row
-    hot = sizes.crossJoin(F.broadcast(total)).filter(F.col("n") * HEAVY_SHARE >= F.col("total"))
-    long = skew_join(lists, sizes, "token", "inner", heavy=hot)
-    # at most 21 lists a record
-    own = long.groupBy("archive", "signature").agg(F.sort_array(F.collect_list(F.struct("n", "token", "k")), False).alias("lists"))
-    own = own.filter(F.size("lists") >= overlap)
-    skip = F.aggregate(F.slice("lists", 1, overlap - 1), F.lit(0), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["k"].cast("int")))) if overlap > 1 else F.lit(0)
-    rows = own.select("archive", "signature", skip.alias("skip"), F.explode(F.slice("lists", overlap, len(PAIRS))).alias("x"))
+    sizes = materialize(sizes, "lists")  # at most 7 x 1,024 an archive
+    long = small_or_skew_join(lists, sizes, "token", "inner", LENGTHS)
+    # 7 lists a record
+    own = long.groupBy("archive", "signature").agg(F.sort_array(F.collect_list(F.struct("n", "k", "v")), False).alias("lists"))
+    own = own.filter(F.size("lists") >= agree)
+    aside = F.aggregate(F.slice("lists", 1, agree - 1), F.lit(0), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), x["k"].cast("int")))) if agree > 1 else F.lit(0)
+    rows = own.select("archive", "signature", aside.alias("aside"), F.explode(F.slice("lists", agree, CHUNKS)).alias("x"))
     blocks = F.ceil(F.col("x.n") / block).cast("int")
-    rows = rows.select("archive", "signature", "skip", "x.token", "x.k", blocks.alias("blocks"), F.pmod(F.xxhash64("signature"), blocks).cast("int").alias("own"))
+    token = F.xxhash64("x.k", "archive", "x.v").alias("token")
+    rows = rows.select("archive", "signature", "aside", token, "x.k", blocks.alias("blocks"), F.pmod(F.xxhash64("signature"), blocks).cast("int").alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    return rows.select("token", cell.alias("cell"), (F.col("own") > F.col("other")).cast("tinyint").alias("side"), "k", "skip", "archive", "signature")
+    return rows.select("token", cell.alias("cell"), (F.col("own") > F.col("other")).cast("tinyint").alias("side"), "k", "aside", "archive", "signature")
 
 
 class Shards:
-    """A batch of whole shards: for every record its lists, sorted postings of them, and the search."""
+    """A batch of whole shards: for every record its lists, sorted postings of them, and the search.
 
-    def __init__(self, pdf: pd.DataFrame):
+    A record's long lists are those that a column skip names, as bits; without it the `skipped` longest in its shard.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, skipped: int = 0):
         token, cell = pdf["token"].to_numpy(), pdf["cell"].to_numpy()
         new = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
         self.shard = np.r_[0, np.cumsum(new)]
         self.sig, self.archive = pdf["signature"].to_numpy().view(np.uint64), pdf["archive"].to_numpy()
         self.side, self.k = pdf["side"].to_numpy(), pdf["k"].to_numpy()
-        self.long = (pdf["skip"].to_numpy()[:, None] >> np.arange(len(PAIRS)) & 1).astype(bool)
         # in a shard of two blocks only pairs across them count: pairs within a block meet in its own shard
         self.mixed = np.zeros(self.shard[-1] + 1, np.int8)
         np.maximum.at(self.mixed, self.shard, self.side)
@@ -130,6 +131,15 @@ class Shards:
         self.at = at.reshape(self.key.shape)
         self.list = number[self.at]
         self.end = ends[self.list]
+        if "skip" in pdf:
+            self.long = (pdf["skip"].to_numpy()[:, None] >> np.arange(len(PAIRS)) & 1).astype(bool)
+        else:
+            self.long = np.zeros(self.key.shape, bool)
+            length = np.diff(np.r_[0, ends])[self.list]
+            np.put_along_axis(self.long, np.argpartition(-length, skipped, 1)[:, :skipped], True, 1)
+            aside = pdf["aside"].to_numpy()[:, None] >> np.arange(CHUNKS) & 1
+            #: the chunks of each record, and which of their lists are short
+            self.chunk, self.short = np.stack(c, 1), aside == 0
         #: lists and records as one sorted array, for binary search
         self.sorted = number * len(pdf) + self.post
 
@@ -158,7 +168,7 @@ class Shards:
     def search(self, overlap: int, bits: int) -> Iterator[pd.DataFrame]:
         """Pairs (archive, a, b) that share at least `overlap` tokens and differ in at most `bits` bits.
 
-        A pair is reported in one shard only: that of the first list that is short for both.
+        A pair is reported in one shard only: that of the first chunk whose list is short for both.
         """
         set_aside = max(overlap - 1, 0)
         for q, r, n in self.merge(overlap - set_aside):
@@ -170,7 +180,7 @@ class Shards:
             q, r = q[ok], r[ok]
             if not len(q):
                 continue
-            both = (self.key[q] == self.key[r]) & ~self.long[q] & ~self.long[r]
+            both = (self.chunk[q] == self.chunk[r]) & self.short[q] & self.short[r]
             ok = both.argmax(1) == self.k[q]
             a, b = self.sig[q[ok]].view(np.int64), self.sig[r[ok]].view(np.int64)
             yield pd.DataFrame({"archive": self.archive[q[ok]], "a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -199,7 +209,7 @@ def _search(overlap: int, bits: int):
             alone = ~(pdf.duplicated(["token", "cell"], keep=False).to_numpy())
             pdf = pdf[~alone].reset_index(drop=True)
         if len(pdf) > 1:
-            yield from Shards(pdf).search(overlap, bits)
+            yield from Shards(pdf, max(overlap - 1, 0)).search(overlap, bits)
 
     return run
 
@@ -212,7 +222,7 @@ def near_signatures(reps: DataFrame, bits: int = BITS) -> DataFrame:
     overlap = required_overlap(bits)
     if overlap < 1:
         raise ValueError("too many bits for the number of chunks")
-    rows = shards(materialize(reps.select("archive", "signature"), "signatures"), overlap)
+    rows = shards(materialize(reps.select("archive", "signature"), "signatures"), CHUNKS - bits)
     pairs = rows.repartition(input_partitions(reps), "token", "cell").sortWithinPartitions("token", "cell")
     return pairs.mapInPandas(_search(overlap, bits), "archive bigint, a bigint, b bigint")
 

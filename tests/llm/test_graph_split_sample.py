@@ -201,6 +201,15 @@ def test_lists_over_a_block_are_cut(spark, monkeypatch):
     assert got == want
 
 
+def test_index_holds_each_record_once_for_each_short_list_of_a_chunk(spark):
+    """Five rows a record, not one for each token: the index is what fills disks at size."""
+    rng = random.Random(11)
+    reps = spark.createDataFrame([(1, rng.getrandbits(62)) for _ in range(6000)], "archive bigint, signature bigint").distinct()
+    rows = neardup.shards(reps, 3)
+    assert rows.groupBy("signature").count().agg(F.max("count")).head()[0] == 5
+    assert rows.groupBy("signature").agg(F.first("aside").alias("aside")).filter("bit_count(aside) <> 2").count() == 0
+
+
 def test_signature_follows_from_the_raster(spark):
     rng = np.random.default_rng(6)
     rows = []
