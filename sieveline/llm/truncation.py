@@ -46,6 +46,8 @@ SLAB = 1 << 16
 BATCH_CHARS = 200_000
 #: Places whose cells wait until they are added up.
 FLUSH = 4_000_000
+#: Places after which a task sends its counts, which are 32-bit numbers there.
+SEND = 1 << 30
 #: What stands at the end of a sentence (fixed values).
 STOPS = ".!?…"
 _BLOCK, _DOC = "\x1e", "\x1f"
@@ -179,7 +181,7 @@ class Counter:
     def __init__(self):
         self.tables = [np.zeros((4, 1 << bits), np.int32) for bits in CELL_BITS]
         self.waiting: list[list[list[np.ndarray]]] = [[[], [], [], []] for _ in CELL_BITS]
-        self.n_waiting = 0
+        self.n_waiting = self.n_counted = 0
 
     def flush(self) -> None:
         """Add the waiting cells to the tables."""
@@ -211,6 +213,7 @@ class Counter:
 
     def _count(self, n: int) -> None:
         self.n_waiting += n
+        self.n_counted += n
         if self.n_waiting >= FLUSH:
             self.flush()
 
@@ -265,16 +268,23 @@ def _cleaned(texts: Iterable[str | None]) -> list[str]:
 
 
 def _reader(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One row per text with its last context, and at a task's end its counts in compressed slabs."""
+    """One row per text with its last context, and at a task's end (and every SEND places) its counts in compressed slabs."""
     counter = Counter()
+
+    def counts() -> Iterator[pd.DataFrame]:
+        slabs = counter.slabs()
+        if len(slabs):
+            none = pd.Series([None] * len(slabs), dtype=object)
+            yield pd.DataFrame({"kind": "counts", "digest": none, "last": none, "slab": slabs["slab"], "counts": slabs["counts"]})
+
     for pdf in it:
         for chunk in _chunks(pdf):
             last = counter.add(_cleaned(chunk["text"]))
             yield pd.DataFrame({"kind": "text", "digest": chunk["digest"].to_numpy(), "last": [x if x[0] >= 0 else None for x in last], "slab": None, "counts": None})
-    slabs = counter.slabs()
-    if len(slabs):
-        none = pd.Series([None] * len(slabs), dtype=object)
-        yield pd.DataFrame({"kind": "counts", "digest": none, "last": none, "slab": slabs["slab"], "counts": slabs["counts"]})
+            if counter.n_counted >= SEND:
+                yield from counts()
+                counter = Counter()
+    yield from counts()
 
 
 def _count_last(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,19 +297,19 @@ def _count_last(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _add_slabs(key: tuple, it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum of one slab over all tasks, taken as they come."""
-    total: np.ndarray | int = 0
+    """Sum of one slab over all tasks, taken as they come: 64-bit numbers, since the shortest contexts are counted in billions."""
+    total = np.zeros(1, np.int64)
     for pdf in it:
         for x in pdf["counts"]:
             total = total + np.frombuffer(zlib.decompress(x), np.int32)
-    yield pd.DataFrame({"slab": [key[0]], "counts": [zlib.compress(np.asarray(total, np.int64).clip(0, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
+    yield pd.DataFrame({"slab": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _model(slabs: dict[int, bytes]) -> list[np.ndarray]:
     """Tables of each order, one row of counts per cell, from summed slabs."""
-    flat = np.zeros(sum(4 << bits for bits in CELL_BITS), np.int32)
+    flat = np.zeros(sum(4 << bits for bits in CELL_BITS), np.float32)
     for k, data in slabs.items():
-        piece = np.frombuffer(zlib.decompress(data), np.int32)
+        piece = np.frombuffer(zlib.decompress(data), np.int64)
         flat[k * SLAB : k * SLAB + len(piece)] = piece
     cuts = np.cumsum([4 << bits for bits in CELL_BITS])[:-1]
     # by cell, so that a context's counts lie together
@@ -375,7 +385,7 @@ def score_ends(docs: DataFrame, column: str = "text") -> tuple[DataFrame, DataFr
     last = read.filter("last is not null").groupBy("digest").agg(F.min("last").alias("last")).select("last")
     counts = read.filter("kind = 'counts'").select("slab", "counts").unionByName(last.mapInPandas(_count_last, "slab int, counts binary"))
     slabs = counts.groupBy("slab").applyInPandas(_add_slabs, "slab int, counts binary")
-    # the tables' size is fixed: 56 MB before compression, whatever the data
+    # the tables' size is fixed: 112 MB before compression, whatever the data
     packed = spark.sparkContext.broadcast({r["slab"]: bytes(r["counts"]) for r in slabs.collect()})
     scored = materialize(rows.mapInPandas(_scorer(packed), _SCORED), "scored")
     texts = scored.filter("kind = 'text'").select("doc_id", "lang", "source", F.nanvl("score", F.lit(None)).alias("score"))

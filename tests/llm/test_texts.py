@@ -1,8 +1,10 @@
 """Problems 6, 7 and 8 on small inputs."""
 
 import random
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,25 @@ def test_texts_are_told_apart_by_the_whole_of_them(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     scores = {r["doc_id"]: r["score"] for r in truncation.score_ends(df)[0].collect()}
     assert min(scores[i] for i in range(40)) > max(scores[100 + i] for i in range(40)) + 1
+
+
+def test_counts_go_beyond_32_bits(monkeypatch):
+    """The shortest contexts of a large table are counted in billions; sums keep them."""
+    part = pd.DataFrame({"slab": 0, "counts": [zlib.compress(np.array([2**30, 7], np.int32).tobytes(), 1)]})
+    got = next(truncation._add_slabs((0,), iter([part] * 5)))
+    assert truncation._model({0: got["counts"].iat[0]})[0][:2, 0].tolist() == [5 * 2**30, 35]
+    # a task sends what it has before its own numbers are full
+    rng = random.Random(12)
+    texts = pd.DataFrame({"text": [subtitle(rng, False) for _ in range(1500)], "digest": b"x"})
+
+    def sent() -> tuple[int, list[np.ndarray]]:
+        out = pd.concat(list(truncation._reader(iter([texts]))), ignore_index=True)
+        assert (out["kind"] == "text").sum() == 1500
+        counts = out[out["kind"] == "counts"]
+        sums = {k: next(truncation._add_slabs((k,), iter([x])))["counts"].iat[0] for k, x in counts.groupby("slab")}
+        return (counts["slab"] == 0).sum(), truncation._model(sums)
+
+    times, once = sent()
+    monkeypatch.setattr(truncation, "SEND", 2000)
+    more, model = sent()
+    assert times == 1 < more and all((a == b).all() for a, b in zip(once, model))
