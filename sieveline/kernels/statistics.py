@@ -7,7 +7,7 @@ corpora are counts of such parts.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -106,21 +106,25 @@ def classes() -> np.ndarray:
     return np.unique(class_of())
 
 
-def class_shares(r: np.ndarray, step: int, chosen: np.ndarray | None = None) -> np.ndarray:
-    """Shares of the 169 classes of four levels along rows and columns; 0 where nothing is chosen.
+@cache
+def class_number() -> np.ndarray:
+    """For each of the 625 codes the number of its class, in the order of `classes`."""
+    return np.searchsorted(classes(), class_of())
 
-    chosen: mask of pixels; a four counts where its second pixel is chosen.
-    """
-    n = sum(_class_counts(r, step, axis, chosen) for axis in (2, 1))
-    n = n[classes()]
-    return n / max(n.sum(), 1)
 
+def class_shares(r: np.ndarray, step: int, chosen: Sequence[np.ndarray | None] = (None,)) -> list[np.ndarray]:
+    """For each mask of pixels (None: all) every image's shares of the 169 classes of four levels along rows and columns; 0 where nothing is chosen.
 
-def _class_counts(r: np.ndarray, step: int, axis: int, chosen: np.ndarray | None) -> np.ndarray:
-    codes = fours(level(r, step, 2), axis)
-    if chosen is not None:
-        codes = codes[_second(chosen, axis)]
-    return np.bincount(class_of()[codes].ravel(), minlength=625)
+    A four counts where its second pixel is chosen.
+    """
+    levels, counts = level(r, step, 2), [0] * len(chosen)
+    for axis in (2, 1):
+        numbers = class_number()[fours(levels, axis)] + np.arange(len(r)).reshape(-1, 1, 1) * len(classes())
+        for i, mask in enumerate(chosen):
+            some = numbers if mask is None else numbers[_second(mask, axis)]
+            counts[i] = counts[i] + np.bincount(some.ravel(), minlength=len(r) * len(classes()))
+    counts = [n.reshape(len(r), -1) for n in counts]
+    return [n / np.maximum(n.sum(1, keepdims=True), 1) for n in counts]
 
 
 def _second(chosen: np.ndarray, axis: int) -> np.ndarray:
@@ -137,20 +141,26 @@ def toggled(x: np.ndarray, axis: int, mask: tuple[int, ...]) -> np.ndarray:
 
 
 def toggle_shares(x: np.ndarray) -> np.ndarray:
-    """18 shares: along rows and columns, for each mask, how often groups roughen, smooth or stay."""
+    """18 shares of every image: along rows and columns, for each mask, how often groups roughen, smooth or stay."""
     kinds = [toggled(x, axis, m) for axis in (2, 1) for m in MASKS]
-    return np.array([np.mean(k == sign) if k.size else 0.0 for k in kinds for sign in (1, -1, 0)])
+    return np.stack([np.mean(k == sign, 1) if k.size else np.zeros(len(x)) for k in kinds for sign in (1, -1, 0)], 1)
 
 
-def features(image: np.ndarray) -> np.ndarray:
-    """8,176 features: classes of ten residuals at three steps and of four by stratum, histogram, its pairs' differences, toggles."""
-    x = image[None].astype(np.int32)
+def stack_features(images: np.ndarray) -> np.ndarray:
+    """8,176 features of every image of a stack: classes of ten residuals at three steps and of four by stratum, histogram, its pairs' differences, toggles."""
+    x = images.astype(np.int32)
     rs = [residual(x, taps) for taps in feature_taps()]
     where = strata(x)
-    plain = [class_shares(r, step) for r in rs for step in STEPS]
-    masked = [class_shares(r, 1, where == s) for r in rs[:MASKED] for s in range(len(BOUNDS) + 1)]
-    hist = np.bincount(image.ravel(), minlength=256) / image.size
-    return np.concatenate([*plain, *masked, hist, hist[::2] - hist[1::2], toggle_shares(x)]).astype(np.float32)
+    plain = [n for r in rs for step in STEPS for n in class_shares(r, step)]
+    masked = [n for r in rs[:MASKED] for n in class_shares(r, 1, [where == s for s in range(len(BOUNDS) + 1)])]
+    bins = (x + np.arange(len(x), dtype=np.int32).reshape(-1, 1, 1) * 256).ravel()
+    hist = np.bincount(bins, minlength=len(x) * 256).reshape(-1, 256) / images[0].size
+    return np.concatenate([*plain, *masked, hist, hist[:, ::2] - hist[:, 1::2], toggle_shares(x)], 1, dtype=np.float32)
+
+
+def features(image: np.ndarray) -> np.ndarray:
+    """The features of one image."""
+    return stack_features(image[None])[0]
 
 
 # parts of whole corpora

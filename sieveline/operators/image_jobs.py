@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from sieveline.functions.signatures import gradient_signature
 from sieveline.kernels import codec, images
 
+#: Bytes of results that a task gathers before it hands them on.
+PIECE = 4 << 20
+#: Pixels of images whose features are computed together.
+STACK = 1 << 16
 DECODED = "width int, height int, pixels binary, fault string"
 
 
 def _per_row(df: DataFrame, schema: str, job: Callable[[dict], dict], keep: list[str]) -> DataFrame:
     """Run job on every row: columns keep and those of schema; a ValueError becomes the row's fault.
 
-    Columns of df that clash with the schema's names are replaced.
+    Columns of df that clash with the schema's names are replaced. Results are handed on in pieces of about PIECE bytes,
+    however many rows a batch brings: one row's result may be hundreds of times what the row was.
     """
     names = [c.split()[0] for c in schema.split(", ")]
     keep = [c for c in keep if c not in names]
@@ -27,19 +32,32 @@ def _per_row(df: DataFrame, schema: str, job: Callable[[dict], dict], keep: list
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = []
+            rows, waiting, done = [], 0, 0
             for row in map(dict, (zip(pdf.columns, values) for values in zip(*(pdf[c] for c in pdf.columns)))):
                 try:
                     got = job(row)
                 except ValueError as e:
                     got = {"fault": str(e)}
                 rows.append([got.get(n) for n in names])
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            yield pd.concat([pdf[keep].reset_index(drop=True), out], axis=1)
+                waiting += sum(_bytes(v) for v in rows[-1]) + sum(_bytes(row[c]) for c in keep)
+                if waiting >= PIECE:
+                    yield piece(pdf, rows, done)
+                    rows, waiting, done = [], 0, done + len(rows)
+            if rows:
+                yield piece(pdf, rows, done)
+
+    def piece(pdf: pd.DataFrame, rows: list[list], done: int) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names, dtype=object)
+        return pd.concat([pdf[keep].iloc[done : done + len(rows)].reset_index(drop=True), out], axis=1)
 
     return df.mapInPandas(run, f"{kept}, {schema}" if kept else schema)
 
 
+def _bytes(value: object) -> int:
+    """Bytes of a value of some length; 8 for any other."""
+    return value.nbytes if isinstance(value, np.ndarray) else len(value) if isinstance(value, (bytes, bytearray, str)) else 8
+
+
 def decode(files: DataFrame, content: str = "content", kind: str = "png", any_size: bool = False) -> DataFrame:
     """Strictly decoded images of a table of files: width, height, pixels and the fault, other columns kept.
 
@@ -79,9 +97,42 @@ def png_files(rasters: DataFrame) -> DataFrame:
 
 
 def extract_features(rasters: DataFrame) -> DataFrame:
-    """The 8,177 features of every image, the last one by this library's own PNG encoder."""
-    job = lambda row: {"features": images.features_with_container(_image(row))}
-    return _per_row(rasters, "features array<float>, fault string", job, [c for c in rasters.columns if c != "pixels"])
+    """The 8,177 features of every image, the last one by this library's own PNG encoder.
+
+    Images of one size are computed together, as many as make PIECE bytes of features and STACK pixels.
+    """
+    keep = [c for c in rasters.columns if c not in ("pixels", "features", "fault")]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rasters.select(*keep).schema.fields)
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            sizes, most = pdf["height"].fillna(0) * pdf["width"].fillna(0), PIECE // (4 * images.FEATURES)
+            at = 0
+            while at < len(pdf):
+                n = int(np.searchsorted(sizes.iloc[at : at + most].cumsum(), STACK, "right"))
+                part = pdf.iloc[at : at + max(n, 1)]
+                yield part[keep].reset_index(drop=True).assign(**_features(part))
+                at += len(part)
+
+    return rasters.mapInPandas(run, f"{kept}, features array<float>, fault string" if kept else "features array<float>, fault string")
+
+
+def _features(pdf: pd.DataFrame) -> dict[str, list]:
+    features, fault, stacks = [None] * len(pdf), [None] * len(pdf), {}
+    for i, row in enumerate(pdf[["pixels", "height", "width"]].to_dict("records")):
+        try:
+            image = _image(row)
+            stacks.setdefault(image.shape, []).append((i, image))
+        except ValueError as e:
+            fault[i] = str(e)
+    for same in stacks.values():
+        try:
+            for (i, _), f in zip(same, images.stack_features_with_container(np.stack([x for _, x in same]))):
+                features[i] = f
+        except ValueError as e:
+            for i, _ in same:
+                fault[i] = str(e)
+    return {"features": features, "fault": fault}
 
 
 EMBEDDED = (

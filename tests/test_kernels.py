@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,32 @@ def test_a_forest_scores_in_a_session_that_compacted(spark, tables):
     assert catalogue.QUERIES["p4_found"](spark, tables).count() > 0
     got = catalogue.QUERIES["m4_forest"](spark, tables).collect()
     assert got and all(0 <= r["score"] <= 1 for r in got)
+
+
+class _Caught:
+    """Stands for a table: gives the function that would run over its batches."""
+
+    def __init__(self, columns, kept):
+        self.columns, self.schema = columns, kept
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_results_leave_a_task_in_small_pieces(spark):
+    """A batch of thousands of small rasters gives features hundreds of times its size; they never stand together."""
+    rng = np.random.default_rng(4)
+    stack = rng.integers(0, 256, (700, 8, 9)).astype(np.uint8)
+    pdf = pd.DataFrame({"image_id": [str(i) for i in range(700)], "width": 9, "height": 8, "pixels": [x.tobytes() for x in stack]})
+    pdf.loc[5, "pixels"], pdf.loc[6, "height"] = None, 7
+    table = _Caught(list(pdf.columns), spark.createDataFrame([], "image_id string, width int, height int").schema)
+    pieces = list(image_jobs.extract_features(table)(iter([pdf])))
+    assert max(len(p) for p in pieces) * 8177 * 4 <= image_jobs.PIECE and sum(map(len, pieces)) == 700
+    out = pd.concat(pieces, ignore_index=True)
+    assert list(out["image_id"]) == list(pdf["image_id"]) and list(out.index[out["fault"].notna()]) == [5, 6] and out["features"][5] is None
+    assert all((out["features"][i] == images.features_with_container(stack[i])).all() for i in (0, 4, 7, 128, 699))
+    big = pd.DataFrame({"image_id": ["1", "2", "3"], "width": 2048, "height": 2048, "pixels": [rng.integers(0, 256, 1 << 22).astype(np.uint8).tobytes()] * 3})
+    assert [len(p) for p in image_jobs.png_files(table)(iter([big]))] == [1, 1, 1]
